@@ -49,35 +49,62 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, sh
     return rows.select("skey", "source_size", "begin", "end", F.coalesce(F.least(F.col("limit"), level * F.col("w")), F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, positions, position), one row for each row of ``docs``, in the order of
-    position. positions has one training position for each time that the document is taken, wholly or in part."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """``docs`` with its words, its source as a key that is never null, and its place in the order of a hash."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    return docs.withColumns(
+        {
+            "_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
+            "_skey": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
+            "_key": key,
+            "_bucket": F.substring(key, 1, 3),
+        }
     )
-    rows = cut_lineage(rows.withColumn("bucket", F.substring("key", 1, 3)))
 
-    # words before each of a source's 4,096 buckets, then before each document in its bucket
-    buckets = rows.groupBy("skey", "bucket").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("b"))
+
+def _starts(keyed: DataFrame, source_col: str, share: float, cap: int) -> DataFrame:
+    """For each source and each of its 4,096 buckets of the order: the words before it, and the source's target."""
+    buckets = keyed.groupBy("_skey", "_bucket").agg(F.first(source_col, ignorenulls=True).alias("source"), F.sum("_size").alias("b"))
     buckets = cut_lineage(buckets)
-    goal = targets(buckets.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("b").alias("source_size")), share=share, cap=cap)
-    before = F.sum("b").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("b")
-    starts = buckets.select("skey", "bucket", before.alias("start")).join(goal, "skey")
-    within = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rows = rows.withColumn("within", within).join(starts, ["skey", "bucket"]).withColumn("at", F.col("start") + F.col("within"))
-
-    words = F.round("target").cast("long")
-    part = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), words - (F.col("at") + p * F.col("source_size"))))
-    rows = rows.withColumn("parts", F.array(*(part(p) for p in range(cap))))
-    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x)
-    due = lambda x, p: (F.col("at") + p * F.col("source_size") + x / 2) / F.col("target")
-    begin, end = F.col("begin"), F.col("end")
+    sizes = buckets.groupBy(F.col("_skey").alias("skey")).agg(F.first("source", ignorenulls=True).alias("source"), F.sum("b").alias("source_size"))
+    goal = targets(sizes, share=share, cap=cap).withColumnsRenamed({"skey": "_skey", "source_size": "_source_size", "target": "_target", "begin": "_begin", "end": "_end"})
+    before = F.sum("b").over(Window.partitionBy("_skey").orderBy("_bucket")) - F.col("b")
+    return buckets.select("_skey", "_bucket", before.alias("_start")).join(goal, "_skey")
+
+
+def _placed(keyed: DataFrame, starts: DataFrame, cap: int) -> DataFrame:
+    """Words taken of each row in each pass, and their training positions."""
+    order = Window.partitionBy("_skey", "_bucket").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.withColumn("_within", F.sum("_size").over(order) - F.col("_size")).join(starts, ["_skey", "_bucket"])
+    rows = rows.withColumn("_at", F.col("_start") + F.col("_within"))
+    words, size, begin, end = F.round("_target").cast("long"), F.col("_size"), F.col("_begin"), F.col("_end")
+    part = lambda p: F.greatest(F.lit(0), F.least(size, words - (F.col("_at") + p * F.col("_source_size"))))
+    due = lambda x, p: (F.col("_at") + p * F.col("_source_size") + x / 2) / F.col("_target")
+    # the inverse of the schedule's integral
     time = lambda q: q * (begin + end) / (begin + F.sqrt(begin * begin + (end * end - begin * begin) * q))
-    positions = F.filter(F.transform("parts", lambda x, p: F.when(x > 0, F.least(F.lit(1.0), time(due(x, p))))), lambda x: x.isNotNull())
-    rows = rows.withColumns({"taken": taken, "positions": positions})
-    rows = rows.select("doc_id", "size", "source_size", "target", "taken", "positions", F.when(F.size("positions") > 0, F.element_at("positions", 1)).alias("position"), "key")
-    return cut_lineage(rows).orderBy(F.col("position").asc_nulls_last(), "key").drop("key")
+    rows = rows.withColumn("_parts", F.array(*(part(p) for p in range(cap))))
+    spots = F.transform("_parts", lambda x, p: F.when(x > 0, F.struct(F.least(F.lit(1.0), time(due(x, p))).alias("position"), x.alias("words"))))
+    return rows.withColumn("_spots", F.filter(spots, lambda x: x.isNotNull()))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, positions, position), one row for each row of ``docs``, in the order of
+    position. positions has one training position for each time that the document is taken, wholly or in part."""
+    rows = _keyed(docs, id_col, text_col, source_col, seed).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "_size", "_skey", "_key", "_bucket")
+    rows = cut_lineage(rows)
+    rows = _placed(rows, _starts(rows, "source", share, cap), cap)
+    taken = F.aggregate("_parts", F.lit(0).cast("long"), lambda s, x: s + x)
+    positions = F.col("_spots.position")
+    first = F.when(F.size("_spots") > 0, F.element_at(positions, 1))
+    out = rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), positions.alias("positions"), first.alias("position"), "_key")
+    return cut_lineage(out).orderBy(F.col("position").asc_nulls_last(), "_key").drop("_key")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of ``docs`` in training order, each as often as the mix takes it. A document that is taken in part, the last
+    of its source, is there if at least half of it is taken."""
+    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    placed = _placed(keyed, _starts(keyed.select(source_col, "_size", "_skey", "_bucket"), source_col, share, cap), cap)
+    whole = F.filter("_spots", lambda x: 2 * x["words"] >= F.col("_size"))
+    rows = placed.select(*(F.col(c) for c in docs.columns), "_key", F.explode(whole).alias("_spot"))
+    return rows.orderBy("_spot.position", "_key").select(*docs.columns)
