@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, mixing, packing, quality, sharding, simhash, toxicity
+from . import chunks, licenses, media, mixing, packing, quality, sharding, simhash, toxicity, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _labels = _table("documents"), _table("labels")
+_documents, _labels, _pages = _table("documents"), _table("labels"), _table("pages")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_pages(spark, sf_dir))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -44,8 +52,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op8_toxicity, op9_quality)
+    every = (op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op6_warc, op7_licenses, op8_toxicity, op9_quality, op10_media)
     return {f.__name__: f for f in every}
 
 
