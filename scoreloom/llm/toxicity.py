@@ -3,7 +3,7 @@
 A text's terms are its distinct lower-cased words and their leading 4 and 5 characters (word stems), each hashed to
 ``HASH_BITS`` bits. The machine is fitted on at most ``FIT_ROWS`` labelled rows, those with the smallest hash of their
 id (all of them, if there are fewer), never one of the held-out fold. Of their hashed terms the ``TERMS`` that tell the
-classes apart best by chi-square are kept; the model has a weight and ``FACTORS`` factors for each, so a pair of terms
+classes apart best by chi-square are kept, of those that chance hardly explains; the model has a weight and ``FACTORS`` factors for each, so a pair of terms
 counts beyond the sum of its parts. Every row of the table is then scored over its whole text.
 
 Nulls and odd cases: a null or empty text has no terms and gets the score of the bias; a null id is held out; rows that
@@ -30,6 +30,7 @@ from .shared import map_batches
 FIT_ROWS = 12_000
 HASH_BITS = 20
 TERMS = 4_096
+LEAST_CHI = 16.0
 FACTORS = 4
 EPOCHS = 12
 _WORDS = re.compile(r"\w+")
@@ -81,7 +82,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray) -> Machine:
     gap = hit - df * prior
     chi = np.where(df >= 3, gap * gap / np.maximum(df * prior * (1 - prior), 1e-9), 0.0)
     best = np.argsort(-chi, kind="stable")[:TERMS]
-    best = np.sort(best[chi[best] > 0])
+    best = np.sort(best[chi[best] >= LEAST_CHI])
     place[best] = np.arange(len(best))
     keep = place[flat] >= 0
     flat, owner = place[flat][keep], owner[keep]
@@ -104,7 +105,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray) -> Machine:
             sq = np.bincount(row, weights=(v * v).sum(axis=1), minlength=len(batch))
             z = w["b"][0] + np.bincount(row, weights=w["w"][idx], minlength=len(batch)) + 0.5 * ((s * s).sum(axis=1) - sq)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
-            grads = {"b": np.array([g.sum()]), "w": np.bincount(idx, weights=g[row], minlength=len(best)) + 1e-5 * w["w"], "v": np.zeros_like(w["v"])}
+            grads = {"b": np.array([g.sum()]), "w": np.bincount(idx, weights=g[row], minlength=len(best)) + 1e-4 * w["w"], "v": np.zeros_like(w["v"])}
             np.add.at(grads["v"], idx, g[row, None] * (s[row] - v))
             grads["v"] += 1e-4 * w["v"]
             step += 1
