@@ -3,7 +3,7 @@
 Each line is content or boilerplate; the Viterbi path gives the labels, and a document is kept if at least
 ``CONTENT_SHARE`` of its words stand in content lines. The field's weights are fitted here by the exact gradient of the
 likelihood (forward and backward sums) on at most ``FIT_ROWS`` documents with a quality label, those with the smallest
-hash of their id, whose lines take the document's label; without labels of both classes ``PRIOR`` is used.
+hash of their id. Lines take their document's label; documents that fail the base rules are not learnt from; without labels of both classes ``PRIOR`` is used.
 
 Nulls and odd cases: a null text has no words and fails the base rules, as does one of fewer than 20 words; a null id is
 kept; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [_content_lines((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
+            lines = [[] if base_failed(t.split()) else _content_lines(t) for t in texts]  # the base rules decide on those
             feats = [line_features(x).astype("<f8").tobytes() if len(x) <= FIT_LINES else b"" for x in lines]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary())], ["id", "good", "lines"])
 
@@ -145,6 +146,10 @@ def repeat_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def base_failed(words: list[bytes]) -> bool:
+    return len(words) < 20 or 100 * repeat_words(words) > 30 * len(words)
+
+
 def measure(text: str | None, weights: np.ndarray, moves: np.ndarray) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept)."""
     data = (text or "").encode("utf-8", "surrogatepass")
