@@ -20,21 +20,21 @@ def stack_match(units, gaps):
                 stack.append(-size)
             elif stack:
                 found[-size, stack.pop()] += 1
-    return [(*k, n) for k, n in found.items()]
+    return found
 
 
-def test_sweep_equals_one_unit_at_a_time(spark):
+def test_sweep_equals_one_unit_at_a_time():
     rnd = random.Random(4)
     for _ in range(4):
         units = [(k, rnd.randint(1, 9)) for k in rnd.sample(range(1, 60), rnd.randint(1, 20))]
         gaps = [(k, rnd.randint(1, 9)) for k in rnd.sample(range(1, 60), rnd.randint(1, 12))]
-        assert sorted(packing.sweep(spark, units, gaps)) == sorted(stack_match(units, gaps))
+        assert packing.sweep(units, gaps) == stack_match(units, gaps)
 
 
-def test_rounds_fill_sequences(spark):
+def test_rounds_fill_sequences():
     rnd = np.random.default_rng(2)
     for lengths in ({4096: 3, 7: 100_000}, {3000: 10, 1000: 10}, {1: 1}, {2049: 50}, Counter(np.minimum(4096, rnd.lognormal(6.4, 1.2, 20_000).astype(int) + 1).tolist()), Counter(rnd.integers(3, 40, 9000).tolist())):
-        runs = packing.pack_runs(stack_match_counts, dict(lengths))
+        runs = packing.pack_runs(dict(lengths))
         fill, seen = defaultdict(list), defaultdict(list)
         for k, first, n, each, sequence, at in runs:
             seen[k] += range(first, first + n)
@@ -52,22 +52,6 @@ def test_rounds_fill_sequences(spark):
         assert len(fill) <= max(least, large) * 1.01 + 1
 
 
-def stack_match_counts(units, gaps):
-    """stack_match over runs."""
-    stack, found = [], Counter()
-    for size, unit, n in sorted([(-g, 0, n) for g, n in gaps] + [(-u, 1, n) for u, n in units]):
-        if not unit:
-            stack.append([-size, n])
-        while unit and n and stack:
-            m = min(n, stack[-1][1])
-            found[-size, stack[-1][0]] += m
-            n -= m
-            stack[-1][1] -= m
-            if not stack[-1][1]:
-                stack.pop()
-    return [(*k, n) for k, n in found.items()]
-
-
 def test_query_on_odd_rows(spark):
     texts = [None, "", "Hello World's 42 it'll", "a\x1cb   c d", "é É <|endoftext|> ΣΣ", "x " * 9000, "two", "two", "İ ﬁ ½ 한국어 🙂🙂", "word " * 4095, "word " * 4096]
     rows = [(i if i != 6 else None, t) for i, t in enumerate(texts)] + [(2, "again")]
