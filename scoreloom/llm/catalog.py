@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chunks, licenses, media, mixing, packing, quality, sharding, simhash, toxicity, warc
 
@@ -25,7 +26,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir))
+    rows = mixing.mix(_documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
 def op4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +63,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: The targets in closed form: sources in the order in which their caps bind; the first that doesn't sets the level.
+_MIXING_SQL = r"""
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+        md5(concat('mix:', coalesce(cast(doc_id as varchar), ''))) as key from documents),
+    s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as rk from d group by source),
+    w as (select *, cast([5, 2, 1][(rk - 1) % 3 + 1] as double) as w, cast([0.5, 1, 1.5][(rk - 1) % 3 + 1] as double) as b,
+        cast([1.5, 1, 0.5][(rk - 1) % 3 + 1] as double) as e, cast(2 * source_size as double) as cap from s),
+    o as (select *, (sum(source_size) over () * cast(1.5 as double) - coalesce(sum(cap) over (order by cap / w, rk rows between unbounded preceding and 1 preceding), 0))
+        / sum(w) over (order by cap / w, rk rows between current row and unbounded following) as level from w),
+    g as (select *, least(cap, (select level from o where level <= cap / w order by cap / w, rk limit 1) * w) as target from o),
+    p as (select d.doc_id, d.size, source_size, target, b, e, sum(size) over (partition by d.source order by key, size rows unbounded preceding) - size as before
+        from d join g on d.source is not distinct from g.source),
+    t as (select *, greatest(0, least(size, cast(round(target) as bigint) - before)) as one, greatest(0, least(size, cast(round(target) as bigint) - before - source_size)) as two from p),
+    q as (select *, case when one > 0 then (before + one / cast(2 as double)) / target end as q from t)
+select doc_id, size, source_size, round(target, 6) as target, cast(one + two as bigint) as taken, case when q is not null then round(least(1, q * (b + e) / (b + sqrt(b * b + (e * e - b * b) * q))), 9) end as position from q
+"""
+
+_WARC_SQL = """
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha256(h) as payload_digest,
+    case when strlen(h) >= 100 and page_id is distinct from m and m is not null then 'revisit' else 'response' end as record_type,
+    case when strlen(h) >= 100 and page_id is distinct from m then m end as refers_to
+from (select page_id, h, min(page_id) over (partition by h) as m from (select page_id, coalesce(html, '') as h from pages))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL}
