@@ -5,7 +5,8 @@ rest is packed in rounds over two tables in order of size: the pieces left, and
 whole numbers up to the capacity, so equal sizes are one row with a count, and a round moves runs, not documents: both
 tables have at most ``capacity`` sizes, whatever the corpus. A round sweeps both tables from the largest size down, and
 each piece size learns its successor, the smallest gap left that holds it; pieces that compete for a gap go by rank, the
-largest first. Then gaps are updated and the next round begins. Where pieces remain that no gap holds, as many new
+largest first. These run tables are so small that sweeping them as Spark jobs costs more than all other work, so they are
+swept where they are kept, on the driver. Then gaps are updated and the next round begins. Where pieces remain that no gap holds, as many new
 sequences are opened as their tokens fill. In the end all documents, ranked within their length in parallel, take their
 places from the rounds' runs.
 
@@ -16,12 +17,12 @@ each (their pieces count from 0); other columns are ignored; an empty table give
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -83,36 +84,28 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
 
 # --- rounds -------------------------------------------------------------------------------------------------------
-def sweep(spark: SparkSession, units: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """One round's matches: ``units(length, n)`` and ``gaps(gap, n)``, each size once, to (length, gap, n).
+def sweep(units: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """One round's matches: ``units(length, n)`` and ``gaps(gap, n)``, each size once, to {(length, gap): n}.
 
     From the largest size down, every gap goes on a stack and every unit takes the gap on top, which is the smallest
-    free one that holds it; so gaps are never taken twice, and units that compete for one go by rank. The height of the
-    stack is a running sum, and a unit's gap is the last one put at its height: running sums and a lag over runs of
-    heights find all matches at once.
+    free one that holds it; so gaps are never taken twice, and units that compete for one go by rank.
     """
-    rows = [(g, 0, n) for g, n in gaps] + [(u, 1, n) for u, n in units]
-    # at most twice the capacity of rows: one partition, so that no window or join below deals them out again
-    both = spark.createDataFrame(rows, "size int, unit int, n long").coalesce(1)
-    order = Window.orderBy(F.col("size").desc(), "unit")
-    both = both.withColumn("place", F.row_number().over(order))
-    both = both.withColumn("sum", F.sum(F.when(F.col("unit") == 1, -F.col("n")).otherwise(F.col("n"))).over(Window.orderBy("place")))
-    both = both.withColumn("low", F.least(F.lit(0), F.min("sum").over(Window.orderBy("place"))))
-    both = both.withColumn("after", F.col("sum") - F.col("low"))
-    both = both.withColumn("before", F.coalesce(F.lag("after").over(Window.orderBy("place")), F.lit(0)))
-    both = both.where("after <> before")  # units that find no gap
-    heights = both.select(F.explode(F.array("before", "after")).alias("h")).distinct()
-    heights = heights.select("h", F.row_number().over(Window.orderBy("h")).alias("k"), F.lead("h").over(Window.orderBy("h")).alias("next"))
-    one, two = (heights.select(F.col("h").alias(f"h{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
-    spans = both.join(one.hint("merge"), F.col("before") == F.col("h1")).join(two.hint("merge"), F.col("after") == F.col("h2"))
-    spans = spans.select("place", "size", "unit", F.explode(F.sequence(F.least("k1", "k2"), F.greatest("k1", "k2") - 1)).alias("k"))
-    top = F.lag("size").over(Window.partitionBy("k").orderBy("place"))
-    matched = spans.withColumn("gap", top).where("unit = 1").join(heights.hint("merge"), "k")
-    found = matched.groupBy(F.col("size").alias("length"), "gap").agg(F.sum(F.col("next") - F.col("h")).alias("n"))
-    return [(r["length"], r["gap"], r["n"]) for r in found.collect()]  # runs, not documents
-
-
-def pack_runs(match: Callable[[list, list], list], lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    stack: list[list[int]] = []
+    found: dict[tuple[int, int], int] = {}
+    for size, unit, n in sorted([(-g, 0, n) for g, n in gaps] + [(-u, 1, n) for u, n in units]):
+        if not unit:
+            stack.append([-size, n])
+        while unit and n and stack:
+            gap, there = stack[-1]
+            m = min(n, there)
+            found[-size, gap] = found.get((-size, gap), 0) + m
+            n, stack[-1][1] = n - m, there - m
+            if m == there:
+                stack.pop()
+    return found
+
+
+def pack_runs(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Rounds until every piece is placed: ``lengths`` has the number of pieces of each length; to runs (length, first rank,
     pieces, pieces a sequence, first sequence, offset there)."""
     left = {k: n for k, n in lengths.items() if n}
@@ -135,8 +128,8 @@ def pack_runs(match: Callable[[list, list], list], lengths: dict[int, int], capa
                 if size and take:
                     units[k * size] = units.get(k * size, 0) + take
                     made.setdefault(k * size, []).append((k, size, take))
-        found = match(sorted(units.items()), sorted(count.items())) if units else []
-        for size, gap, n in sorted(found, reverse=True):
+        found = sweep(list(units.items()), list(count.items()))
+        for (size, gap), n in sorted(found.items(), reverse=True):
             runs = gaps[gap]
             while n:
                 k, each, take = made[size].pop()
@@ -172,7 +165,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     parts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     parts = cut_lineage(parts)
     lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = pack_runs(lambda u, g: sweep(spark, u, g), lengths, capacity)
+    runs = pack_runs(lengths, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     starts = parts.select("length", "part", before.alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
