@@ -49,11 +49,14 @@ def cell_matrix(accepts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.select("model", "evalset", state.alias("state")).where("state is not null")
 
 
-def result_grid(accepts: DataFrame, cells: DataFrame, latest: DataFrame, sets: list[str]) -> DataFrame:
-    """A row for each model, a column for each set: run, na, guard or todo."""
+def result_grid(accepts: DataFrame, cells: DataFrame, latest: DataFrame, models: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each model, a column for each set: run, trained (guarded), na, off (``models(model, adapter)`` has no
+    adapter), pending (``sets(evalset, ready)`` isn't there yet) or todo."""
     rows = accepts.join(cells, ["model", "evalset"], "left").join(latest.select("model", "evalset", "run_id"), ["model", "evalset"], "left")
-    kind = F.when(F.col("run_id").isNotNull(), "run").otherwise(F.coalesce("state", F.lit("todo")))
-    return rows.select("model", "evalset", kind.alias("kind")).groupBy("model").pivot("evalset", sets).agg(F.first("kind"))
+    rows = rows.join(models, "model").join(sets, "evalset")
+    kind = F.when(F.col("run_id").isNotNull(), "run").when(F.col("state") == "guard", "trained").when(F.col("state") == "na", "na")
+    kind = kind.when(~F.col("adapter"), "off").when(~F.col("ready"), "pending").otherwise("todo")
+    return rows.select("model", "evalset", kind.alias("kind")).groupBy("model").pivot("evalset", columns).agg(F.first("kind"))
 
 
 def archive_index(runs: DataFrame, records: DataFrame, published: DataFrame, restricted: DataFrame) -> DataFrame:

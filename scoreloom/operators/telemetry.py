@@ -76,7 +76,6 @@ def profile(rows: DataFrame, by: str, seconds: str, units: str) -> DataFrame:
     return rows.groupBy(by).agg(F.percentile(ms, 0.5).alias("median_ms"), F.percentile(F.try_divide(ms, F.col(units)), 0.5).alias("median_ms_per_unit"), F.avg(units).alias("mean_units"))
 
 
-def estimate_hours(modality: Column, items: Column, ms: Column, units: Column) -> Column:
-    """Model-only time for a set: audio models by window, others by frame; null without a profile."""
-    each = F.when(modality == "audio", ms * F.coalesce(units, F.lit(1.0))).otherwise(ms * F.coalesce(units, F.lit(32.0)))
-    return items * each / 3.6e6
+def estimate_seconds(modality: Column, items: Column, windows: Column, ms_per_unit: Column, ms_per_item: Column) -> Column:
+    """Model-only time for a set: an audio model's by window (null until a run has counted them), another's by item."""
+    return F.when(modality == "audio", windows * ms_per_unit / 1000).otherwise(items * ms_per_item / 1000)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import frames, lineage, status, telemetry
+from ..operators import catalogue, frames, lineage, status, telemetry
 from ..sources import tables as t
 from ..sources.tables import with_views
 from . import registry
@@ -160,7 +160,9 @@ def cell_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def result_grid(spark: SparkSession, d: str) -> DataFrame:
     accepts, cells = _cells(spark)
-    return status.result_grid(accepts, cells, _latest(spark), ["es_clips", "es_joint", "es_old", "es_voice"])
+    models = registry.frame(spark, "reg_models").select("model", (F.col("status") != "blocked").alias("adapter"))
+    sets = registry.frame(spark, "reg_sets").select("evalset", (F.col("items") > 500).alias("ready"))
+    return status.result_grid(accepts, cells, _latest(spark), models, sets, ["es_clips", "es_joint", "es_old", "es_voice"])
 
 
 def archive_index(spark: SparkSession, d: str) -> DataFrame:
@@ -204,9 +206,62 @@ def auc_bin(spark: SparkSession, d: str) -> DataFrame:
 
 def time_estimate(spark: SparkSession, d: str) -> DataFrame:
     sets = registry.frame(spark, "reg_sets").select("evalset", "modality", "items")
-    ms = F.when(F.col("modality") != "audio_video", F.lit(4.5))
-    hours = telemetry.estimate_hours(F.col("modality"), F.col("items"), ms, F.lit(None).cast("double"))
-    return sets.select("evalset", F.round(hours, 6).alias("hours"), scalar.duration_text(hours * 3600).alias("text"))
+    windows = F.when(F.col("items") > 10, F.col("items") * 3)
+    took = telemetry.estimate_seconds(F.col("modality"), F.col("items"), windows, F.lit(4.5), F.lit(7200.0))
+    return sets.select("evalset", F.round(took, 6).alias("seconds"), scalar.duration_text(took).alias("text"))
+
+
+def source_patterns(spark: SparkSession, d: str) -> DataFrame:
+    rows = registry.frame(spark, "reg_datasets").groupBy("modality").agg(F.map_from_entries(F.collect_set(F.struct("language", F.array(F.concat("language", F.lit("/*"))).alias("p")))).alias("by_language"))
+    keyed = rows.where("modality = 'audio'").select(F.col("modality").alias("dataset"), F.array(F.lit("*.csv")).alias("base"), "by_language")
+    return catalogue.listing_patterns(keyed, ["hi", "bn"])
+
+
+def newest_files(spark: SparkSession, d: str) -> DataFrame:
+    c = t.table(spark, d, "conversations").select(F.concat(F.lit("f"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("store"), F.col("conv_id").alias("store_rank"), F.length("text").cast("long").alias("modified"))
+    return catalogue.newest_files(c)
+
+
+def run_wall(spark: SparkSession, d: str) -> DataFrame:
+    e = t.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("modified"), "event_id")
+    return catalogue.run_wall(e.select("run_id", "modified", (F.col("event_id") % 7).alias("n_windows")), e.select("run_id", F.col("modified").alias("started")))
+
+
+def set_sizes(spark: SparkSession, d: str) -> DataFrame:
+    items = t.doc_items(spark, d).select(F.col("language").alias("evalset"), "item_id")
+    counted = t.doc_items(spark, d).where("method = 'src1'").select(F.col("language").alias("evalset"), F.col("item_id").alias("run_id"), F.col("n_chars").alias("windows"))
+    return catalogue.set_sizes(items, counted)
+
+
+def default_sets(spark: SparkSession, d: str) -> DataFrame:
+    sets = registry.frame(spark, "reg_components").groupBy("evalset", "modality").agg(F.collect_set("dataset").alias("datasets"))
+    accepts = lineage.accept_matrix(registry.frame(spark, "reg_models"), registry.frame(spark, "reg_sets")).where("accepted")
+    rows = accepts.join(sets, "evalset").join(registry.frame(spark, "reg_models").select("model", F.col("modality").alias("model_modality")), "model")
+    return catalogue.default_sets(rows.withColumn("position", F.col("evalset")))
+
+
+def smallest_archives(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.smallest_archives(t.doc_items(spark, d).select(F.col("label"), F.col("n_chars").alias("size"), F.col("item_id").alias("member")))
+
+
+def published_difference(spark: SparkSession, d: str) -> DataFrame:
+    ours, theirs = F.col("l_discount").cast("double") * 10, F.when(F.col("l_orderkey") % 5 > 0, F.col("l_tax").cast("double") * 10 + 0.003)
+    return t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", catalogue.published_difference(ours, theirs).alias("difference"))
+
+
+def holdings(spark: SparkSession, d: str) -> DataFrame:
+    rec = F.when(F.col("held"), "full").when(F.col("language") == "bn", "sample")
+    state = F.when(F.col("role") == "reproduction", "request").otherwise("open")
+    rows = registry.frame(spark, "reg_datasets").select("dataset", catalogue.holding(rec, state, F.array(F.lit("hi")), F.array_distinct(F.array("language", F.lit("hi")))).alias("state"))
+    return rows
+
+
+def headline_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.headline(registry.frame(spark, "reg_models").select(F.col("status").alias("state")))
+
+
+def licence_names(spark: SparkSession, d: str) -> DataFrame:
+    return registry.frame(spark, "reg_models").select("model", catalogue.licence_name(F.col("name")).alias("short"))
 
 
 def siblings(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +408,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "result_grid": (
         result_grid,
         _reg(
-            "select model, max(kind) filter (evalset = 'es_clips') es_clips, max(kind) filter (evalset = 'es_joint') es_joint, max(kind) filter (evalset = 'es_old') es_old, max(kind) filter (evalset = 'es_voice') es_voice from (select model, evalset, case when run_id is not null then 'run' else coalesce(state, 'todo') end as kind from cells left join latest using (model, evalset)) group by model",
+            "select model, max(kind) filter (evalset = 'es_clips') es_clips, max(kind) filter (evalset = 'es_joint') es_joint, max(kind) filter (evalset = 'es_old') es_old, max(kind) filter (evalset = 'es_voice') es_voice from (select model, evalset, case when run_id is not null then 'run' when state = 'guard' then 'trained' when state = 'na' then 'na' when m.status = 'blocked' then 'off' when e.items <= 500 then 'pending' else 'todo' end as kind from cells left join latest using (model, evalset) join reg_models m using (model) join reg_sets e using (evalset)) group by model",
             **_CELLS,
             latest=_LATEST,
         ),
@@ -381,8 +436,28 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "auc_bin": (auc_bin, with_views("select item_id, case when score is null then null else (case when f < 0.2 then 0 when f < 0.5 then 1 when f < 0.8 then 2 when f < 0.94 then 3 else 4 end) * (case when score < 0.5 then -1 else 1 end) end as bin from (select *, abs(2 * score - 1) as f from doc_items)", "doc_items")),
     "time_estimate": (
         time_estimate,
-        _reg("select evalset, round(h, 6) as hours, case when s >= 3600 then printf('%d h %02d m', s // 3600, s % 3600 // 60) when s >= 60 then printf('%d m %02d s', s // 60, s % 60) else printf('%d s', s) end as text from (select *, cast(floor(h * 3600) as bigint) as s from (select evalset, case when modality <> 'audio_video' then items * 4.5 * (case when modality = 'audio' then 1.0 else 32.0 end) / 3.6e6::double end as h from reg_sets))"),
+        _reg("select evalset, round(s, 6) as seconds, case when n >= 3600 then printf('%d h %02d m', n // 3600, n % 3600 // 60) when n >= 60 then printf('%d m %02d s', n // 60, n % 60) when n is not null then printf('%d s', n) end as text from (select evalset, s, cast(floor(s) as bigint) as n from (select evalset, case when modality = 'audio' then case when items > 10 then items * 3 * cast(4.5 as double) / 1000 end else items * cast(7200 as double) / 1000 end as s from reg_sets))"),
+    ),
+    "source_patterns": (source_patterns, "select 'audio' as dataset, unnest(['*.csv', 'hi/*', 'bn/*']) as pattern"),
+    "newest_files": (newest_files, "select concat('f', cast(turn as varchar)) as path, concat('s', cast(arg_max(conv_id, struct_pack(m := length(text), r := -conv_id)) as varchar)) as store, max(length(text)) as modified from conversations group by turn"),
+    "run_wall": (run_wall, "select user_id as run_id, cast(max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000) as bigint) as wall_s, cast(sum(event_id % 7) as bigint) as windows from events group by user_id"),
+    "set_sizes": (set_sizes, with_views("select language as evalset, count(*) as items, arg_min(n_chars, item_id) filter (method = 'src1' and n_chars > 0) as windows from doc_items group by language", "doc_items")),
+    "default_sets": (
+        default_sets,
+        _reg(
+            "select model, evalset from (select a.model, a.evalset, row_number() over (partition by a.model, s.data order by case when s.modality = m.modality then 0 else 1 end, a.evalset) as n from a join s using (evalset) join reg_models m on m.model = a.model where accepted) where n = 1",
+            a=ACCEPT_SQL,
+            s="select evalset, any_value(modality) as modality, list_sort(list(distinct dataset)) as data from reg_components group by evalset",
+        ),
+    ),
+    "smallest_archives": (smallest_archives, with_views("select label, item_id as member, n_chars as size from doc_items qualify row_number() over (partition by label order by n_chars, item_id) = 1", "doc_items")),
+    "published_difference": (
+        published_difference,
+        "select l_orderkey, l_linenumber, case when d is null then '·' else concat(case when d > 0.005 then '+' when d < -0.005 then '−' else '±' end, printf('%.2f', abs(d))) end as difference from (select *, cast(l_discount as double) * 10 - case when l_orderkey % 5 > 0 then cast(l_tax as double) * 10 + cast(0.003 as double) end as d from lineitem)",
     ),
+    "holdings": (holdings, _reg("select dataset, case when held then case when language = 'hi' then 'in hand' else 'in hand: 1 of 2 languages' end when language = 'bn' then 'sample only' when role = 'reproduction' then 'on request' else 'open' end as state from reg_datasets")),
+    "headline_counts": (headline_counts, _reg("select status as state, count(*) as n from reg_models group by status")),
+    "licence_names": (licence_names, _reg("select model, split_part(name, ' (', 1) as short from reg_models")),
     "siblings": (siblings, _reg("select model, lag(model) over w as previous, lead(model) over w as next from reg_models window w as (partition by modality order by model)")),
     "run_lengths": (run_lengths, "select conv_id, cast(run as bigint) as run, role, count(*) as n, min(turn) as first from (select *, sum(c) over (partition by conv_id order by turn) as run from (select conv_id, turn, role, case when role = lag(role) over (partition by conv_id order by turn) then 0 else 1 end as c from conversations)) group by all"),
     "grid_columns": (grid_columns, _reg("select evalset, cast(row_number() over (order by case when role = 'reproduction' then 1 else 0 end, case when runs > 0 then 0 else 1 end, items desc, evalset) as integer) as place from reg_sets left join (select evalset, count(*) as runs from latest group by evalset) using (evalset)", latest=_LATEST)),
