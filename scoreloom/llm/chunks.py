@@ -106,24 +106,23 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, span_start, span_end, n_words, n_chunks, source_doc_id, source_start): bytes of the text that documents
-    with smaller ids have, and where the first chunk of each span stands first."""
+    """(doc_id, span_start, span_end, n_words, n_chunks, source_doc_id): bytes of the text that documents with smaller ids
+    have, and the first document that has the span's first chunk."""
     rows = chunk_rows(docs, id_col, text_col)
-    order = F.struct(F.col("doc").isNull().alias("n"), "doc", "place")
-    # the smallest and the largest place tell whether two documents have it; minima combine before the shuffle
-    first = rows.groupBy("digest").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    first = first.where(~F.col("low.doc").eqNullSafe(F.col("high.doc"))).select("digest", F.col("low.doc").alias("source"), F.col("low.place").alias("source_place"))
+    # the smallest and the largest id tell whether two documents have a chunk; both combine before the shuffle
+    first = rows.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("other"), (F.count("*") - F.count("doc")).alias("nameless"))
+    first = cut_lineage(first.where("source <> other or nameless > 0 and source is not null").select("digest", "source"))
     found = rows.join(first, "digest").where(~F.col("doc").eqNullSafe(F.col("source")))
     start, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    found = found.select("doc", start.alias("start"), (start + size).alias("end"), F.col("place").bitwiseAND(255).alias("words"), "source", F.shiftright("source_place", 16).alias("source_start"))
+    found = found.select("doc", start.alias("start"), (start + size).alias("end"), F.col("place").bitwiseAND(255).alias("words"), "source")
     found = found.distinct()  # rows that repeat an id
     w = Window.partitionBy("doc").orderBy("start", "end")
     new = F.coalesce(F.lag("end").over(w) < F.col("start"), F.lit(True)).cast("int")
     runs = found.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    head = F.min(F.struct("start", "source", "source_start")).alias("head")
+    head = F.min(F.struct("start", "source")).alias("head")
     spans = runs.groupBy("doc", "run").agg(head, F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
     spans = spans.where(F.col("n_words") >= min_words)
-    return spans.select(F.col("doc").alias("doc_id"), F.col("head.start").alias("span_start"), "span_end", "n_words", "n_chunks", F.col("head.source").alias("source_doc_id"), F.col("head.source_start").alias("source_start"))
+    return spans.select(F.col("doc").alias("doc_id"), F.col("head.start").alias("span_start"), "span_end", "n_words", "n_chunks", F.col("head.source").alias("source_doc_id"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
