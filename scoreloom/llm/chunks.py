@@ -69,6 +69,8 @@ def boundaries(data: bytes) -> list[int]:
         end = min(c + 1, n)
         while end - last > most:
             last += most
+            while data[last] & 0xC0 == 0x80:  # not inside a character
+                last -= 1
             out.append(last)
         if end - last >= least or end == n:
             if end > last:

@@ -27,6 +27,8 @@ def slow_boundaries(data):
         end = i + 1
         if end - last > most:
             last += most
+            while data[last] & 0xC0 == 0x80:
+                last -= 1
             out.append(last)
         word_end = data[i] in space and i > 0 and data[i - 1] not in space
         if word_end and slow_gear(data, i) % 65536 < 65536 // chunks.WORDS_A_CHUNK and end - last >= least:
@@ -38,7 +40,7 @@ def slow_boundaries(data):
 
 
 def test_boundaries_equal_one_byte_at_a_time():
-    for data in (b"", b"a", b" ", prose(300).encode(), b"x" * 1000, b" \n" * 300, prose(40).encode() + b"y" * 700 + b" z", "é ü\n\n".encode() * 90):
+    for data in (b"", b"a", b" ", prose(300).encode(), b"x" * 1000, b" \n" * 300, prose(40).encode() + b"y" * 700 + b" z", "é ü\n\n".encode() * 90, ("a" + "é한🙂" * 300).encode()):
         got = chunks.boundaries(data)
         assert got == slow_boundaries(data), data[:40]
         assert all(0 < j - i <= chunks.CHUNK_BYTES[1] for i, j in zip(got, got[1:], strict=False))
@@ -98,4 +100,7 @@ def test_odd_rows(spark):
     nine = next(k[2] for k in left if k[1] == 9)
     assert nine.startswith(q) and p not in nine
     empty = spark.createDataFrame([], "doc_id long, text string")
+    wide = [(1, "é" * 900 + " " + p), (2, "aé" + "é" * 898 + "한" * 400 + " " + p)]
+    found = {r.doc_id: r.text for r in chunks.without_repeats(spark.createDataFrame(wide, "doc_id long, text string")).collect()}
+    assert found[1] == wide[0][1] and p not in found[2] and set(found[2]) <= set(wide[1][1])
     assert chunks.repeated_spans(empty).count() == 0 and chunks.without_repeats(empty).count() == 0
