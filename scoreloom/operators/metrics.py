@@ -81,9 +81,14 @@ def direction_ok(df: DataFrame) -> DataFrame:
 
 def hash_bootstrap(df: DataFrame, replicates: int, seed: int = 0, key: str = "item_id") -> DataFrame:
     """(replicate, auc, eer): each replicate draws as many reals and fakes as there are, with replacement, by hash. Draw k of
-    class y takes the row whose rank by ``key`` in its class is the hash of (seed, replicate, y, k) modulo the class's size."""
+    class y takes the row whose rank in its class, by the hash of ``key``, is the hash of (seed, replicate, y, k) modulo the
+    class's size. Ranks are counted in 4,096 parts of the hash's range and over the parts, so no class is sorted as a whole."""
     rows = df.where("status = 'ok' and score is not null").select(key, roc.binary().alias("y"), F.col("score").alias("s"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(key)) - 1)
+    rows = rows.withColumn("h", F.sha1(key)).withColumn("part", F.substring("h", 1, 3))
+    parts = rows.groupBy("y", "part").agg(F.count("*").alias("n"))
+    parts = parts.select("y", "part", (F.sum("n").over(Window.partitionBy("y").orderBy("part")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("y", "part").orderBy("h", key)) - 1
+    rows = rows.withColumn("local", local).join(parts, ["y", "part"]).select("y", "s", (F.col("before") + F.col("local")).alias("rank"))
     sizes = rows.groupBy("y").agg(F.count("*").alias("size"))
     spark = df.sparkSession
     draws = rows.join(F.broadcast(sizes), "y").select("y", "size", F.col("rank").alias("k")).join(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))

@@ -20,6 +20,7 @@ def choose(df: DataFrame, per_stratum: int, stratum: str, seed: int = 0, key: st
 def pick_balanced(df: DataFrame, n: int, seed: int = 0, key: str = "item_id") -> DataFrame:
     """``n`` rows, half of each label; what one label lacks the other gives."""
     rows = df.withColumn("_rank", hash_rank(seed, key)).withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("_rank", key)))
+    rows = rows.where(F.col("_n") <= n)  # a fixed bound, so each task keeps no more than that before the shuffle
     have = df.agg(F.count_if(F.col("label") == "real").alias("r"), F.count_if(F.col("label") == "fake").alias("f"))
     real = F.least(F.col("r"), F.greatest(F.lit(n // 2), F.lit(n) - F.col("f")))
     quota = have.select(F.explode(F.array(F.struct(F.lit("real").alias("label"), real.alias("q")), F.struct(F.lit("fake").alias("label"), F.least(F.col("f"), F.lit(n) - real).alias("q")))).alias("x")).select("x.*")

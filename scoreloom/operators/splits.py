@@ -35,16 +35,16 @@ def identity_components(items: DataFrame, key: str = "item_id", ids: tuple[str,
 
 def identity_split(items: DataFrame, fractions: dict[str, float], seed: int = 0, key: str = "item_id") -> DataFrame:
     """(key, component, split): components in the order of a hash go to the split that is furthest below its share, the first
-    of equal ones; no identity spans two splits. The fold is over the sizes of components of several items, not over items;
-    components of one item, any number of them, are dealt in proportion by hash."""
+    of equal ones; no identity spans two splits. Only components of more than a thousandth of all items are dealt one by
+    one, so there are fewer than a thousand; smaller ones can't unbalance a split and are dealt in proportion by hash."""
     if abs(sum(fractions.values()) - 1) > 1e-9:
         raise ValueError(f"fractions must sum to 1, got {fractions}")
     comps = identity_components(items, key=key)
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
     names = sorted(fractions, key=list(fractions).index)
-    big = sizes.where("n > 1")
-    total = big.agg(F.sum("n")).first()[0] or 0
-    rows = big.select("component", "n").orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), "component"))).toLocalIterator()
+    every = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = sizes.where(F.col("n") * 1000 > every).orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), "component"))).collect()
+    total = sum(r["n"] for r in rows)
     have, dealt = dict.fromkeys(names, 0), []
     for r in rows:
         name = max(names, key=lambda s: (fractions[s] * total - have[s]) / max(fractions[s] * total, 1e-9))

@@ -174,7 +174,7 @@ _BOOT_SQL = with_views(
     "select replicate, round(auc, 6) auc, round(eer, 6) eer from areas join crossing using (replicate)",
     *_VIEWS,
     joined=_JOINED,
-    base="select case when label = 'fake' then 1 else 0 end as y, score as s, row_number() over (partition by case when label = 'fake' then 1 else 0 end order by item_id) - 1 as rank from joined where status = 'ok' and score is not null",
+    base="select case when label = 'fake' then 1 else 0 end as y, score as s, row_number() over (partition by case when label = 'fake' then 1 else 0 end order by sha1(item_id), item_id) - 1 as rank from joined where status = 'ok' and score is not null",
     sizes="select y, count(*) as size from base group by y",
     draws=f"""select replicate, b.y, cast(concat('0x', substr(sha1(concat('0:', cast(replicate as varchar), ':', cast(b.y as varchar), ':', cast(rank as varchar))), 1, 8)) as bigint) % size as rank
         from base b join sizes using (y) cross join (select range as replicate from range({REPLICATES}))""",
