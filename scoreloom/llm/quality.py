@@ -3,7 +3,8 @@
 Each line is content or boilerplate; the Viterbi path gives the labels, and a document is kept if at least
 ``CONTENT_SHARE`` of its words stand in content lines. The field's weights are fitted here by the exact gradient of the
 likelihood (forward and backward sums) on at most ``FIT_ROWS`` documents with a quality label, those with the smallest
-hash of their id. Lines take their document's label; documents that fail the base rules are not learnt from; without labels of both classes ``PRIOR`` is used.
+hash of their id. Lines take their document's label; documents that fail the base rules are not learnt from; without
+labels of both classes ``PRIOR`` is used.
 
 Nulls and odd cases: a null text has no words and fails the base rules, as does one of fewer than 20 words; a null id is
 kept; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
