@@ -2,12 +2,13 @@
 
 A text's terms are its distinct lower-cased words and their leading 4 and 5 characters (word stems), each hashed to
 ``HASH_BITS`` bits. The machine is fitted on at most ``FIT_ROWS`` labelled rows, those with the smallest hash of their
-id (all of them, if there are fewer), never one of the held-out fold. Of their hashed terms the ``TERMS`` that tell the
-classes apart best by chi-square are kept, of those that chance hardly explains; the model has a weight and ``FACTORS`` factors for each, so a pair of terms
+id (all of them, if there are fewer), never one of the held-out fold. Their hashed terms are counted in Spark; the
+``TERMS`` that tell the classes apart best by chi-square are kept, of those that chance hardly explains, and only their
+places go to the driver. The model has a weight and ``FACTORS`` factors for each, so a pair of terms
 counts beyond the sum of its parts. Every row of the table is then scored over its whole text.
 
 Nulls and odd cases: a null or empty text has no terms and gets the score of the bias; a null id is held out; rows that
-repeat an id are scored each; an id with several labels counts as toxic if one says so; labels without a document are
+repeat an id are scored each, and learnt from once; an id with several labels counts as toxic if one says so; labels without a document are
 ignored; with no labels, or only one class, every score is the share of toxic labels (0 without any). Other columns are
 never inputs. An empty table gives an empty result.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .shared import cut_lineage, map_batches
 
 #: The bound on rows that the classifier is fitted on.
 FIT_ROWS = 12_000
@@ -68,24 +69,16 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Adam on the log loss, in a fixed order; ``docs`` has the hashed terms of each document."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, best: np.ndarray) -> Machine:
+    """Adam on the log loss, in a fixed order; ``docs`` has each document's rows of ``best``, the hashed terms that are kept."""
     place = np.full(1 << HASH_BITS, -1, np.int32)
     n, toxic = len(docs), float(labels.sum())
     prior = toxic / n if n else 0.0
     nothing = Machine(float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))), place, np.zeros(1), np.zeros((1, FACTORS)))
     if toxic in (0.0, float(n)):
         return nothing
-    flat, owner = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
-    df = np.bincount(flat, minlength=1 << HASH_BITS).astype(float)
-    hit = np.bincount(flat, weights=labels[owner], minlength=1 << HASH_BITS)
-    gap = hit - df * prior
-    chi = np.where(df >= 3, gap * gap / np.maximum(df * prior * (1 - prior), 1e-9), 0.0)
-    best = np.argsort(-chi, kind="stable")[:TERMS]
-    best = np.sort(best[chi[best] >= LEAST_CHI])
     place[best] = np.arange(len(best))
-    keep = place[flat] >= 0
-    flat, owner = place[flat][keep], owner[keep]
+    flat, owner = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
     starts = np.searchsorted(owner, np.arange(n + 1))
 
     rng = np.random.default_rng(8)
@@ -129,13 +122,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(terms(t)) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["id", "toxic", "terms"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = map_batches(texts, work, f"id {kind}, toxic int, terms binary")
-    found = found.orderBy(F.xxhash64("id"), "id", "terms").limit(rows)  # ids may repeat among the documents
-    got = found.collect()
-    return fit([np.sort(np.frombuffer(bytes(r["terms"]), np.int32)) for r in got], np.array([r["toxic"] for r in got], float))
+    found = map_batches(texts, work, f"id {kind}, toxic int, terms array<int>")
+    found = cut_lineage(found.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")))
+    best = telling_terms(found)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.flatnonzero(np.isin(best, np.asarray(t.values), assume_unique=True)).astype(np.int32).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["id", "toxic", "rows"])
+
+    # at most ``rows`` documents, each with those of its terms that are kept
+    got = map_batches(found, keep, f"id {kind}, toxic int, rows binary").orderBy(F.xxhash64("id"), "id").select("toxic", "rows").collect()
+    return fit([np.frombuffer(bytes(r["rows"]), np.int32) for r in got], np.array([r["toxic"] for r in got], float), best)
+
+
+def telling_terms(found: DataFrame) -> np.ndarray:
+    """The hashed terms of ``found(toxic, terms)`` that tell the classes apart best, at most ``TERMS``, in order."""
+    n, toxic = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
+        return np.zeros(0, np.int64)
+    prior = toxic / n
+    counted = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    gap = F.col("hit") - F.col("df") * F.lit(prior)
+    chi = counted.where("df >= 3").select("term", (gap * gap / (F.col("df") * F.lit(prior * (1 - prior)))).alias("chi"))
+    best = chi.where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term").limit(TERMS).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64))
 
 
 def score(docs: DataFrame, model: Machine, text_col: str = "text", into: str = "score") -> DataFrame:
