@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import chunks, mixing, packing, simhash, toxicity
-from scoreloom.llm.shared import shared_folder
+from scoreloom.llm import chunks, mixing, nearcopies, packing, simhash, toxicity
+from scoreloom.llm.shared import cut_lineage, shared_folder
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +20,14 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    """Keeps one document of each group of near duplicates by SimHash, the one with the smallest id."""
     return simhash.keep_one_each(docs)
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document with a smaller id has."""
-    return chunks.without_repeats(docs)
+    """Drops the near copies that SimHash leaves (five-word shingles, similarity 0.8), then cuts passages that a document
+    with a smaller id has."""
+    return chunks.without_repeats(cut_lineage(nearcopies.keep_one_each(docs)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

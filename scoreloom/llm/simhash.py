@@ -113,7 +113,7 @@ def _orderings(distinct: DataFrame) -> DataFrame:
 
 
 # --- nodes --------------------------------------------------------------------------------------------------------
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric matrix of links."""
     left, found = set(range(len(near))), []
     while left:
@@ -129,7 +129,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(fps: np.ndarray) -> list[tuple[int, int]]:
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= BITS_APART
-    return _forest(near)
+    return forest(near)
 
 
 _NODES = "t int, key long, node long, shared_and long, shared_or long, members array<long>, a array<long>, b array<long>"
@@ -226,7 +226,7 @@ def _across(nodes: DataFrame) -> DataFrame:
                 near[: len(u), len(u) :] = np.bitwise_count(u[:, None] ^ v[None, :]) <= BITS_APART
                 near |= near.T
                 both = np.concatenate([u, v]).view(np.int64)
-                if found := _forest(near):
+                if found := forest(near):
                     i, j = np.array(found).T
                     yield pa.RecordBatch.from_arrays([pa.array(both[i]), pa.array(both[j])], ["u", "v"])
 
@@ -261,8 +261,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each near-duplicate group: the one with the smallest doc_id (a null id comes
     last, then the text's hash decides; of rows that repeat both, one stays)."""
+    return keep_first(docs, grouped(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each label of ``groups(doc_id, th, label)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("k")
-    kept = grouped(docs, id_col, text_col).groupBy("label").agg(first).select(_id_key("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    kept = groups.groupBy("label").agg(first).select(_id_key("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
     keyed = docs.withColumns({"_id": _id_key(id_col), "_th": F.xxhash64(text_col)}).join(kept, ["_id", "_th"], "left_semi")
     one = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
     return keyed.withColumn("_n", one).where("_n = 1").select(*docs.columns)
