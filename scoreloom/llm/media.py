@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -84,6 +85,12 @@ def feature(samples: bytes) -> str:
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------
+@dataclass
+class _Figure:
+    media: list[dict]
+    captions: list[tuple[int, str]]  # each with the place where it would stand as text
+
+
 class _Reader(HTMLParser):
     """Texts between tags and media tags, in order; a figure's caption goes to the media in the figure."""
 
@@ -95,7 +102,7 @@ class _Reader(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
-        self.figure: list[dict] | None = None
+        self.figures: list[_Figure] = []  # the open ones, the outermost first
         self.caption = False
 
     def end_text(self) -> str:
@@ -104,18 +111,47 @@ class _Reader(HTMLParser):
         return text
 
     def put_text(self) -> None:
-        if text := self.end_text():
+        if self.caption:  # a block of the caption
+            self.words.append(" ")
+        elif text := self.end_text():
             self.items.append({"kind": "text", "text": text})
 
+    def end_caption(self) -> None:
+        if self.caption:
+            self.caption = False
+            self.figures[-1].captions.append((len(self.items), self.end_text()))
+
+    def end_figure(self) -> None:
+        """The caption, wherever it stands, goes to the figure's media that have none of their own figure; without media it is text."""
+        self.end_caption()
+        self.put_text()
+        figure = self.figures.pop()
+        if figure.media and figure.captions:
+            text = " ".join(t for _, t in figure.captions if t)
+            for item in figure.media:
+                item["caption"] = text
+        elif figure.media and self.figures:
+            self.figures[-1].media += figure.media
+        else:
+            for at, text in reversed(figure.captions):
+                self.items[at:at] = [{"kind": "text", "text": text}] if text else []
+
+    def finish(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.put_text()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SILENT:
             self.silent += 1
         elif tag == "figure":
+            self.end_caption()
             self.put_text()
-            self.figure = []
+            self.figures.append(_Figure([], []))
         elif tag == "figcaption":
+            self.end_caption()
             self.put_text()
-            self.caption = True
+            self.caption = bool(self.figures)  # outside a figure it is text
         elif tag in self.MEDIA:
             self.put_text()
             a = dict(attrs)
@@ -123,21 +159,23 @@ class _Reader(HTMLParser):
             size = a.get("data-bytes") or ""
             item = {"kind": tag, "source": source, "digest": source.removeprefix("sha256:") if source.startswith("sha256:") else None, "caption": a.get("alt"), "n_bytes": int(size) if size.isdecimal() else None}
             self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            if self.figures:
+                self.figures[-1].media.append(item)
         elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "article", "section", "table", "tr", "ul", "ol", "nav"):
             self.put_text()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption:
-            text, self.caption = self.end_text(), False
-            for item in self.figure or []:
-                item["caption"] = text
+        elif tag == "figcaption":
+            if self.caption:
+                self.end_caption()
+            else:
+                self.put_text()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "article", "section", "figure", "tr", "td"):
             self.put_text()
-            self.figure = None if tag == "figure" else self.figure
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -148,7 +186,7 @@ def sequence(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    reader.put_text()
+    reader.finish()
     return [{"position": i, **x} for i, x in enumerate(reader.items)]
 
 

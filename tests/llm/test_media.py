@@ -27,6 +27,31 @@ def test_sequence_keeps_order_and_captions():
     assert media.sequence(None) == media.sequence("") == []
 
 
+def test_captions_reach_their_media_wherever_they_stand():
+    flat = lambda html: [(x["kind"], x.get("text"), x.get("caption")) for x in media.sequence(html)]
+    cap = "<figcaption>the <p>cap</p></figcaption>"
+    two = [("img", None, "the cap"), ("img", None, "the cap")]
+    for inner in (f"{cap}<img alt='x'><img>", f"<img>{cap}<img>", f"<img><img>{cap}"):
+        assert flat(f"<figure>{inner}</figure>") == two
+    assert flat(f"a{cap}b") == [("text", "a", None), ("text", "the", None), ("text", "cap", None), ("text", "b", None)]
+    assert flat(f"a<figure>{cap}<p>q</figure>b") == [("text", t, None) for t in ("a", "the cap", "q", "b")]
+    assert flat(f"<figure>{cap}<figure><img></figure><figure><img><figcaption>own</figcaption></figure></figure>") == [two[0], ("img", None, "own")]
+    assert flat("<figure><figcaption>open<img>") == [("img", None, "open")]
+    assert flat("<figure><img alt='kept'></figure></figure><img alt='y'>z") == [("img", None, "kept"), ("img", None, "y"), ("text", "z", None)]
+
+
+def test_interleaved_over_real_pages_loses_no_medium_and_no_word(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r["items"] for r in media.interleaved(pages, "page_id").collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) and any(got.values())
+    for r in rows[:50]:
+        lone = "<figure><figcaption>before it</figcaption><img src='i'></figure>"
+        items = media.sequence((r.html or "") + lone)
+        assert [(x["kind"], x.get("caption")) for x in items][-1] == ("img", "before it")
+        assert [x.get("text") for x in items[:-1]] == [x["text"] for x in got[r.page_id]]
+
+
 def test_query_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é" * 32), (4, "é" * 33), (5, "copy"), (6, "copy"), (6, "copy"), (None, "<b>&\"'"), (8, "long " * 60_000), (9, "copy\0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("html", F.lit("clash"))
