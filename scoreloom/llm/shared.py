@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space and the bytes 9 to 13. bytes.split() splits at exactly these.
 WHITE_SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -15,10 +16,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a fresh local one only where that
-    is unset, as in tests on a single machine."""
+    is unset and one machine runs everything, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scoreloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -38,3 +41,28 @@ def map_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Ite
         yield from work(b for b in batches if b.num_rows)
 
     return frame.mapInArrow(run, schema)
+
+
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``frame`` has it."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"  # noqa: PLW2901
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``frame`` with each row's place, from 0, in ``order``, which should leave no long ties. Rows are range-partitioned and
+    checkpointed; places are counted inside the ranges and over them, so nothing is sorted in one task."""
+    (part,) = free_names(frame, "part")
+    rows = cut_lineage(frame.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("rows_in_part"))  # a row for each range
+    before = F.sum("rows_in_part").over(Window.orderBy(part)) - F.col("rows_in_part")
+    starts = F.broadcast(sizes.select(F.col(part).alias("_of"), before.alias("_before")))
+    local = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    placed = rows.withColumn(name, local).join(starts, F.col(part) == F.col("_of"))
+    return placed.withColumn(name, F.col(name) + F.col("_before")).select(*frame.columns, name)
