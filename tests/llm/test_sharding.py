@@ -26,6 +26,14 @@ def test_hot_text_and_long_text(spark):
     assert max(load.values()) < 1.03 * mean and min(load.values()) > 0.97 * mean
 
 
+def test_repeated_rows_are_divided(spark):
+    hot = [(1, "the same row again " * 20)] * 4000 + [(None, "no id")] * 2000
+    rows = [(i, f"text number {i} " * (i % 40)) for i in range(2, 4000)] + hot
+    load = checked(rows, sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    mean = sum(load.values()) / 8
+    assert len(load) == 8 and max(load.values()) < 1.03 * mean and min(load.values()) > 0.97 * mean
+
+
 def test_equal_texts_share_a_shard_unless_they_fill_a_range(spark):
     rows = [(i, f"text {i // 2} " * 9) for i in range(20_000)]
     shard = {r.doc_id: r.shard for r in sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), ranges=256).collect()}
