@@ -7,7 +7,8 @@ fields are full, central directory, then the members' local headers; it takes th
 reads them by range. Nothing is extracted.
 
 Nulls and odd cases: a null html is an empty payload; a null url leaves its header out; control characters in a url are
-percent-encoded; a null page_id is kept, and is never referred to; of rows that repeat the smallest page_id of a payload
+percent-encoded, as is all but letters and digits in a page_id; a null page_id is kept, told from an empty one, and is
+never referred to; of rows that repeat the smallest page_id of a payload
 all are responses; other columns are ignored; an empty table writes no archive and gives an empty result.
 """
 
@@ -22,6 +23,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +38,8 @@ LEAST_REVISITED = 100
 PACKAGE_BYTES, PACKAGE_RECORDS = 16 << 20, 5_000
 #: Bytes read at once.
 RANGE_BYTES = 2 << 20
+#: Bytes of archives that one task reads, about.
+TASK_BYTES = 128 << 20
 #: Above so many payloads that occur more than once, the lookup is a shuffle join.
 BROADCAST_ROWS = 50_000
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -45,7 +49,12 @@ _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # --- records ------------------------------------------------------------------------------------------------------
 def _urn(page_id: object) -> bytes:
-    return f"<urn:page:{'' if page_id is None else page_id}>".encode()
+    """An id as text that no character of it can break; no id is told from an empty one."""
+    return b"<urn:none>" if page_id is None else b"<urn:page:" + quote(str(page_id), safe="").encode() + b">"
+
+
+def _page(urn: str | None) -> str | None:
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn != "<urn:none>" else None
 
 
 def warc_record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object = None) -> bytes:
@@ -152,7 +161,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     often = rows.where(F.col("n") >= LEAST_REVISITED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null").select("digest", "first")
     often = cut_lineage(often)
     often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    rows = rows.join(often, "digest", "left").select("page_id", "url", "digest", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).cast("string").alias("refers_to")
+    rows = rows.join(often, "digest", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "digest", "html", refers_to)
     base = f"{folder.rstrip('/')}/warc-{uuid.uuid4().hex}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +203,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 with store.open_input_file(path) as f:
                     for headers, payload in read_package(lambda n, at: f.read_at(n, at), size):  # noqa: B023
-                        page, other = (headers[k].removeprefix("<urn:page:").removesuffix(">") or None if k in headers else None for k in ("warc-record-id", "warc-refers-to"))
+                        page, other = (_page(headers.get(k)) for k in ("warc-record-id", "warc-refers-to"))
                         said = headers["warc-payload-digest"].removeprefix("sha256:")
                         kind = headers["warc-type"]
                         if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
@@ -203,7 +213,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "n", "payload_digest", "record_type", "refers_to"])
 
-    files = archives.select("path", "bytes", "base").repartition(F.col("path"))
+    files, size = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(files, max(archives.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    files = archives.select("path", "bytes", "base").repartition(max(1, tasks))
     rows = cut_lineage(map_batches(files, work, "page_id string, n long, payload_digest string, record_type string, refers_to string"))
     first = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("there"))
     revisits = rows.where("record_type = 'revisit'").join(first, ["refers_to", "payload_digest"], "left")

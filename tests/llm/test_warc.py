@@ -60,5 +60,22 @@ def test_query_on_odd_rows(spark, monkeypatch, bound):
     assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=key) == sorted(slow(rows), key=key)
 
 
+def test_string_ids_of_any_characters(spark):
+    same = "<p>equal payload</p>" * 12
+    ids = ["", "x\r\ny", "a b>%<", "é:한", None, "none", "x", "urn:none"]
+    rows = [(i, "u", same if k % 2 else f"{same}{k}") for k, i in enumerate(ids)]
+    got = [tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()]
+    key = lambda r: (r[0] is None, r[0] or "", r[2])
+    assert sorted(got, key=key) == sorted(slow(rows), key=key)
+
+
+def test_archives_are_read_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PACKAGE_RECORDS", 5)
+    pages = spark.range(200).selectExpr("id as page_id", "'u' as url", "concat('page ', id) as html").repartition(2)
+    archives = warc.write_archives(pages, warc.shared_folder(spark))
+    read = warc.read_archives(archives)
+    assert archives.count() >= 40 and read.count() == 200 and spark.sparkContext.defaultParallelism == 8
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
