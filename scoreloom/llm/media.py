@@ -27,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, shared_folder
+from .shared import cut_lineage, free_names, map_batches, shared_folder
 
 ROW = 64
+#: A digest with more than one of so many of all references is split in the join.
+HOT = 256
+#: Digests whose image a task remembers to have read.
+_SEEN = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("source", pa.string()), ("n_bytes", pa.int64()), ("caption", pa.string())])
 _ITEM_SQL = "array<struct<position:int,kind:string,text:string,digest:string,source:string,n_bytes:bigint,caption:string>>"
@@ -209,8 +213,19 @@ def references(sequences: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, payloads: DataFrame) -> DataFrame:
-    """References with what ``payloads`` (a row for each digest) has of them."""
-    return refs.join(payloads, "digest", "left")
+    """References with what ``payloads`` (a row for each digest) has of them. Digests with more than one of ``HOT`` of all
+    references, fewer than ``HOT`` in number, are split: their references go to as many places as they fill, and the
+    payload's row to each."""
+    salt, places = free_names(refs, "salt", "places")
+    refs = cut_lineage(refs)  # counted, then joined
+    total = refs.count()
+    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total)
+    hot = F.broadcast(hot.select("digest", F.ceil(F.col("n") * F.lit(HOT / max(total, 1))).cast("int").alias(places)))
+    place = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(places), F.lit(1))).cast("int")  # any place will do
+    refs = refs.join(hot, "digest", "left").withColumn(salt, place).drop(places)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(places), F.lit(1)) - 1))
+    payloads = payloads.join(hot, "digest", "left").withColumn(salt, every).drop(places)
+    return refs.join(payloads, ["digest", salt], "left").drop(salt)
 
 
 # --- the stored table ---------------------------------------------------------------------------------------------
@@ -242,18 +257,27 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """``stored(digest, medium)`` to a row for each digest: what its stored bytes hold."""
+    """``stored(digest, medium)`` to a row for each digest: what its stored bytes hold. A task reads copies of an image once,
+    as long as it remembers them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for b in batches:
-            rows = []
-            for medium in b.column(1):
-                data = medium.as_py()
+            rows, new = [], []
+            for i, digest in enumerate(b.column(0).to_pylist()):
+                if digest not in seen:
+                    new.append(i)
+                    if len(seen) < _SEEN:
+                        seen.add(digest)
+            for i in new:
+                data = b.column(1)[i].as_py()
                 payload = from_png(data)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), *columns], names)
 
     got = map_batches(stored.select("digest", "medium"), work, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return got.dropDuplicates(["digest"])

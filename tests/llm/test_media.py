@@ -69,6 +69,16 @@ def test_query_on_odd_rows(spark):
         assert r.caption == f"document {r.doc_id}"
 
 
+def test_hot_digest_is_split(spark):
+    rows = [(i, "copied text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("salt", F.lit("clash")).withColumn("places", F.lit(1))
+    refs = docs.select("*", F.sha1("text").alias("digest")).repartition(4)
+    payloads = refs.select("digest", F.col("text").alias("stored")).dropDuplicates(["digest"])
+    got = media.resolve(refs, payloads)
+    assert set(got.columns) == {*refs.columns, "stored"} and got.where("stored = text and salt = 'clash'").count() == 3000
+    assert "digest" in got.columns and media.text_media(docs).count() == 3000
+
+
 def test_unresolved_reference_and_empty(spark):
     pages = spark.createDataFrame([(1, "<img src='sha256:ff'><p>t</p>"), (2, None)], "page_id long, html string")
     refs = media.references(media.interleaved(pages, "page_id"))
