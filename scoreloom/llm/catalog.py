@@ -66,7 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The targets in closed form: sources in the order in which their caps bind; the first that doesn't sets the level.
 _MIXING_SQL = r"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-        md5(concat('mix:', coalesce(cast(doc_id as varchar), ''))) as key from documents),
+        md5(concat('mix:', coalesce(cast(doc_id as varchar), ''), ':', md5(coalesce(text, '')))) as key from documents),
     s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as rk from d group by source),
     w as (select *, cast([5, 2, 1][(rk - 1) % 3 + 1] as double) as w, cast([0.5, 1, 1.5][(rk - 1) % 3 + 1] as double) as b,
         cast([1.5, 1, 0.5][(rk - 1) % 3 + 1] as double) as e, cast(2 * source_size as double) as cap from s),

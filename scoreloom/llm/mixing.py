@@ -9,6 +9,9 @@ other in the order of a hash; the words before a document, put through the inver
 position, and the result is range-sorted by position. A source that gives more words than it has goes through its
 documents again. The last document that a source gives may be taken in part, so each source meets its target to the word.
 
+The hash is of id and text, so neither rows without an id nor those that share one follow each other. Sources may be many:
+they are ranked in ranges, and the level of words for each unit of weight is found by Newton's method on sums over all.
+
 Nulls and odd cases: a null text has no words; a null source is a source of its own; rows that repeat an id and a text
 follow each other in any order; sources without words have target 0; documents that are not taken have no position and
 come last; other columns are ignored; an empty table gives an empty result.
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN, cut_lineage
+from .shared import WORD_PATTERN, cut_lineage, numbered
 
 WEIGHTS = (5, 2, 1)
 #: Relative weight at time 0 and at time 1, repeating as the weights do.
@@ -34,24 +37,26 @@ def _cycle(values: tuple, rank: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``sizes(source, skey, source_size)``, a row for each source, with its target and schedule (begin, end)."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    rows = sizes.withColumn("rank", rank)
-    rows = rows.select("skey", "rank", "source_size", _cycle(weights, F.col("rank")).alias("w"), _cycle(tuple(r[0] for r in ramps), F.col("rank")).alias("begin"), _cycle(tuple(r[1] for r in ramps), F.col("rank")).alias("end"))
-    rows = rows.withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("limit") / F.col("w"), "rank")
-    capped = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    weight = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    every = Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - capped) / weight)
-    # the first source in this order that its cap does not bind
-    fits = F.when(F.col("level") <= F.col("limit") / F.col("w"), F.struct((F.col("limit") / F.col("w")).alias("o"), "rank", "level"))
-    level = F.min(fits).over(every)["level"]
-    return rows.select("skey", "source_size", "begin", "end", F.coalesce(F.least(F.col("limit"), level * F.col("w")), F.col("limit")).alias("target"))
+    rows = numbered(sizes, [F.col("source").asc_nulls_last()], "place").withColumn("rank", F.col("place") + 1)
+    ramp = (_cycle(tuple(r[i] for r in ramps), F.col("rank")).alias(name) for i, name in enumerate(("begin", "end")))
+    rows = cut_lineage(rows.select("skey", "source_size", _cycle(weights, F.col("rank")).alias("w"), *ramp))
+    limit = F.col("source_size") * F.lit(float(cap))
+    total = F.sum("source_size") * F.lit(float(share))
+    # what min(limit, level * w) gives over all sources is concave in level, so Newton's steps from below never pass the root
+    level, step = -1.0, 0.0
+    while step is not None and step > level:
+        level = step
+        open_ = limit > F.lit(level) * F.col("w")
+        bound = F.coalesce(F.sum(F.when(~open_, limit)), F.lit(0.0))
+        step = rows.agg(F.try_divide(total - bound, F.sum(F.when(open_, F.col("w")))).alias("step")).first()["step"]
+    target = limit if step is None else F.least(limit, F.lit(level) * F.col("w"))
+    return rows.select("skey", "source_size", "begin", "end", target.alias("target"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """``docs`` with its words, its source as a key that is never null, and its place in the order of a hash."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    parts = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]).cast("binary"))
     return docs.withColumns(
         {
             "_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
@@ -103,8 +108,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it. A document that is taken in part, the last
     of its source, is there if at least half of it is taken."""
-    keyed = _keyed(docs, id_col, text_col, source_col, seed)
-    placed = _placed(keyed, _starts(keyed.select(source_col, "_size", "_skey", "_bucket"), source_col, share, cap), cap)
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    keyed = _keyed(packed, "id", "text", "source", seed).drop("id", "text")
+    placed = _placed(keyed, _starts(keyed.select("source", "_size", "_skey", "_bucket"), "source", share, cap), cap)
     whole = F.filter("_spots", lambda x: 2 * x["words"] >= F.col("_size"))
-    rows = placed.select(*(F.col(c) for c in docs.columns), "_key", F.explode(whole).alias("_spot"))
-    return rows.orderBy("_spot.position", "_key").select(*docs.columns)
+    rows = placed.select("row", "_key", F.explode(whole).alias("_spot"))
+    return rows.orderBy("_spot.position", "_key").select("row.*")
