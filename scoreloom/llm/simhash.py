@@ -267,10 +267,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row of ``docs`` with the smallest id of each label of ``groups(doc_id, th, label)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("k")
-    kept = groups.groupBy("label").agg(first).select(_id_key("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
-    keyed = docs.withColumns({"_id": _id_key(id_col), "_th": F.xxhash64(text_col)}).join(kept, ["_id", "_th"], "left_semi")
-    one = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
-    return keyed.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    kept = groups.groupBy("label").agg(first).select(_id_key("k.doc_id").alias("id"), F.col("k.th").alias("th"))
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _id_key(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    one = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(0)))
+    return keyed.join(kept, ["id", "th"], "left_semi").withColumn("n", one).where("n = 1").select("row.*")
 
 
 def _id_key(name: str) -> Column:

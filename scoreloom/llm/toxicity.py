@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, map_batches
+from .shared import cut_lineage, free_names, map_batches
 
 #: The bound on rows that the classifier is fitted on.
 FIT_ROWS = 12_000
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", into: str = "
     """``docs`` with one more column, the probability that the text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c != into]
-    frame = docs.select(*columns, F.col(text_col).alias("_scored"))
+    frame = docs.select(*columns, F.col(text_col).alias(*free_names(docs, "scored")))
     schema = docs.select(*columns).schema.add(into, "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,4 +191,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that the model calls toxic."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col, into="_toxic").where("_toxic < 0.5").drop("_toxic")
+    (into,) = free_names(docs, "toxic_score")
+    return score(docs, model, text_col, into).where(F.col(into) < 0.5).drop(into)
