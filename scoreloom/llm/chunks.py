@@ -1,15 +1,17 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes (h = 2 h + GEAR[byte], modulo 2^32, so it depends on the last 32 bytes). A chunk ends
-after a word where the hash's low 16 bits fall below a bound, about every ``WORDS_A_CHUNK`` words; so an insertion moves
-boundaries only near itself. Chunks are compared by digest over the whole corpus; a chunk is a repeat if a document with
-a smaller id has it. Successive repeats make a span; spans of at least ``MIN_WORDS`` words in whole chunks are reported
-or removed, which a passage of over 50 words yields wherever it stands, and a stray common line doesn't. The first
-document keeps its text.
-
-Nulls and odd cases: a null or empty text has no chunks; ids order the documents, and rows without an id come after all
-others (rows without an id, or with the same id, are one document here: they don't repeat each other); other columns are
-carried along untouched; an empty table gives an empty result.
+A gear hash rolls over the bytes (h = 2 h + GEAR[byte], modulo 2^32; the low half that is used depends on the last 16
+bytes). A chunk ends after a word where that half falls below a bound, about every ``WORDS_A_CHUNK`` words; where none does
+within the longest chunk, it ends after the word with the smallest hash there, or inside a word where there is no space.
+So an insertion moves boundaries only near itself. Chunks are compared by 128-bit digest over the whole corpus; a chunk is
+a repeat if a document before has it. Successive repeats make a span; spans of at least ``MIN_WORDS`` words in whole
+chunks are reported or removed, which a passage of over 50 words yields wherever it stands, and a stray common line
+doesn't. The first document keeps its text.
+
+Documents are ordered by id, then, where several texts share an id, by the texts' hash; each such text is a document of
+its own. Nulls and odd cases: a null or empty text has no chunks; rows that repeat id and text are one document, reported
+once and cut alike; rows without an id come after all others: they repeat what rows with an id have, never each other, and
+are never cut; other columns are carried along untouched, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .shared import WHITE_SPACE, cut_lineage, map_batches
 
 WORDS_A_CHUNK = 5
 #: Bytes of a chunk: no boundary before the first bound, and one after the second whatever the hash says.
-CHUNK_BYTES = (12, 255)
+CHUNK_BYTES = (12, 128)
 MIN_WORDS = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE_SPACE)] = True
@@ -48,6 +50,22 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _forced(raw: np.ndarray, last: int) -> int:
+    """The end of a chunk from ``last`` that no boundary ends in time: after the word with the smallest hash in reach."""
+    least, most = CHUNK_BYTES
+    lo = max(0, last - 31)
+    h = (gear_hashes(raw[lo : last + most]) & np.uint32(0xFFFF))[last - lo :]
+    space = _SPACE[raw[last - 1 if last else 0 : last + most]]
+    before = space[:-1] if last else np.concatenate([[True], space[:-1]])
+    usable = space[-len(h) :] & ~before[-len(h) :]
+    usable[: least - 1] = False
+    if not usable.any():  # no word ends here: any place but inside a character
+        usable = raw[last + 1 : last + most + 1] & 0xC0 != 0x80
+        usable[: least - 1] = False
+    at = np.flatnonzero(usable)
+    return last + int(at[np.argmin(h[at])]) + 1
+
+
 def boundaries(data: bytes) -> list[int]:
     """Where chunks begin and end: 0, ..., len(data)."""
     n = len(data)
@@ -68,9 +86,7 @@ def boundaries(data: bytes) -> list[int]:
     for c in [*np.concatenate(cuts).tolist(), n]:
         end = min(c + 1, n)
         while end - last > most:
-            last += most
-            while data[last] & 0xC0 == 0x80:  # not inside a character
-                last -= 1
+            last = _forced(raw, last)
             out.append(last)
         if end - last >= least or end == n:
             if end > last:
@@ -84,13 +100,15 @@ def _pack(start: int, size: int, words: int) -> int:
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, digest, place) for each chunk; place holds start, bytes and words."""
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    """(doc, th, hi, lo, place) for each chunk: the document's id and its text's hash, the chunk's digest in two halves; place
+    holds start, bytes and words."""
+    docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    names = ["hi", "lo", "place"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            texts, digests, places, sizes = b.column(1).to_pylist(), [], [], []
+            texts, digests, places, sizes = b.column(2).to_pylist(), [], [], []
             for text in texts:
                 data = (text or "").encode("utf-8", "surrogatepass")
                 at = boundaries(data)
@@ -99,50 +117,75 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 places += [_pack(i, len(p), len(p.split())) for i, p in zip(at, parts, strict=False)]
                 sizes.append(len(parts))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            pair = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.array(places, np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.ListArray.from_arrays(offsets, x) for x in pair)], ["doc", "digests", "places"])
+            halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            values = (halves[:, 0], halves[:, 1], np.array(places, np.int64))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in values)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc", "th", *names])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    lists = map_batches(docs, work, f"doc {kind}, digests array<long>, places array<long>")
-    return lists.select("doc", F.explode(F.arrays_zip("digests", "places")).alias("c")).select("doc", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, span_start, span_end, n_words, n_chunks, source_doc_id): bytes of the text that documents with smaller ids
-    have, and the first document that has the span's first chunk."""
-    rows = chunk_rows(docs, id_col, text_col)
-    # the smallest and the largest id tell whether two documents have a chunk; both combine before the shuffle
-    first = rows.groupBy("digest").agg(F.min("doc").alias("source"), F.max("doc").alias("other"), (F.count("*") - F.count("doc")).alias("nameless"))
-    first = cut_lineage(first.where("source <> other or nameless > 0 and source is not null").select("digest", "source"))
-    found = rows.join(first, "digest").where(~F.col("doc").eqNullSafe(F.col("source")))
+    lists = map_batches(docs, work, f"doc {kind}, th long, hi array<long>, lo array<long>, place array<long>")
+    chunks = lists.select("doc", "th", F.explode(F.arrays_zip(*names)).alias("c"))
+    return chunks.select("doc", "th", *(F.col(f"c.{n}").alias(n) for n in names))
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, th, span_start, span_end, n_words, n_chunks, source_doc_id) for each repeated span."""
+    rows, digest = chunk_rows(docs, id_col, text_col), ["hi", "lo"]
+    # the extremes of a hash of the document tell whether two have the chunk; they combine before the shuffle
+    key = F.xxhash64("doc", "th")
+    first = rows.groupBy(*digest).agg(F.min("doc").alias("source"), F.min(key).alias("one"), F.max(key).alias("other"))
+    first = cut_lineage(first.where("one <> other and source is not null").select(*digest, "source"))
+    joined = rows.join(first, digest)
+    found = joined.where(~F.col("doc").eqNullSafe(F.col("source")))
+    # where several texts have the first id, the smallest hash is first
+    texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc"))
+    texts = texts.agg(F.min(F.xxhash64(text_col)).alias("one"), F.max(F.xxhash64(text_col)).alias("other"))
+    shared = cut_lineage(texts.where("one <> other").select("doc"))
+    if not shared.isEmpty():
+        tied = cut_lineage(joined.where("doc = source").join(shared, "doc", "left_semi"))
+        head = tied.groupBy(*digest).agg(F.min("th").alias("head"))
+        found = found.unionByName(tied.join(head, digest).where("th <> head").drop("head"))
     start, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    found = found.select("doc", start.alias("start"), (start + size).alias("end"), F.col("place").bitwiseAND(255).alias("words"), "source")
-    found = found.distinct()  # rows that repeat an id
-    w = Window.partitionBy("doc").orderBy("start", "end")
+    words = F.col("place").bitwiseAND(255).alias("words")
+    found = found.select("doc", "th", start.alias("start"), (start + size).alias("end"), words, "source")
+    found = found.distinct()  # rows that repeat id and text
+    w = Window.partitionBy("doc", "th").orderBy("start", "end")
     new = F.coalesce(F.lag("end").over(w) < F.col("start"), F.lit(True)).cast("int")
     runs = found.withColumn("new", new).withColumn("run", F.sum("new").over(w))
     head = F.min(F.struct("start", "source")).alias("head")
-    spans = runs.groupBy("doc", "run").agg(head, F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
-    spans = spans.where(F.col("n_words") >= min_words)
-    return spans.select(F.col("doc").alias("doc_id"), F.col("head.start").alias("span_start"), "span_end", "n_words", "n_chunks", F.col("head.source").alias("source_doc_id"))
+    counts = (F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
+    spans = runs.groupBy("doc", "th", "run").agg(head, *counts).where(F.col("n_words") >= min_words)
+    heads = (F.col("head.start").alias("span_start"), F.col("head.source").alias("source_doc_id"))
+    return spans.select("doc", "th", heads[0], "span_end", "n_words", "n_chunks", heads[1])
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, span_start, span_end, n_words, n_chunks, source_doc_id): bytes of the text that documents before it have, and
+    the id of the first document that has the span's first chunk."""
+    return _repeated(docs, id_col, text_col, min_words).withColumnRenamed("doc", "doc_id").drop("th")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of the texts (and ``length_col`` counted anew); documents that keep no word
-    go. Rows that share an id are cut alike; a row without an id is never cut."""
-    spans = repeated_spans(docs, id_col, text_col, min_words).where("doc_id is not null")
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("_cuts"))
-    cuts = cut_lineage(cuts.withColumnRenamed("doc_id", "_id"))
-    data = F.col(text_col).cast("binary")
+    go. A row without an id is never cut."""
+    spans = _repeated(docs, id_col, text_col, min_words).where("doc is not null")
+    cuts = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
+    cuts = cut_lineage(cuts)
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"))
+    rows = packed.join(cuts, ["doc", "th"], "left")
+    text = F.col("row")[text_col]
+    data = text.cast("binary")
     # what stands before each span, then what follows the last one
-    size = F.size("_cuts")
-    begin = F.concat(F.array(F.lit(0).cast("long")), F.col("_cuts.span_end"))
-    end = F.concat(F.col("_cuts.span_start"), F.array(F.octet_length(text_col).cast("long")))
-    piece = F.transform(F.sequence(F.lit(0), size), lambda i: F.substring(data, (begin[i] + 1).cast("int"), (end[i] - begin[i]).cast("int")))
+    begin = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.span_end"))
+    end = F.concat(F.col("cuts.span_start"), F.array(F.octet_length(text).cast("long")))
+    piece = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.substring(data, (begin[i] + 1).cast("int"), (end[i] - begin[i]).cast("int")))
     left = F.aggregate(piece, F.lit(b""), lambda s, x: F.concat(s, x)).cast("string")
-    out = docs.join(cuts, F.col(id_col) == F.col("_id"), "left").withColumn("_left", F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(left))
-    out = out.where(F.col("_cuts").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {text_col: F.col("_left")}
+    whole = F.col("cuts").isNull()
+    rows = rows.select("row", whole.alias("whole"), F.when(whole, text).otherwise(left).alias("left"))
+    rows = rows.where(F.col("whole") | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    kept = {c: F.col("row")[c] for c in docs.columns}
+    kept[text_col] = F.col("left")
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("_cuts").isNull(), F.col(length_col)).otherwise(F.length("_left")).cast(docs.schema[length_col].dataType)
-    return out.withColumns(changed).select(*docs.columns)
+        kept[length_col] = F.when(F.col("whole"), kept[length_col]).otherwise(F.length("left")).cast(docs.schema[length_col].dataType)
+    return rows.select(*(value.alias(c) for c, value in kept.items()))

@@ -19,23 +19,32 @@ def slow_gear(data, i):
     return h
 
 
+SPACE = b"\t\n\x0b\x0c\r "
+
+
+def ends_word(data, i):
+    return data[i] in SPACE and i > 0 and data[i - 1] not in SPACE
+
+
+def slow_forced(data, last):
+    """The end in reach with the smallest hash: after a word if one ends there, else anywhere between characters."""
+    least, most = chunks.CHUNK_BYTES
+    reach = [i for i in range(last + least - 1, last + most)]
+    at = [i for i in reach if ends_word(data, i)] or [i for i in reach if data[i + 1] & 0xC0 != 0x80]
+    return min(at, key=lambda i: (slow_gear(data, i) % 65536, i)) + 1
+
+
 def slow_boundaries(data):
     out, last = [0], 0
     least, most = chunks.CHUNK_BYTES
-    space = b"\t\n\x0b\x0c\r "
-    for i in range(len(data)):
-        end = i + 1
-        if end - last > most:
-            last += most
-            while data[last] & 0xC0 == 0x80:
-                last -= 1
+    strong = [i + 1 for i in range(len(data)) if ends_word(data, i) and slow_gear(data, i) % 65536 < 65536 // chunks.WORDS_A_CHUNK]
+    for end in [*strong, len(data)]:
+        while end - last > most:
+            last = slow_forced(data, last)
             out.append(last)
-        word_end = data[i] in space and i > 0 and data[i - 1] not in space
-        if word_end and slow_gear(data, i) % 65536 < 65536 // chunks.WORDS_A_CHUNK and end - last >= least:
+        if end > last and (end - last >= least or end == len(data)):
             out.append(end)
             last = end
-    if last < len(data):
-        out.append(len(data))
     return out
 
 
@@ -53,6 +62,48 @@ def test_insertions_move_boundaries_only_nearby():
     assert len(parts(text) - parts(other)) < 8
 
 
+def test_passages_keep_aligned_chunks_in_any_context():
+    """Of passages of 51 words, also of few distinct words, nearly all leave enough words in chunks that contexts share."""
+    rnd = random.Random(2)
+    for distinct, bound in ((51, 0.98), (12, 0.98), (5, 0.98)):
+        caught = 0
+        for _ in range(300):
+            vocabulary = prose(distinct, rnd).split()
+            passage = " ".join((vocabulary * 51)[:51])
+            sides = []
+            for _ in range(2):
+                data = f"{prose(rnd.randint(5, 60), rnd)} {passage} {prose(30, rnd)}".encode()
+                at = chunks.boundaries(data)
+                sides.append([data[i:j] for i, j in itertools.pairwise(at)])
+            other, best, run = set(sides[1]), 0, 0
+            for part in sides[0]:
+                run = run + len(part.split()) if part in other else 0
+                best = max(best, run)
+            caught += best >= chunks.MIN_WORDS
+        assert caught >= bound * 300, (distinct, caught)
+
+
+def test_passages_without_spaces_align(spark):
+    rnd = random.Random(3)
+    passage = "".join(rnd.choices("가나다라마바사아자차카타파하", k=900))
+    a, b = (f"{prose(rnd.randint(5, 40), rnd)} {passage}".encode() for _ in range(2))
+    parts = [{d[i:j] for i, j in itertools.pairwise(chunks.boundaries(d))} for d in (a, b)]
+    assert sum(map(len, parts[0] & parts[1])) > 0.5 * len(passage.encode())
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    p, q, r = prose(90), prose(300), prose(80)
+    rows = [(1, p), (2, f"{prose(30)} {p} {prose(30)}"), (2, q), (2, q), (None, f"{r} {prose(9)}"), (None, r), (3, f"{q} tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(x.doc_id, x.text) for x in chunks.without_repeats(docs).collect()]
+    assert sum(t == q for i, t in left if i == 2) == 2  # unique text survives, in each of its rows
+    assert all(p not in t for i, t in left if i == 2) and next(t for i, t in left if i == 3) != rows[-1][1]
+    assert sorted(t for i, t in left if i is None) == sorted(t for i, t in rows if i is None)
+    same = spark.createDataFrame([(7, f"{p} x"), (7, f"{p} y"), (7, f"{p} z")], "doc_id long, text string")
+    got = sorted(x.text for x in chunks.without_repeats(same).collect())
+    assert sum(p in t for t in got) == 1
+
+
 def fixture():
     """Documents, ids that must be caught (with the passage), ids that must be left alone."""
     docs, planted = [], {}
