@@ -2,56 +2,74 @@
 
 The templates' grams of ``GRAM`` words are winnowed (the smallest hash of each ``WINDOW`` neighbouring grams) into an
 inverted index from fingerprint to template and place. A document is winnowed the same way, so a run of ``GRAM + WINDOW -
-1`` words that it shares with a template always meets the index. Hits that lie within a band of one diagonal are one
-candidate; there the template is aligned with the document's words, at most ``BAND`` words off the diagonal, and the
-share of the template's words that match is its coverage. Matches of at least ``COVERAGE`` are reported with their span.
+1`` words that it shares with a template always meets the index; of templates shorter than ``SHORT`` words all grams are
+indexed and all grams of the document looked up. Hits of a template that follow each other in both texts, each at most
+``BAND`` diagonals from the one before, are one chain. Along it the template is aligned with the document's words, at most
+``BAND`` words off the chain's diagonal, and the share of the template's words that match is its coverage. Matches of at
+least ``COVERAGE`` are reported with their span, if the words that tell licenses apart are the same there as in the
+template, in the same order: versions and modifiers, and in short templates the licenses' names.
 
-The index is made of the templates alone, a parameter, so its size is bounded whatever the corpus.
+The index is made of the templates alone, a parameter, so its size is bounded whatever the corpus. The built-in ones are
+whole short licenses, headers and notices (``license_texts``); ``templates_in`` reads a folder of license files, such as
+the whole texts of long licenses.
 
 Nulls and odd cases: null and empty texts match nothing; a null id is kept; repeated rows are reported each; of
-overlapping matches the one with more matched words stays, then the earlier one, then the first in name order; other
-columns are ignored; an empty table gives an empty result.
+overlapping matches the one with more matched words stays, then the one of higher coverage, then the earlier one, then the
+first in name order; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .shared import map_batches
 
 GRAM = 3
 WINDOW = 3
 BAND = 6
 COVERAGE = 0.8
-#: Wording of public licenses and their usual notices.
-TEMPLATES = {
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "bsd-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "mit-notice": "Released under the MIT License.",
-    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Templates of fewer words have all their grams indexed, and must match in the names of licenses too.
+SHORT = 16
+#: Words that tell licenses of one family apart, names of licenses, and words that a version follows.
+MODIFIERS = frozenset("noncommercial nc sharealike sa noderivatives noderivs nd lesser library affero".split())
+NAMES = frozenset("apache mit bsd isc mozilla eclipse gnu gpl lgpl agpl cc cc0 creative unlicense clause gplv2 gplv3 lgplv2 lgplv3 agplv3".split())
+BEFORE_VERSIONS = frozenset("version v license attribution by".split()) | MODIFIERS | NAMES
+TEMPLATES = license_texts.templates()
 _WORDS = re.compile(r"\w+")
+_CACHE = 200_000
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """The lower-cased words; as many as ``_WORDS`` finds in the text itself."""
+    found = _WORDS.findall(text)
+    return "\0".join(found).lower().split("\0") if found else []
+
+
+def templates_in(folder: str) -> dict[str, tuple[str, ...]]:
+    """Templates from the files of a folder on the driver, named by file."""
+    files = sorted(p for p in Path(folder).iterdir() if p.is_file())
+    return {p.name.lower(): (p.read_text("utf-8", "replace"),) for p in files}
+
+
+def keys(tokens: list[str], short: bool) -> list[str]:
+    """The words that tell licenses apart, in order; a number counts if it stands after a word that a version follows."""
+    out, version = [], False
+    for w in tokens:
+        number = w.isdecimal()
+        if w in MODIFIERS or (number and version) or (short and w in NAMES):
+            out.append(w)
+        version = w in BEFORE_VERSIONS or (number and version)
+    return out
 
 
 def gram_hashes(ids: np.ndarray) -> np.ndarray:
@@ -77,20 +95,24 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
     return np.unique(at)
 
 
-def word_ids(tokens: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in tokens), np.uint64, len(tokens))
-
-
-def align(template: list[str], doc: list[str], diagonal: int) -> tuple[int, int, int] | None:
-    """(matched, first, end) of the best alignment within the band: template word i stands about doc word i + diagonal.
-    Words match or they don't; a skipped word on either side costs half a match."""
+def align(template: list[str], doc: list[str], chain: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+    """(matched, first, end) of the best alignment along a chain of (template word, diagonal): template word i stands about
+    doc word i + diagonal of the last link that isn't beyond it. Words match or they don't; a skipped word on either side
+    costs half a match."""
     width = 2 * BAND + 1
     row = [(0.0, 0, -1, -1)] * width  # score, matched, first, last: free to start anywhere in the band
+    centre, at, low = chain[0][1], 0, (-1e9, 0, -1, -1)
     for i, word in enumerate(template):
+        shift = -centre
+        while at < len(chain) and chain[at][0] <= i:
+            centre, at = chain[at][1], at + 1
+        shift += centre
+        if shift:  # the band moves on with the chain
+            row = [row[k + shift] if 0 <= k + shift < width else low for k in range(width)]
+        base = i + centre - BAND
         new: list[tuple] = []
         for k in range(width):
-            j = i + diagonal + k - BAND
-            take = row[k]
+            take, j = row[k], base + k
             if 0 <= j < len(doc) and doc[j] == word:
                 take = (take[0] + 1, take[1] + 1, j if take[2] < 0 else take[2], j)
             else:
@@ -105,50 +127,105 @@ def align(template: list[str], doc: list[str], diagonal: int) -> tuple[int, int,
     return (matched, first, last + 1) if matched else None
 
 
+def chains(hits: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Hits (doc word, template word), in order, to chains of (template word, diagonal): each link is beyond the one before
+    in both texts and at most ``BAND`` diagonals from it. A template of ``size`` words has no longer chain in the document
+    than its words and a band for each link."""
+    done: list[list[tuple[int, int]]] = []
+    open_: list[tuple[int, list[tuple[int, int]]]] = []  # the doc word of the last link, and the chain
+    for p, q in hits:
+        near = None
+        still = []
+        for k in open_:
+            last, links = k
+            if p - last > size + BAND:
+                done.append(links)
+                continue
+            still.append(k)
+            drift = abs(p - q - links[-1][1])
+            if last < p and links[-1][0] < q and drift <= BAND and (near is None or drift < near[0]):
+                near = (drift, len(still) - 1)
+        if near is None:
+            still.append((p, [(q, p - q)]))
+        else:
+            links = still[near[1]][1]
+            links.append((q, p - q))
+            still[near[1]] = (p, links)
+        open_ = still
+    return done + [links for _, links in open_]
+
+
 class Index:
-    """Inverted index over the templates."""
-
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.templates = {name: words(text) for name, text in sorted(templates.items())}
-        places: dict[int, list[tuple[str, int]]] = defaultdict(list)
-        for name, tokens in self.templates.items():
-            hashes = gram_hashes(word_ids(tokens))
-            for p in winnow(hashes).tolist():
-                places[int(hashes[p])].append((name, p))
-        self.places = dict(places)
-        self.prints = np.array(sorted(places), np.uint64)
+    """Inverted index over the templates: fingerprints of long ones, all grams of short ones."""
+
+    def __init__(self, templates: Mapping[str, str | tuple[str, ...]]) -> None:
+        self.templates: list[tuple[str, list[str], Counter, list[str]]] = []
+        self.known: dict[str, int] = {}
+        sparse, dense = defaultdict(list), defaultdict(list)
+        for name, texts in sorted(templates.items()):
+            for text in (texts,) if isinstance(texts, str) else texts:
+                tokens = words(text)
+                hashes = gram_hashes(self.ids(tokens))
+                short = len(tokens) < SHORT
+                for p in range(len(hashes)) if short else winnow(hashes).tolist():
+                    (dense if short else sparse)[int(hashes[p])].append((len(self.templates), p))
+                self.templates.append((name, tokens, Counter(tokens), keys(tokens, short)))
+        self.sparse, self.dense = dict(sparse), dict(dense)
+        self.prints, self.grams = (np.array(sorted(x), np.uint64) for x in (sparse, dense))
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > _CACHE:
+            known.clear()
+        out = list(map(known.get, tokens))
+        if None in out:
+            for i, (w, x) in enumerate(zip(tokens, out, strict=True)):
+                if x is None:
+                    out[i] = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+        return np.array(out, np.uint64)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, matched words, span start, span end), the spans in code points."""
-        spots = list(_WORDS.finditer((text or "").lower()))
-        tokens = [m[0] for m in spots]
-        hashes = gram_hashes(word_ids(tokens))
+        """(license, coverage, matched words, span start, span end), the spans in code points of the text."""
+        tokens = words(text or "")
+        hashes = gram_hashes(self.ids(tokens))
+        if not len(hashes):
+            return []
         at = winnow(hashes)
-        hit = at[np.isin(hashes[at], self.prints)] if len(self.prints) else at[:0]
-        diagonals: dict[str, set[int]] = defaultdict(set)
-        for p in hit.tolist():
-            for name, q in self.places[int(hashes[p])]:
-                diagonals[name].add(p - q)
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for places, table, prints in ((at, self.sparse, self.prints), (np.arange(len(hashes)), self.dense, self.grams)):
+            if len(prints):
+                found = np.minimum(np.searchsorted(prints, hashes[places]), len(prints) - 1)
+                for p in places[prints[found] == hashes[places]].tolist():
+                    for t, q in table[int(hashes[p])]:
+                        hits[t].append((p, q))
+        if not hits:
+            return []
         found = []
-        for name, ds in diagonals.items():
-            last = None
-            for d in sorted(ds):
-                if last is not None and d - last <= BAND:
-                    continue  # within the band of the candidate before
-                last = d
-                got = align(self.templates[name], tokens, d)
-                if got and got[0] >= COVERAGE * len(self.templates[name]):
-                    found.append((-got[0], got[1], name, got[2]))
+        for t, pairs in hits.items():
+            name, template, counts, wanted = self.templates[t]
+            size = len(template)
+            for chain in chains(pairs, size):
+                # words of the template that stand anywhere near bound what can match
+                (q0, d0), (q1, d1) = chain[0], chain[-1]
+                near = set(tokens[max(0, d0 - 2 * BAND - size) : d1 + 2 * size + 2 * BAND])
+                if sum(n for w, n in counts.items() if w in near) < COVERAGE * size:
+                    continue
+                got = align(template, tokens, chain)
+                if got and got[0] >= COVERAGE * size and keys(tokens[got[1] : got[2]], size < SHORT) == wanted:
+                    found.append((-got[0], -got[0] / size, got[1], name, got[2], size))
         kept: list[tuple] = []
         for f in sorted(found):
-            if all(f[3] <= k[1] or f[1] >= k[3] for k in kept):
+            if all(f[4] <= k[2] or f[2] >= k[4] for k in kept):
                 kept.append(f)
-        return [(name, -m / len(self.templates[name]), -m, spots[first].start(), spots[end - 1].end()) for m, first, name, end in sorted(kept, key=lambda k: k[1])]
+        if not kept:
+            return []
+        spots = list(_WORDS.finditer(text))
+        return [(name, -m / size, -m, spots[first].start(), spots[end - 1].end()) for m, _, first, name, end, size in sorted(kept, key=lambda k: k[2])]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str | tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, coverage, matched_words, span_start, span_end), one row for each match in a whole text. Spans are
-    code points of the lower-cased text."""
+    code points of the text."""
     index = Index(TEMPLATES if templates is None else templates)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
