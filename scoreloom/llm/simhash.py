@@ -1,12 +1,18 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
-Fingerprints that differ in at most ``BITS_APART`` of 64 bits agree in at least three of six blocks, so each choice of
-three blocks is one ordering of the index: the bits of the chosen blocks come first, and the codes are sorted by their
-rank in the Gray sequence, in which neighbours differ in one bit. The chosen blocks are the upper nodes: a masked
-bit pattern that all codes below share (no accumulated difference). Below, ``LEAF`` neighbours in Gray order form a
-node with its own mask of shared bits. Two nodes whose shared bits already differ in more than ``BITS_APART`` places are
-pruned as a whole; only the rest compare codes. Of the links in a node only a spanning forest is kept, which loses no
-connection.
+Fingerprints that differ in at most ``BITS_APART`` = 3 of 64 bits agree in at least one of four blocks of 16 bits, so four
+orderings of the index, each with another block in front, meet every pair. In an ordering the codes are sorted by their
+rank in the Gray sequence, in which neighbours differ in one bit, so codes that stand together share many bits. The index
+is a tree over that order: the block in front is the pattern of an upper node, which its codes share without a difference;
+below, ``FANOUT`` neighbouring nodes, and at the bottom ``LEAF`` codes, make a node with the mask and pattern of the bits that
+all its codes share. The search walks down with pairs of nodes. Each pair carries the difference accumulated so far and
+the bits it was counted over; going down counts only bits newly shared, and a pair beyond ``BITS_APART`` is pruned with all
+that is below it. Only leaves compare codes. Of the links that are found in a node only a spanning forest is kept, which
+loses no connection.
+
+The codes of one upper node are searched in one task, as long as they are at most ``HELD``; larger ones are cut into blocks
+of neighbours, whose tree is walked level by level as Spark joins in the same way, and each pair of blocks that is left is
+a task's work.
 
 Nulls and odd cases: a null or empty text has fingerprint zero and is linked like any other; fewer than three words are
 one shingle; a null doc_id keeps its row, and never becomes a component id unless no document that can be reached has
@@ -17,7 +23,6 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +36,14 @@ from .shared import cut_lineage, map_batches
 BITS_APART = 3
 SHINGLE = 3
 SEED = 42
-#: Codes below one node, at most.
-LEAF = 512
-#: Bits of each block, from the highest.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-CHOSEN = list(combinations(range(len(BLOCKS)), 3))
-_TOP = np.uint64(1 << 63)
-_HIGH = np.uint64(32)
+#: Bits of each of the four blocks.
+BLOCK_BITS = 16
+#: Codes of a leaf, children of a node; groups of up to SMALL codes are one leaf.
+LEAF, FANOUT, SMALL = 16, 8, 48
+#: Codes of an upper node that a task holds; larger ones are cut into blocks of neighbours.
+HELD, BLOCK = 1 << 18, 1 << 15
+#: Pairs of nodes that a task expands at once.
+_WIDE = 1 << 14
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------
@@ -70,49 +76,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # --- orderings ----------------------------------------------------------------------------------------------------
-def _layout(t: int) -> list[tuple[int, int]]:
-    """(shift, bits) of the blocks of one ordering, the chosen ones first."""
-    shifts = [64 - sum(BLOCKS[: i + 1]) for i in range(len(BLOCKS))]
-    order = [*CHOSEN[t], *(i for i in range(len(BLOCKS)) if i not in CHOSEN[t])]
-    return [(shifts[i], BLOCKS[i]) for i in order]
-
-
-def _rank(fps: np.ndarray, t: int) -> np.ndarray:
-    """Rank in the Gray sequence of the permuted codes."""
-    code = np.zeros_like(fps)
-    for shift, bits in _layout(t):
-        code = (code << np.uint64(bits)) | ((fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1))
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Place of each code in the Gray sequence."""
+    rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
-        code ^= code >> np.uint64(s)
-    return code
+        rank ^= rank >> np.uint64(s)
+    return rank
 
 
-def _unrank(rank: np.ndarray, t: int) -> np.ndarray:
-    code, fps, at = rank ^ (rank >> np.uint64(1)), np.zeros_like(rank), 64
-    for shift, bits in _layout(t):
-        at -= bits
-        fps |= ((code >> np.uint64(at)) & np.uint64((1 << bits) - 1)) << np.uint64(shift)
-    return fps
-
-
-def _key_bits(t: int) -> int:
-    return sum(BLOCKS[i] for i in CHOSEN[t])
+def turned(fps: np.ndarray, t: int) -> np.ndarray:
+    """The codes of ordering ``t``: block t in front, the others after it in a circle."""
+    left = np.uint64(BLOCK_BITS * t)
+    return (fps << left) | (fps >> np.uint64(64 - BLOCK_BITS * t)) if t else fps
 
 
 def _orderings(distinct: DataFrame) -> DataFrame:
-    """A row (t, rank) for each fingerprint and ordering; rank's top bit is flipped so that signed order is its order."""
+    """A row (part, side, rank, fp) for each fingerprint and ordering: part names the ordering and its upper node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for t in range(len(CHOSEN)):
-                ranks = (_rank(fps, t) ^ _TOP).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(ranks)], ["t", "rank"])
+            for t in range(64 // BLOCK_BITS):
+                codes = turned(fps, t)
+                part = (codes >> np.uint64(64 - BLOCK_BITS)).astype(np.int64) | (t << BLOCK_BITS)
+                rank = (gray_rank(codes) >> np.uint64(1)).view(np.int64)  # the lowest bit would only order two codes
+                columns = [pa.array(part), pa.array(np.zeros(len(fps), np.int32)), pa.array(rank), pa.array(fps.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "side", "rank", "fp"])
 
-    return map_batches(distinct.select("fp"), work, "t int, rank long")
+    return map_batches(distinct.select("fp"), work, "part long, side int, rank long, fp long")
 
 
-# --- nodes --------------------------------------------------------------------------------------------------------
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric matrix of links."""
     left, found = set(range(len(near))), []
@@ -127,118 +120,234 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _links(fps: np.ndarray) -> list[tuple[int, int]]:
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= BITS_APART
-    return forest(near)
-
-
-_NODES = "t int, key long, node long, shared_and long, shared_or long, members array<long>, a array<long>, b array<long>"
-
-
-def _nodes(ordered: DataFrame) -> DataFrame:
-    """Walks each range of an ordering once. Upper nodes that lie whole in the range and fit a leaf give their links
-    (in a, b) at once; those that are larger, or may go on in a neighbouring range, are cut into leaf nodes."""
-    schema = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("shared_and", pa.int64()), ("shared_or", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("members", "a", "b"))])
+# --- the tree within a task ---------------------------------------------------------------------------------------
+def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(mask, pattern) of the nodes of each level, from the leaves up."""
+    low, high = (f.reduceat(fps, np.arange(0, len(fps), LEAF)) for f in (np.bitwise_and, np.bitwise_or))
+    out = []
+    while True:
+        mask = ~(low ^ high)
+        out.append((mask, low & mask))
+        if len(low) <= FANOUT:
+            return out
+        at = np.arange(0, len(low), FANOUT)
+        low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
+
+
+class _Forest:
+    """Links that connect codes which none before connects."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        a, b = self.label[u], self.label[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        _, one = np.unique(np.minimum(a, b) * len(self.label) + np.maximum(a, b), return_index=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for k in one.tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                self.links.append((int(u[k]), int(v[k])))
+        if root:
+            change = np.arange(len(self.label))
+            change[list(root)] = [find(x) for x in root]
+            self.label = change[self.label]
+
+
+def tree_links(x: np.ndarray, y: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Places (in x followed by y) of codes at most ``BITS_APART`` apart: between x and y, or within x. Each is in Gray order.
+    Only links that connect something new."""
+    own = y is None
+    levels_x = _levels(x)
+    levels_y = levels_x if own else _levels(y)
+    height = max(len(levels_x), len(levels_y))
+    for levels in (levels_x, levels_y):
+        while len(levels) < height:  # nodes of one child: the same nodes again
+            levels.append(levels[-1])
+    other = x if own else y
+    forest = _Forest(len(x) if own else len(x) + len(y))
+    leaf_x, leaf_y = (np.concatenate([c, np.repeat(c[-1:], -len(c) % LEAF)]).reshape(-1, LEAF) for c in (x, other))
+    step_x, step_y = ([(len(a[0]) > len(b[0])) for a, b in zip(levels, levels[1:])] for levels in (levels_x, levels_y))
+
+    def children(nodes: np.ndarray, level: int, levels: list, steps: list) -> tuple[np.ndarray, np.ndarray]:
+        """The children of each node, and whether each is there."""
+        if not steps[level]:
+            return nodes[:, None], np.ones((len(nodes), 1), bool)
+        below = nodes[:, None] * FANOUT + np.arange(FANOUT)
+        return below, below < len(levels[level][0])
+
+    def pruned(i: np.ndarray, j: np.ndarray, level: int, known: np.ndarray, apart: np.ndarray) -> tuple:
+        (mask_x, is_x), (mask_y, is_y) = levels_x[level], levels_y[level]
+        both = mask_x[i] & mask_y[j]
+        apart = apart + np.bitwise_count((is_x[i] ^ is_y[j]) & both & ~known)
+        keep = apart <= BITS_APART
+        return i[keep], j[keep], (both | known)[keep], apart[keep]
+
+    top = height - 1
+    i, j = (z.ravel() for z in np.meshgrid(*(np.arange(len(levels[top][0])) for levels in (levels_x, levels_y)), indexing="ij"))
+    if own:
+        i, j = i[i <= j], j[i <= j]
+    work = [(top, *pruned(i, j, top, np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint8)))]
+    while work:
+        level, i, j, known, apart = work.pop()
+        if not len(i):
+            continue
+        wide = _WIDE // (LEAF if level == 0 else 1)
+        if len(i) > wide:
+            work += [(level, i[k : k + wide], j[k : k + wide], known[k : k + wide], apart[k : k + wide]) for k in range(0, len(i), wide)]
+        elif level:
+            down_x, there_x = children(i, level - 1, levels_x, step_x)
+            down_y, there_y = children(j, level - 1, levels_y, step_y)
+            there = there_x[:, :, None] & there_y[:, None, :]
+            if own:
+                there &= down_x[:, :, None] <= down_y[:, None, :]
+            pair, a, b = np.nonzero(there)
+            work.append((level - 1, *pruned(down_x[pair, a], down_y[pair, b], level - 1, known[pair], apart[pair])))
+        else:
+            pair, a, b = np.nonzero(np.bitwise_count(leaf_x[i][:, :, None] ^ leaf_y[j][:, None, :]) <= BITS_APART)
+            u, v = i[pair] * LEAF + a, j[pair] * LEAF + b
+            good = (u < len(x)) & (v < len(other)) & ((u < v) if own else True)
+            forest.add(u[good], v[good] + (0 if own else len(x)))
+    return forest.links
+
+
+def small_links(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside many small groups at once: ``starts`` has where each begins, and the end."""
+    lens = np.diff(starts)
+    after = np.repeat(starts[1:], lens) - np.arange(len(fps))  # codes of the group from here on
+    label, out = np.arange(len(fps)), []
+    for k in range(1, int(lens.max(initial=0))):
+        i = np.flatnonzero(after > k)
+        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= BITS_APART]
+        i = i[label[i] != label[i + k]]
+        label[i] = label[i + k] = np.minimum(label[i], label[i + k])  # equal labels: connected by links before
+        out.append((i, i + k))
+    u, v = (np.concatenate([p[s] for p in out]) if out else np.zeros(0, np.int64) for s in (0, 1))
+    return fps[u], fps[v]
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    """``rows(part, side, rank, fp)``, each part whole and sorted in one partition, to links (u, v): within a part of one side,
+    between the sides of one with two."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_t, held_r = np.zeros(0, np.int32), np.zeros(0, np.uint64)
-        first = True  # the run at hand may have begun in the range before
-        a: list[int] = []
-        b: list[int] = []
-        rows: list[dict] = []
-
-        def leaf(t: int, ranks: np.ndarray) -> None:
-            fps = _unrank(ranks, t)
-            for i, j in _links(fps):
-                a.append(int(fps[i : i + 1].view(np.int64)[0]))
-                b.append(int(fps[j : j + 1].view(np.int64)[0]))
-            signed = fps.view(np.int64)
-            key = int(ranks[0] >> np.uint64(64 - _key_bits(t)))
-            rows.append({"t": t, "key": key, "node": int((ranks[:1] ^ _TOP).view(np.int64)[0]), "shared_and": int(np.bitwise_and.reduce(signed)), "shared_or": int(np.bitwise_or.reduce(signed)), "members": signed.tolist(), "a": None, "b": None})
-
-        def flush() -> pa.RecordBatch:
-            rows.append({"a": a.copy(), "b": b.copy()})
-            out = pa.RecordBatch.from_pylist(rows, schema)
-            rows.clear()
-            a.clear()
-            b.clear()
-            return out
+        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+
+        def search(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links of whole parts."""
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]])
+            fps, sides, lens = np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 1], np.diff(starts)
+            two = np.zeros(len(lens), bool) if not sides.any() else np.logical_or.reduceat(sides > 0, starts[:-1])
+            small = (lens <= SMALL) & ~two
+            keep = np.repeat(small, lens)
+            u, v = small_links(fps[keep], np.concatenate([[0], np.cumsum(lens[small])]))
+            yield pa.RecordBatch.from_arrays([pa.array(z.view(np.int64)) for z in (u, v)], ["u", "v"])
+            for k in np.flatnonzero(~small).tolist():
+                codes, first = fps[starts[k] : starts[k + 1]], int((sides[starts[k] : starts[k + 1]] == 0).sum())
+                found = tree_links(codes[:first], codes[first:] if two[k] else None)
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(codes[z].view(np.int64)) for z in (i, j)], ["u", "v"])
 
-        def whole(ts: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> None:
-            """Runs that begin and end in this range."""
-            lens = np.diff(at)
-            for k in np.flatnonzero(lens > 1).tolist():
-                run, t = ranks[at[k] : at[k + 1]], int(ts[at[k]])
-                if len(run) > LEAF:
-                    for i in range(0, len(run), LEAF):
-                        leaf(t, run[i : i + LEAF])
-                    continue
-                fps = _unrank(run, t)
-                if len(run) == 2:
-                    pairs = [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= BITS_APART else []
-                else:
-                    pairs = _links(fps)
-                signed = fps.view(np.int64)
-                a.extend(int(signed[i]) for i, _ in pairs)
-                b.extend(int(signed[j]) for _, j in pairs)
-
-        for batch in batches:
-            ts = np.concatenate([held_t, batch.column(0).to_numpy(zero_copy_only=False)])
-            ranks = np.concatenate([held_r, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) ^ _TOP])
-            # the key: as many leading bits of the rank as the chosen blocks have
-            keep = np.array([64 - _key_bits(t) for t in range(len(CHOSEN))], np.uint64)[ts]
-            keys = ranks >> keep
-            at = np.concatenate([[0], np.flatnonzero((np.diff(ts) != 0) | (keys[1:] != keys[:-1])) + 1, [len(ts)]])
-            last = at[-2]
-            begin = 0
-            if first and last > 0:
-                for i in range(0, at[1], LEAF):
-                    leaf(int(ts[0]), ranks[i : min(i + LEAF, at[1])])
-                begin, first = 1, False
-            if len(at) - 1 > begin:
-                whole(ts, ranks, at[begin:-1])
-            held_t, held_r = ts[last:], ranks[last:]
-            while len(held_r) > 2 * LEAF:  # one very large upper node: never held as a whole
-                leaf(int(held_t[0]), held_r[:LEAF])
-                held_t, held_r, first = held_t[LEAF:], held_r[LEAF:], True
-            yield flush()
-        if len(held_r):
-            for i in range(0, len(held_r), LEAF):
-                leaf(int(held_t[0]), held_r[i : i + LEAF])
-            yield flush()
-
-    return map_batches(ordered, work, _NODES)
-
-
-def _across(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the leaf nodes of one upper node; pairs of nodes whose shared bits differ too much are pruned."""
-    nodes = nodes.where("members is not null").select("t", "key", "node", "shared_and", "shared_or", "members")
-    x = nodes.select("t", "key", *(F.col(c).alias(f"x_{c}") for c in nodes.columns[2:]))
-    y = nodes.select("t", "key", *(F.col(c).alias(f"y_{c}") for c in nodes.columns[2:]))
-    differ = "bit_count((x_shared_and ^ y_shared_and) & ~(x_shared_and ^ x_shared_or) & ~(y_shared_and ^ y_shared_or))"
-    pairs = x.join(y, ["t", "key"]).where(f"x_node < y_node and {differ} <= {BITS_APART}").select("x_members", "y_members")
+        for b in batches:
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 3)], axis=1)
+            ends = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            done = [*held, rows[:cut]]
+            if sum(map(len, done)) and (cut or held[-1][-1, 0] != rows[-1, 0]):
+                yield from search(np.concatenate(done))
+                held = [rows[cut:]]
+            else:
+                held.append(rows)
+        last = np.concatenate(held)
+        if len(last):
+            yield from search(last)
+
+    return map_batches(rows, work, "u long, v long")
+
+
+# --- upper nodes that no task holds -------------------------------------------------------------------------------
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows``, sorted, to blocks (part, block, low, high, fps) of at most ``BLOCK`` neighbours of one part."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                u, v = (np.asarray(z.values).astype(np.int64).view(np.uint64) for z in (p, q))
-                near = np.zeros((len(u) + len(v),) * 2, bool)
-                near[: len(u), len(u) :] = np.bitwise_count(u[:, None] ^ v[None, :]) <= BITS_APART
-                near |= near.T
-                both = np.concatenate([u, v]).view(np.int64)
-                if found := forest(near):
-                    i, j = np.array(found).T
-                    yield pa.RecordBatch.from_arrays([pa.array(both[i]), pa.array(both[j])], ["u", "v"])
+        held = np.zeros((0, 3), np.int64)
+
+        def block(rows: np.ndarray) -> pa.RecordBatch:
+            fps = np.ascontiguousarray(rows[:, 2])
+            row = {"part": int(rows[0, 0]), "block": int(rows[0, 1]), "low": int(np.bitwise_and.reduce(fps)), "high": int(np.bitwise_or.reduce(fps)), "fps": fps}
+            return pa.RecordBatch.from_pylist([row], schema)
 
-    return map_batches(pairs, work, "u long, v long")
+        for b in batches:
+            held = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3)], axis=1)])
+            while len(held) and (held[0, 0] != held[-1, 0] or len(held) >= BLOCK):
+                same = int(np.searchsorted(held[:, 0], held[0, 0], side="right"))
+                n = min(same, BLOCK)
+                yield block(held[:n])
+                held = held[n:]
+        if len(held):
+            yield block(held)
+
+    return map_batches(rows, work, "part long, block long, low long, high long, fps array<long>")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Links of the parts that no task holds. ``rows`` has their codes."""
+    blocks = cut_lineage(_blocks(rows.repartitionByRange("part", "rank").sortWithinPartitions("part", "rank")))
+    order = Window.partitionBy("part").orderBy("block")
+    level = blocks.select("part", "low", "high", (F.row_number().over(order) - 1).alias("node"), "block")
+    levels = [cut_lineage(level)]
+    while levels[-1].where(F.col("node") > 0).limit(1).count():
+        up = F.floor(F.col("node") / FANOUT).cast("int")
+        above = levels[-1].groupBy("part", up.alias("node")).agg(F.expr("bit_and(low)").alias("low"), F.expr("bit_or(high)").alias("high"))
+        levels.append(cut_lineage(above))
+    pairs = levels[-1].select("part", F.col("node").alias("x"), F.col("node").alias("y"), F.lit(0).cast("long").alias("known"), F.lit(0).alias("apart"))
+    for nodes in reversed(levels):
+        mask = F.expr("~(low ^ high)")
+        side = nodes.select("part", "node", mask.alias("mask"), F.col("low").alias("pattern"), *(["block"] if "block" in nodes.columns else []))
+        if nodes is not levels[-1]:  # to the children
+            children = side.select("part", F.floor(F.col("node") / FANOUT).cast("int").alias("up"), F.col("node").alias("child"))
+            pairs = pairs.join(children.withColumnsRenamed({"up": "x", "child": "cx"}), ["part", "x"])
+            pairs = pairs.join(children.withColumnsRenamed({"up": "y", "child": "cy"}), ["part", "y"]).where("cx <= cy")
+            pairs = pairs.select("part", F.col("cx").alias("x"), F.col("cy").alias("y"), "known", "apart")
+        for z in "xy":
+            pairs = pairs.join(side.select("part", *(F.col(c).alias(z if c == "node" else f"{z}_{c}") for c in side.columns[1:])), ["part", z])
+        new = "(x_pattern ^ y_pattern) & x_mask & y_mask & ~known"
+        pairs = pairs.withColumn("apart", F.expr(f"apart + bit_count({new})")).where(F.col("apart") <= BITS_APART)
+        pairs = pairs.withColumn("known", F.expr("known | (x_mask & y_mask)"))
+        kept = ["part", "x", "y", "known", "apart"]
+        pairs = cut_lineage(pairs.select(*kept, *(["x_block", "y_block"] if "block" in nodes.columns else [])))
+    pairs = cut_lineage(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    codes = blocks.select(F.col("part").alias("of"), "block", F.posexplode("fps").alias("place", "fp"))
+    sides = pairs.select("pair", F.col("part").alias("of"), F.explode(F.expr("array_distinct(array(struct(0 as side, x_block as block), struct(if(x = y, 0, 1) as side, y_block as block)))")).alias("s"))
+    sides = sides.select("pair", "of", "s.side", "s.block")
+    both = codes.join(sides, ["of", "block"]).select(F.col("pair").alias("part"), "side", F.col("place").cast("long").alias("rank"), "fp")
+    return _searched(both.repartition("part").sortWithinPartitions("part", "side", "rank"))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``distinct(fp)`` to links (u, v) that connect exactly the fingerprints which chains of close pairs connect."""
-    ordered = _orderings(distinct).repartitionByRange("t", "rank").sortWithinPartitions("t", "rank")
-    nodes = cut_lineage(_nodes(ordered))
-    within = nodes.where("size(a) > 0").select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.col("p.a").alias("u"), F.col("p.b").alias("v"))
-    return within.unionByName(_across(nodes))
+    rows = _orderings(distinct)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # at most 4 * 2^16 upper nodes, whatever the corpus
+    large = cut_lineage(sizes.where(F.col("n") > HELD).select("part"))
+    if large.isEmpty():
+        return _searched(rows.repartition("part").sortWithinPartitions("part", "rank"))
+    held = rows.join(F.broadcast(large), "part", "left_anti")
+    found = _searched(held.repartition("part").sortWithinPartitions("part", "rank"))
+    return found.unionByName(_across(rows.join(F.broadcast(large), "part", "left_semi")))
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
