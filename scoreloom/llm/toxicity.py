@@ -2,15 +2,16 @@
 
 A text's terms are its distinct lower-cased words and their leading 4 and 5 characters (word stems), each hashed to
 ``HASH_BITS`` bits. The machine is fitted on at most ``FIT_ROWS`` labelled rows, those with the smallest hash of their
-id (all of them, if there are fewer), never one of the held-out fold. Their hashed terms are counted in Spark; the
-``TERMS`` that tell the classes apart best by chi-square are kept, of those that chance hardly explains, and only their
-places go to the driver. The model has a weight and ``FACTORS`` factors for each, so a pair of terms
-counts beyond the sum of its parts. Every row of the table is then scored over its whole text.
+id (all of them, if there are fewer), never one of the held-out fold. Their hashed terms are counted in Spark. Kept are
+terms that tell the classes apart alone; terms that do so among the documents with another telling term; and frequent
+terms that do so only as pairs, in which case either one alone may tell nothing. The model has a weight and ``FACTORS``
+factors for each, so a pair of terms counts beyond the sum of its parts. The penalty and the number of epochs are chosen on
+an inner fold of the rows it learns from. Every row of the table is then scored over its whole text.
 
 Nulls and odd cases: a null or empty text has no terms and gets the score of the bias; a null id is held out; rows that
-repeat an id are scored each, and learnt from once; an id with several labels counts as toxic if one says so; labels without a document are
-ignored; with no labels, or only one class, every score is the share of toxic labels (0 without any). Other columns are
-never inputs. An empty table gives an empty result.
+repeat an id are scored each, and learnt from once; an id with several labels counts as toxic if one says so; labels
+without a document are ignored; with no labels, or only one class, every score is the share of toxic labels (0 without
+any). Other columns are never inputs. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +31,16 @@ from .shared import cut_lineage, free_names, map_batches
 #: The bound on rows that the classifier is fitted on.
 FIT_ROWS = 12_000
 HASH_BITS = 20
-TERMS = 4_096
-LEAST_CHI = 16.0
+#: A term enters the machine by its likelihood ratio (or chi-square) with the label: alone; beside one of the COMPANY terms that tell most; or as
+#: a pair with another one of the FREQUENT terms with most documents. Chance hardly explains such values (PAIR_CHI is
+#: higher, for there are more pairs than terms).
+FREQUENT = 1_024
+COMPANY = 64
+LEAST_CHI, PAIR_CHI = 16.0, 40.0
 FACTORS = 4
-EPOCHS = 12
+#: Adam's rate, documents a step, most epochs; the penalties that inner folds choose from.
+RATE, BATCH, EPOCHS = 0.03, 64, 16
+PENALTIES = (0.003, 0.03, 0.3)
 _WORDS = re.compile(r"\w+")
 _MASK = (1 << HASH_BITS) - 1
 _CACHE = 200_000
@@ -69,43 +76,73 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, best: np.ndarray) -> Machine:
-    """Adam on the log loss, in a fixed order; ``docs`` has each document's rows of ``best``, the hashed terms that are kept."""
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    n, toxic = len(docs), float(labels.sum())
-    prior = toxic / n if n else 0.0
-    nothing = Machine(float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))), place, np.zeros(1), np.zeros((1, FACTORS)))
-    if toxic in (0.0, float(n)):
-        return nothing
-    place[best] = np.arange(len(best))
-    flat, owner = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
-    starts = np.searchsorted(owner, np.arange(n + 1))
+def _segments(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All docs' rows one after another, and where each begins; a doc without rows takes the spare row 0."""
+    filled = [d if len(d) else np.zeros(1, np.int32) for d in docs]
+    return np.concatenate(filled), np.concatenate([[0], np.cumsum([len(d) for d in filled])])
 
+
+def _forward(w: dict[str, np.ndarray], flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = w["v"][flat]
+    s = np.add.reduceat(v, begin, axis=0)
+    squares = np.add.reduceat(np.einsum("ij,ij->i", v, v), begin)
+    z = w["b"][0] + np.add.reduceat(w["w"][flat], begin) + 0.5 * (np.einsum("ij,ij->i", s, s) - squares)
+    return z, v, s
+
+
+def descend(docs: list[np.ndarray], labels: np.ndarray, size: int, penalty: float, epochs: int) -> Iterator[dict[str, np.ndarray]]:
+    """Adam on the log loss with decayed weights, in a fixed order; the parameters after each epoch. Row 0 is spare."""
+    flat, starts = _segments(docs)
+    n, prior = len(docs), float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
     rng = np.random.default_rng(8)
-    w = {"b": np.array([nothing.bias]), "w": np.zeros(len(best)), "v": rng.normal(0, 0.03, (len(best), FACTORS))}
+    w = {"b": np.array([np.log(prior / (1 - prior))]), "w": np.zeros(size), "v": rng.normal(0, 0.05, (size, FACTORS))}
     m, u = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(n)
-        for at in range(0, n, 256):
-            batch = order[at : at + 256]
+        for at in range(0, n, BATCH):
+            batch = order[at : at + BATCH]
             lens = starts[batch + 1] - starts[batch]
-            row = np.repeat(np.arange(len(batch)), lens)
-            idx = np.concatenate([flat[starts[d] : starts[d + 1]] for d in batch])
-            v = w["v"][idx]
-            s = np.zeros((len(batch), FACTORS))
-            np.add.at(s, row, v)
-            sq = np.bincount(row, weights=(v * v).sum(axis=1), minlength=len(batch))
-            z = w["b"][0] + np.bincount(row, weights=w["w"][idx], minlength=len(batch)) + 0.5 * ((s * s).sum(axis=1) - sq)
+            begin = np.cumsum(lens) - lens
+            idx = flat[np.repeat(starts[batch] - begin, lens) + np.arange(lens.sum())]
+            z, v, s = _forward(w, idx, begin)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
-            grads = {"b": np.array([g.sum()]), "w": np.bincount(idx, weights=g[row], minlength=len(best)) + 1e-4 * w["w"], "v": np.zeros_like(w["v"])}
-            np.add.at(grads["v"], idx, g[row, None] * (s[row] - v))
-            grads["v"] += 1e-4 * w["v"]
+            each = np.repeat(g, lens)
+            pull = each[:, None] * (np.repeat(s, lens, axis=0) - v)
+            grads = {"b": np.array([g.sum()]), "w": np.bincount(idx, weights=each, minlength=size)}
+            grads["v"] = np.stack([np.bincount(idx, weights=pull[:, f], minlength=size) for f in range(FACTORS)], axis=1)
             step += 1
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * grads[k]
                 u[k] = 0.999 * u[k] + 0.001 * grads[k] ** 2
-                w[k] -= 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.999**step)) + 1e-8)
+                w[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.999**step)) + 1e-8)
+                if k != "b":
+                    w[k] *= 1 - RATE * penalty
+            w["w"][0], w["v"][0] = 0.0, 0.0
+        yield {k: x.copy() for k, x in w.items()}
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, checked: np.ndarray, best: np.ndarray) -> Machine:
+    """``docs`` has each document's rows of ``best``, the hashed terms that are kept. The penalty and the number of epochs are
+    those with the least log loss on the ``checked`` documents, learnt from the rest; the machine is then fitted on all."""
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    n, toxic = len(docs), float(labels.sum())
+    prior = toxic / n if n else 0.0
+    if toxic in (0.0, float(n)):
+        return Machine(float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))), place, np.zeros(1), np.zeros((1, FACTORS)))
+    place[best] = np.arange(1, len(best) + 1)
+    docs, size = [d + 1 for d in docs], len(best) + 1
+    inner, outer = np.flatnonzero(~checked), np.flatnonzero(checked)
+    chosen = (PENALTIES[0], EPOCHS)
+    if len(outer) and 0 < labels[inner].sum() < len(inner):
+        flat, starts = _segments([docs[i] for i in outer])
+        losses = {}
+        for penalty in PENALTIES:
+            for epoch, w in enumerate(descend([docs[i] for i in inner], labels[inner], size, penalty, EPOCHS), 1):
+                z = np.clip(_forward(w, flat, starts[:-1])[0], -30, 30)
+                losses[penalty, epoch] = float((np.logaddexp(0, z) - labels[outer] * z).mean())
+        chosen = min(losses, key=lambda k: (losses[k], k))
+    *_, w = descend(docs, labels, size, *chosen)
     return Machine(float(w["b"][0]), place, w["w"], w["v"])
 
 
@@ -116,9 +153,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # bounded, so it can be broadcast
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_toxic", "_text")
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it can be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "toxic", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,29 +164,76 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_batches(texts, work, f"id {kind}, toxic int, terms array<int>")
     found = cut_lineage(found.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")))
-    best = telling_terms(found)
+    telling, frequent = telling_terms(found)
+    candidates = np.union1d(telling, frequent)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.flatnonzero(np.isin(best, np.asarray(t.values), assume_unique=True)).astype(np.int32).tobytes() for t in b.column(2)]
+            rows = [np.flatnonzero(np.isin(candidates, np.asarray(t.values), assume_unique=True)).astype(np.int32).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["id", "toxic", "rows"])
 
-    # at most ``rows`` documents, each with those of its terms that are kept
-    got = map_batches(found, keep, f"id {kind}, toxic int, rows binary").orderBy(F.xxhash64("id"), "id").select("toxic", "rows").collect()
-    return fit([np.frombuffer(bytes(r["rows"]), np.int32) for r in got], np.array([r["toxic"] for r in got], float), best)
+    # at most ``rows`` documents, each with those of its terms that are candidates
+    checked = (F.pmod(F.xxhash64(F.lit("inner"), "id"), F.lit(4)) == 0).alias("checked")
+    got = map_batches(found, keep, f"id {kind}, toxic int, rows binary").orderBy(F.xxhash64("id"), "id").select("toxic", checked, "rows").collect()
+    members, toxic = [np.frombuffer(bytes(r["rows"]), np.int32) for r in got], np.array([r["toxic"] for r in got], float)
+    kept = np.isin(candidates, telling)
+    kept[paired_rows(members, toxic, np.flatnonzero(np.isin(candidates, frequent)), len(candidates))] = True
+    place = np.cumsum(kept, dtype=np.int32) - 1
+    return fit([place[m[kept[m]]] for m in members], toxic, np.array([r["checked"] for r in got], bool), candidates[kept])
 
 
-def telling_terms(found: DataFrame) -> np.ndarray:
-    """The hashed terms of ``found(toxic, terms)`` that tell the classes apart best, at most ``TERMS``, in order."""
+def telling_terms(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``found(toxic, terms)`` the hashed terms that tell the classes apart, alone or among the documents that have one of
+    the ``COMPANY`` terms that tell most; and the ``FREQUENT`` most frequent ones. Both in order."""
     n, toxic = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    none = np.zeros(0, np.int64)
     if toxic in (0, n):
-        return np.zeros(0, np.int64)
-    prior = toxic / n
+        return none, none
+    gather = lambda frame: np.sort(np.array([r["term"] for r in frame.select("term").distinct().collect()], np.int64))
     counted = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
-    gap = F.col("hit") - F.col("df") * F.lit(prior)
-    chi = counted.where("df >= 3").select("term", (gap * gap / (F.col("df") * F.lit(prior * (1 - prior)))).alias("chi"))
-    best = chi.where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term").limit(TERMS).collect()
-    return np.sort(np.array([r["term"] for r in best], np.int64))
+    counted = cut_lineage(counted.where("df >= 3"))  # at most the sample's terms
+    frequent = gather(counted.orderBy(F.col("df").desc(), "term").limit(FREQUENT))
+
+    def surprise(prior: Column) -> Column:
+        """Likelihood ratio of ``hit`` among ``df`` against a share of ``prior``; trustworthy for small counts too."""
+        rate, miss = F.col("hit") / F.col("df"), F.col("df") - F.col("hit")
+        part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
+        return 2 * (part(F.col("hit"), rate, prior) + part(miss, 1 - rate, 1 - prior))
+
+    scored = counted.withColumn("chi", surprise(F.lit(toxic / n)))
+    company = scored.where(f"chi >= {LEAST_CHI} and hit < df and hit > 0").orderBy(F.col("chi").desc(), "term").limit(COMPANY)
+    company = F.broadcast(company.select(F.col("term").alias("beside"), (F.col("hit") / F.col("df")).alias("prior"), F.col("df").alias("whole")))
+    both = found.select("toxic", "terms", F.explode("terms").alias("beside")).join(company, "beside")
+    both = both.select("beside", "prior", "whole", "toxic", F.explode("terms").alias("term")).where("term <> beside")
+    both = both.groupBy("beside", "prior", "whole", "term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    both = both.where("df >= 5 and df < whole").withColumn("chi", surprise(F.col("prior"))).where(f"chi >= {PAIR_CHI}")
+    alone = gather(scored.where(f"chi >= {LEAST_CHI}"))
+    beside = gather(both.select("beside", "term").select(F.explode(F.array("beside", "term")).alias("term")))
+    return np.union1d(alone, beside), frequent
+
+
+def paired_rows(docs: list[np.ndarray], labels: np.ndarray, frequent: np.ndarray, size: int) -> np.ndarray:
+    """Of the ``frequent`` rows (of ``size`` in all) those that tell the classes apart together with another one, whatever they
+    tell alone: pairs whose centred product goes with the label more than chance explains."""
+    n, used = len(docs), len(frequent)
+    if not n or not used or labels.min() == labels.max():
+        return np.zeros(0, np.int64)
+    place = np.full(size, -1)
+    place[frequent] = np.arange(used)
+    share = np.bincount(np.concatenate([place[d][place[d] >= 0] for d in docs]), minlength=used) / n
+    rest = labels - labels.mean()
+    products = np.zeros((used, used), np.float32)
+    for at in range(0, n, 1024):
+        block = np.zeros((min(1024, n - at), used), np.float32)
+        for i, d in enumerate(docs[at : at + 1024]):
+            block[i, place[d][place[d] >= 0]] = 1
+        block -= share.astype(np.float32)
+        products += block.T @ (block * rest[at : at + 1024, None].astype(np.float32))
+    spread = share * (1 - share)
+    variance = n * rest.var() * np.outer(spread, spread)
+    chi = np.where(variance >= 5, products**2 / np.maximum(variance, 1e-9), 0.0)  # fewer cases are no evidence
+    np.fill_diagonal(chi, 0)
+    return frequent[(chi >= PAIR_CHI).any(axis=1)]
 
 
 def score(docs: DataFrame, model: Machine, text_col: str = "text", into: str = "score") -> DataFrame:

@@ -39,6 +39,46 @@ def test_learns_a_pair_that_no_sum_of_weights_can(spark):
     assert all(abs(out[i].score - slow_score(model, rows[i][1])) < 1e-9 for i in held[:50])
 
 
+def exclusive(n=3000, vocabulary=1000):
+    """Toxic means exactly one of two words, each in half of the texts, so neither alone tells anything."""
+    rnd, rows = random.Random(9), []
+    for i in range(n):
+        words = [f"w{rnd.randint(0, vocabulary)}" for _ in range(rnd.randint(20, 60))]
+        one, two = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((i, " ".join(rnd.sample(words + ["alpha"] * one + ["omega"] * two, len(words) + one + two)), int(one != two)))
+    return rows
+
+
+def beside(n=3000):
+    """Toxic means a slur, or a group's name, rare and as common in clean texts, together with a word that tells a little."""
+    rnd, rows = random.Random(10), []
+    for i in range(n):
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(20, 60))]
+        hint, group, slur = rnd.random() < 0.3, rnd.random() < 0.1, rnd.random() < 0.02
+        rows.append((i, " ".join(words + ["hateful"] * hint + ["northerners"] * group + ["slur"] * slur), int(slur or (hint and group))))
+    return rows
+
+
+def test_learns_pairs_of_words_that_tell_nothing_alone(spark):
+    for rows, least in ((exclusive(), 0.97), (beside(), 0.99)):
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+        out = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+        held = [i for i in out if out[i].held_out]
+        assert np.mean([out[i].predicted == rows[i][2] for i in held]) > least
+
+
+def test_fit_beats_every_additive_rule():
+    """On the exclusive-or any sum of weights and bias is right for three of the four cases at most."""
+    a, b = np.random.default_rng(4).integers(0, 2, (2, 3000))
+    docs = [np.array([k for k, x in enumerate((u, v)) if x], np.int32) for u, v in zip(a, b, strict=True)]
+    y = (a != b).astype(float)
+    machine = toxicity.fit(docs, y, np.arange(3000) % 4 == 0, np.arange(2))
+    assert np.mean([(machine.score(d + 1) >= 0.5) == t for d, t in zip(docs, y, strict=True)]) > 0.99
+    sums = [np.mean((bias + u * a + v * b >= 0) == y) for bias in (-1.5, -0.5, 0.5, 1.5) for u in (-1, 0, 1) for v in (-1, 0, 1)]
+    assert max(sums) < 0.8
+
+
 def test_held_out_labels_never_matter(spark):
     rows = corpus(300)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
