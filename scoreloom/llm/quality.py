@@ -1,10 +1,16 @@
 """Quality rules: base counts, then a linear-chain conditional random field over a document's lines.
 
 Each line is content or boilerplate; the Viterbi path gives the labels, and a document is kept if at least
-``CONTENT_SHARE`` of its words stand in content lines. The field's weights are fitted here by the exact gradient of the
-likelihood (forward and backward sums) on at most ``FIT_ROWS`` documents with a quality label, those with the smallest
-hash of their id. Lines take their document's label; documents that fail the base rules are not learnt from; without
-labels of both classes ``PRIOR`` is used.
+``CONTENT_SHARE`` of its words stand in content lines. The field's weights are fitted by the exact gradient of the
+likelihood (forward and backward sums) on documents with a quality label. The labels are the documents', those of lines
+are latent: in a good document lines begin as content but for those seen before in it; in a bad one as weak marks say
+(symbols, tables of bars, capitals, lines seen before), all boilerplate where nothing is marked. Then all are decoded again
+with the field fitted so far, a good document held to ``CONTENT_SHARE`` of content at least and a bad one to less, and the
+field is fitted anew. So sequences that change labels are learnt from.
+
+Learnt from are only documents outside the held-out fold (crc32 of the id as text, modulo 5, is not 0) that pass the base
+rules, at most ``FIT_ROWS`` of them, and of these, in the order of a hash of the id, as many as have ``FIT_LINES`` lines
+together; long ones are cut into pieces of ``PIECE`` lines for the fit. Without labels of both classes ``PRIOR`` is used.
 
 Nulls and odd cases: a null text has no words and fails the base rules, as does one of fewer than 20 words; a null id is
 kept; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
@@ -16,15 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, map_batches
+from .shared import WHITE_SPACE, cut_lineage, map_batches
 
-#: The bound on documents that the field is fitted on; those of up to FIT_LINES lines are used.
+#: The bounds on documents and lines that the field is fitted on; lines of a piece.
 FIT_ROWS = 4_000
-FIT_LINES = 64
+FIT_LINES = 200_000
+PIECE = 64
 CONTENT_SHARE = 0.5
+#: Pieces of a gradient step, passes over all pieces of one fit, and how often lines are decoded and fitted anew.
+BATCH, PASSES, ROUNDS = 64, 6, 3
+#: A line with more of one of these features is boilerplate to begin with (by place in FEATURES).
+MARKS = {1: 0.15, 2: 0.5, 3: 0.6, 6: 0.5}
 #: Features of a line: constant, symbols, bars, capitals, exclamation marks, few words, seen before, digits, word length.
 FEATURES = 9
 #: Fixed values used when nothing can be learnt: content's weight for each feature, and for staying in a label.
@@ -65,43 +76,89 @@ def viterbi(unary: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(path[::-1] if len(unary) else [], int)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and moves that maximise the likelihood of every line having its document's label."""
-    docs, labels = [d for d in docs if len(d)], np.array([y for d, y in zip(docs, labels, strict=True) if len(d)], int)
+def _step(x: np.ndarray, y: np.ndarray, on: np.ndarray, weight: np.ndarray, w: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood of the line labels ``y`` of a batch of pieces; ``on`` marks lines that are there."""
+    n, length = y.shape
+    score = np.stack([np.zeros((n, length)), x @ w], axis=2)
+    ahead = np.zeros((n, length, 2))
+    ahead[:, 0] = score[:, 0]
+    for t in range(1, length):
+        z = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + score[:, t]
+        ahead[:, t] = np.where(on[:, t, None], z, ahead[:, t - 1])
+    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    behind, pairs = np.zeros((n, length, 2)), np.zeros((2, 2))
+    for t in range(length - 1, 0, -1):
+        after = score[:, t] + behind[:, t]
+        both = ahead[:, t - 1, :, None] + moves + after[:, None, :] - total[:, None, None]
+        pairs += (np.exp(both) * (weight * on[:, t])[:, None, None]).sum(axis=0)
+        behind[:, t - 1] = np.where(on[:, t, None], np.logaddexp.reduce(moves + after[:, None, :], axis=2), 0.0)
+    content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * on
+    seen, step = np.zeros((2, 2)), weight[:, None] * on[:, 1:]
+    np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), step.ravel())
+    return (((y * on - content) * weight[:, None])[:, :, None] * x).sum(axis=(0, 1)), seen - pairs
+
+
+def fit_lines(docs: list[np.ndarray], lines: list[np.ndarray], weights: np.ndarray, w: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves that raise the likelihood of the lines' labels, from (w, moves) on."""
+    pieces = [(d[at : at + PIECE], y[at : at + PIECE], k) for d, y, k in zip(docs, lines, weights, strict=True) for at in range(0, len(d), PIECE)]
+    pieces.sort(key=lambda p: len(p[0]))  # pieces of a batch are about as long
+    batches = []
+    for at in range(0, len(pieces), BATCH):
+        part = pieces[at : at + BATCH]
+        length = len(part[-1][0])
+        x, y, on = np.zeros((len(part), length, FEATURES)), np.zeros((len(part), length), int), np.zeros((len(part), length), bool)
+        for i, (d, labels, _) in enumerate(part):
+            x[i, : len(d)], y[i, : len(d)], on[i, : len(d)] = d, labels, True
+        batches.append((x, y, on, np.array([k for *_, k in part])))
+    w, moves, rng, step = w.copy(), moves.copy(), np.random.default_rng(5), 0
+    m, u = [np.zeros_like(w), np.zeros_like(moves)], [np.zeros_like(w), np.zeros_like(moves)]
+    for _ in range(PASSES):
+        for k in rng.permutation(len(batches)).tolist():
+            step += 1
+            grads = _step(*batches[k], w, moves)
+            for i, (p, decay) in enumerate(((w, 1e-3), (moves, 1e-2))):
+                g = grads[i] * (len(batches) / 4) - decay * p
+                m[i] = 0.9 * m[i] + 0.1 * g
+                u[i] = 0.999 * u[i] + 0.001 * g**2
+                p += 0.05 * (m[i] / (1 - 0.9**step)) / (np.sqrt(u[i] / (1 - 0.999**step)) + 1e-8)
+    return w, moves
+
+
+def first_labels(lines: np.ndarray, good: int) -> np.ndarray:
+    """What lines are to begin with: 1 for content."""
+    if good:
+        return (lines[:, 6] == 0).astype(int)
+    marked = np.zeros(len(lines), bool)
+    for k, least in MARKS.items():
+        marked |= lines[:, k] > least
+    return (~marked).astype(int) if marked.any() else np.zeros(len(lines), int)
+
+
+def held_path(unary: np.ndarray, moves: np.ndarray, words: np.ndarray, good: int) -> np.ndarray:
+    """The best path of a document, its content pushed up, or down in a bad one, until the share of its words is on the side of
+    ``CONTENT_SHARE`` that its label says."""
+    for push in (0.0, 1.0, 2.0, 4.0, 8.0, 16.0):
+        y = viterbi(unary + (push if good else -push), moves)
+        if ((words * y).sum() >= CONTENT_SHARE * words.sum()) == bool(good):
+            return y
+    return np.full(len(unary), good)
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, words: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves from documents' line features and quality labels; ``words`` counts each line's words."""
+    used = [i for i, d in enumerate(docs) if len(d)]
+    words = [np.ones(len(docs[i])) for i in used] if words is None else [words[i] for i in used]
+    docs, labels = [docs[i] for i in used], np.array([labels[i] for i in used], int)
     if not docs or labels.min() == labels.max():
         return PRIOR
-    n, length = len(docs), max(map(len, docs))
-    x, on = np.zeros((n, length, FEATURES)), np.zeros((n, length), bool)
-    for i, d in enumerate(docs):
-        x[i, : len(d)], on[i, : len(d)] = d, True
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))  # classes count alike
-    weight = weight / on.sum(axis=1)
-    w, moves = PRIOR[0].copy(), PRIOR[1].copy()
-    m, u = [np.zeros_like(w), np.zeros_like(moves)], [np.zeros_like(w), np.zeros_like(moves)]
-    for step in range(1, rounds + 1):
-        score = np.stack([np.zeros((n, length)), x @ w], axis=2)
-        ahead = np.zeros((n, length, 2))
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, length):
-            z = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves[None], axis=1) + score[:, t]
-            ahead[:, t] = np.where(on[:, t, None], z, ahead[:, t - 1])
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        behind = np.zeros((n, length, 2))
-        pairs = np.zeros((2, 2))
-        for t in range(length - 1, 0, -1):
-            after = score[:, t] + behind[:, t]
-            both = ahead[:, t - 1, :, None] + moves[None] + after[:, None, :] - total[:, None, None]
-            pairs += (np.exp(both) * (weight * on[:, t])[:, None, None]).sum(axis=0)
-            behind[:, t - 1] = np.where(on[:, t, None], np.logaddexp.reduce(moves[None] + after[:, None, :], axis=2), 0.0)
-        content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * on
-        seen = np.zeros((2, 2))
-        for y in (0, 1):
-            seen[y, y] = (weight * (on.sum(axis=1) - 1))[labels == y].sum()
-        grads = [(((labels[:, None] * on - content) * weight[:, None])[:, :, None] * x).sum(axis=(0, 1)) - 1e-3 * w, seen - pairs - 1e-2 * moves]
-        for k, p in enumerate((w, moves)):
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            u[k] = 0.999 * u[k] + 0.001 * grads[k] ** 2
-            p += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.999**step)) + 1e-8)
+    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())  # classes count alike
+    weights = share / np.array([len(d) for d in docs])
+    lines = [first_labels(d, y) for d, y in zip(docs, labels.tolist(), strict=True)]
+    w, moves = PRIOR
+    for turn in range(ROUNDS):
+        if turn:
+            lines = [held_path(d @ w, moves, n, good) for d, good, n in zip(docs, labels.tolist(), words, strict=True)]
+        w, moves = fit_lines(docs, lines, weights, w, moves)
     return w, moves
 
 
@@ -109,21 +166,34 @@ def _content_lines(data: bytes) -> list[bytes]:
     return [line for line in data.split(b"\n") if line.strip()]
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """True for the fold that is never learnt from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_good"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # bounded, so it can be broadcast
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_good", "_text")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("good"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it can be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "good", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             lines = [[] if base_failed(t.split()) else _content_lines(t) for t in texts]  # the base rules decide on those
-            feats = [line_features(x).astype("<f8").tobytes() if len(x) <= FIT_LINES else b"" for x in lines]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary())], ["id", "good", "lines"])
+            feats = [line_features(x).astype("<f8").tobytes() for x in lines]
+            words = [np.array([len(line.split()) for line in x], "<f8").tobytes() for x in lines]
+            columns = [b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in (feats, words)), pa.array([len(x) for x in lines], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "good", "lines", "words", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = map_batches(texts, work, f"id {kind}, good int, lines binary").orderBy(F.xxhash64("id"), "id", "lines").limit(rows).collect()
-    return fit([np.frombuffer(bytes(r["lines"]), "<f8").reshape(-1, FEATURES) for r in got], np.array([r["good"] for r in got], int))
+    found = map_batches(texts, work, f"id {kind}, good int, lines binary, words binary, n long")
+    found = cut_lineage(found.where("n > 0").dropDuplicates(["id"]))
+    order = Window.orderBy(F.xxhash64("id"), "id")  # over at most ``rows`` rows
+    short = found.select("id", "n").withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= FIT_LINES).select("id")
+    got = found.join(short, "id").orderBy(F.xxhash64("id"), "id").select("good", "lines", "words").collect()
+    lines = [np.frombuffer(bytes(r["lines"]), "<f8").reshape(-1, FEATURES) for r in got]
+    return fit(lines, np.array([r["good"] for r in got], int), [np.frombuffer(bytes(r["words"]), "<f8") for r in got])
 
 
 def repeat_words(words: list[bytes], width: int = 8) -> int:
