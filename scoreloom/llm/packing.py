@@ -1,14 +1,14 @@
 """Best-fit packing of token sequences by bulk-synchronous rounds.
 
-Documents are tokenised, end with one separator and are cut only beyond the capacity. Full pieces are a sequence each. The
-rest is packed in rounds over two tables in order of size: the pieces left, and the gaps of the open sequences. Sizes are
-whole numbers up to the capacity, so equal sizes are one row with a count, and a round moves runs, not documents: both
-tables have at most ``capacity`` sizes, whatever the corpus. A round sweeps both tables from the largest size down, and
-each piece size learns its successor, the smallest gap left that holds it; pieces that compete for a gap go by rank, the
-largest first. These run tables are so small that sweeping them as Spark jobs costs more than all other work, so they are
-swept where they are kept, on the driver. Then gaps are updated and the next round begins. Where pieces remain that no gap holds, as many new
-sequences are opened as their tokens fill. In the end all documents, ranked within their length in parallel, take their
-places from the rounds' runs.
+Documents are tokenised, end with one separator and are cut only beyond the capacity. Full pieces are a sequence each; for
+the rest as many sequences are opened as its tokens fill, each a gap of the whole capacity. A round range-sorts the pieces
+that are left and the gaps together, from the largest size down, a gap before pieces of its size. Each range is swept in a
+task: a piece goes to its successor, the smallest gap that holds it, and what is left of the gap takes part again where it
+is no smaller than the range. Pieces that find no gap in their range, and gaps that all pieces of later ranges fit in, are
+matched between ranges, by rank: the largest piece first, to the smallest of the gaps before it, and as many pieces to a
+gap as surely fit. Of this only the ranges' counts and extremes are carried over the ranges; the rows meet in a join. Then
+the gaps are updated and the next round begins. Pieces larger than every gap open new sequences. Rounds write what they
+leave to the shared folder.
 
 Nulls and odd cases: a null or empty text is the separator alone; a null id is kept; rows that repeat an id are packed
 each (their pieces count from 0); other columns are ignored; an empty table gives an empty result.
@@ -16,10 +16,13 @@ each (their pieces count from 0); other columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -38,9 +41,9 @@ TOKENIZER = "word_bpe_49k.json"
 _CACHE = 500_000
 _END = b"\0"
 #: Latin letters, then any run of ASCII signs but the apostrophe, which the tokenizer treats apart.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
-#: Parts in which documents of one length are ranked.
-RANK_PARTS = 256
+_KINDS = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)|(.+))$", re.MULTILINE)
+#: Rows of a range, about, and ranges of a round, at most.
+RANGE_ROWS, RANGES = 1 << 16, 1 << 13
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -70,38 +73,52 @@ class Ids:
             if all(c in letters for c in token.removesuffix("</w>")) and (at := ranks.get(raw(token))) is not None:
                 self.ids[at], self.ends[at] = i, token.endswith("</w>")
 
-    def encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, without remembering them."""
-        out: dict[bytes, bytes] = {}
-        words, owners, rest = [], [], []
-        for c in chunks:
-            text = c.decode()
-            if m := _PLAIN.fullmatch(text):
-                owners.append((c, 1 + bool(m[2])))
-                words.append(f"{m[1].lower()}\0{m[2]}\0" if m[2] else f"{m[1].lower()}\0")
+        found = _KINDS.findall(b"\n".join(chunks).decode()) if chunks else []  # no chunk has a line break
+        plain = "".join([f"{word}\0{signs}\0" if signs else f"{word}\0" for word, signs, _ in found if word])
+        flat = np.array(self.plain.encode_ordinary(plain.lower()) if plain else [], np.int64)
+        stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
+        data, last, k = self.ids[flat].tobytes(), 0, -1
+        other = [rest for word, _, rest in found if not word]
+        got = iter(self.tokenizer.encode_batch(other, add_special_tokens=False) if other else [])
+        out = []
+        for word, signs, _ in found:
+            if word:
+                k += 2 if signs else 1
+                out.append(data[last : stops[k]])
+                last = stops[k]
             else:
-                rest.append((c, text))
-        if words:
-            flat = np.array(self.plain.encode_ordinary("".join(words)), np.int64)
-            stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
-            data, last, k = self.ids[flat].tobytes(), 0, -1
-            for c, parts in owners:
-                k += parts
-                out[c], last = data[last : stops[k]], stops[k]
-        if rest:
-            got = self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)
-            out |= {c: np.array(e.ids, "<u4").tobytes() for (c, _), e in zip(rest, got, strict=True)}
+                out.append(np.array(next(got).ids, "<u4").tobytes())
         return out
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        parts = [list(map(known.get, chunks)) for chunks in split]
-        new = {c for chunks, own in zip(split, parts, strict=True) if None in own for c, p in zip(chunks, own, strict=True) if p is None}
-        found = self.encode(list(new))
-        if len(known) + len(found) <= _CACHE:
-            known.update(found)
-        return [b"".join([found[c] if p is None else p for c, p in zip(chunks, own, strict=True)] if None in own else own) for chunks, own in zip(split, parts, strict=True)]
+        known, chunks, ends = self.known, [], [0]
+        for t in texts:
+            chunks += (t or "").encode("utf-8", "replace").split()
+            ends.append(len(chunks))
+        parts = list(map(known.get, chunks))
+        missing, at = [], -1
+        try:
+            while True:
+                at = parts.index(None, at + 1)
+                missing.append(at)
+        except ValueError:
+            pass
+        if missing:
+            new = list({chunks[i] for i in missing})
+            found = dict(zip(new, self.encode(new), strict=True))
+            for i in missing:
+                parts[i] = found[chunks[i]]
+            if len(known) + len(found) <= _CACHE:
+                known.update(found)
+        return [b"".join(parts[i:j]) for i, j in pairwise(ends)]
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(path: str) -> Ids:
+    """One in each process: a worker that takes several tasks reads the vocabulary once and keeps what it remembers."""
+    return Ids(path)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -117,7 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     end = np.array([SEPARATOR], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = loaded(path)
         for b in batches:
             rows: list[tuple] = []
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -131,97 +148,184 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return map_batches(docs, work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-# --- rounds -------------------------------------------------------------------------------------------------------
-def sweep(units: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """One round's matches: ``units(length, n)`` and ``gaps(gap, n)``, each size once, to {(length, gap): n}.
+# --- a range ------------------------------------------------------------------------------------------------------
+Run = tuple[int, int, int, int, int, list[int]]
 
-    From the largest size down, every gap goes on a stack and every unit takes the gap on top, which is the smallest
-    free one that holds it; so gaps are never taken twice, and units that compete for one go by rank.
-    """
+
+def best_fit(sizes: np.ndarray, gaps: np.ndarray, sequences: np.ndarray) -> tuple[list[Run], np.ndarray, dict[int, list[int]]]:
+    """Sweeps pieces of descending ``sizes`` over the gaps of ``sequences``. To runs (first piece, pieces, size, gap, pieces a
+    gap, sequences), the places of pieces that no gap holds, and the gaps that are left by size."""
+    pools: dict[int, list[int]] = {}
+    for gap in np.unique(gaps).tolist():
+        pools[gap] = sequences[gaps == gap].tolist()
+    have = sorted(pools)
+    runs: list[Run] = []
+    left: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def put(gap: int, back: list[int]) -> None:
+        if gap and back:
+            if gap not in pools:
+                pools[gap] = []
+                insort(have, gap)
+            pools[gap] += back
+
+    ends = [*(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    at = 0
+    for end in ends:
+        size = int(sizes[at])
+        while at < end:
+            k = bisect_left(have, size)
+            if k == len(have):
+                left.append(np.arange(at, end))
+                break
+            gap = have[k]
+            each = gap // size  # equal pieces follow each other into what the first one leaves
+            take = pools[gap][-(-(-(end - at) // each)) :]
+            del pools[gap][-len(take) :]
+            if not pools[gap]:
+                del pools[gap], have[k]
+            n = min(end - at, each * len(take))
+            runs.append((at, n, size, gap, each, take))
+            full, rest = divmod(n, each)
+            put(gap - each * size, take[:full])
+            put(gap - rest * size, take[full:])
+            at += n
+        at = end
+    return runs, np.concatenate(left), pools
+
+
+#: kind: 0 a gap, 1 a piece that is left, 2 a placed piece. rank: of those that other ranges are asked or offered, in order.
+_SWEPT = "kind int, id long, size int, part int, rank long, sequence long, at int"
+
+
+def _swept(state: DataFrame, ranges: int, capacity: int) -> DataFrame:
+    """``state(kind, id, size)``: one round's sweeps inside the ranges."""
+    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
+    rows = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("size", pa.int32()), ("part", pa.int32()), ("rank", pa.int64()), ("sequence", pa.int64()), ("at", pa.int32())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None:
+            return
+        kind, ident, size = (table.column(k).to_numpy() for k in range(3))
+        part, least, unit = table.column(3)[0].as_py(), int(size[-1]), kind == 1
+        units, sizes = ident[unit], size[unit]
+        runs, left, pools = best_fit(sizes, size[~unit], ident[~unit])
+
+        def out(kind: int, ident: np.ndarray, size: np.ndarray, rank: np.ndarray | None = None, sequence: np.ndarray | None = None, at: np.ndarray | None = None) -> pa.RecordBatch:
+            n = len(ident)
+            columns = [np.full(n, kind), ident, size, np.full(n, part), rank, sequence, at]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        if runs:
+            place = np.concatenate([np.arange(n) for _, n, *_ in runs])
+            of = np.repeat(np.arange(len(runs)), [n for _, n, *_ in runs])
+            first, size_, gap, each = (np.array([r[k] for r in runs])[of] for k in (0, 2, 3, 4))
+            taken = np.concatenate([r[5] for r in runs])
+            begin = np.cumsum([0] + [len(r[5]) for r in runs])[:-1][of]
+            yield out(2, units[first + place], size_, None, taken[begin + place // each], capacity - gap + place % each * size_)
+        if len(left):
+            yield out(1, units[left], sizes[left], np.arange(len(left)))
+        gaps = [(g, pools[g]) for g in sorted(pools, reverse=True)]
+        for offered in (True, False):
+            some = [(g, np.array(p)) for g, p in gaps if (g >= least) == offered]
+            if some:
+                ids = np.concatenate([p for _, p in some])
+                yield out(0, ids, np.repeat([g for g, _ in some], [len(p) for _, p in some]), np.arange(len(ids)) if offered else None)
+
+    return map_batches(rows, work, _SWEPT)
+
+
+# --- between ranges -----------------------------------------------------------------------------------------------
+def carried(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """``parts(part, pieces left, largest of them, gaps offered, smallest of them)`` in order, to matches (part, first rank,
+    pieces, pieces a gap, part of the gaps, rank of the first gap, gaps); the gaps' ranks go down from there. A piece is
+    offered the gaps of all ranges before, the nearest first, as a stack holds them."""
     stack: list[list[int]] = []
-    found: dict[tuple[int, int], int] = {}
-    for size, unit, n in sorted([(-g, 0, n) for g, n in gaps] + [(-u, 1, n) for u, n in units]):
-        if not unit:
-            stack.append([-size, n])
-        while unit and n and stack:
-            gap, there = stack[-1]
-            m = min(n, there)
-            found[-size, gap] = found.get((-size, gap), 0) + m
-            n, stack[-1][1] = n - m, there - m
+    found = []
+    for part, pieces, largest, gaps, smallest in parts:
+        rank = 0
+        while rank < pieces and stack:
+            of, there, least = stack[-1]
+            each = max(1, least // largest)
+            m = min(there, -(-(pieces - rank) // each))
+            n = min(pieces - rank, m * each)
+            found.append((part, rank, n, each, of, there - 1, m))
+            rank += n
+            stack[-1][1] -= m
             if m == there:
                 stack.pop()
+        if gaps:
+            stack.append([part, gaps, smallest])
     return found
 
 
-def pack_runs(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Rounds until every piece is placed: ``lengths`` has the number of pieces of each length; to runs (length, first rank,
-    pieces, pieces a sequence, first sequence, offset there)."""
-    left = {k: n for k, n in lengths.items() if n}
-    rank = dict.fromkeys(left, 0)
-    total = sum(k * n for k, n in left.items())
+_MATCHES = "u_part int, first long, n long, each long, g_part int, top long, m long"
+
+
+def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``units(id, size)``, pieces smaller than the capacity, to (id, sequence, at)."""
+    spark = units.sparkSession
+    n_rows, total = units.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fresh = lambda first, n: spark.range(first, first + n).select(F.lit(0).alias("kind"), "id", F.lit(capacity).alias("size"))
     opened = -(-total // capacity)
-    gaps: dict[int, list[tuple[int, int]]] = {capacity: [(0, opened)]} if opened else {}
-    placed: list[tuple[int, int, int, int, int, int]] = []
+    state = units.select(F.lit(1).alias("kind"), "id", F.col("size").cast("int").alias("size")).unionByName(fresh(0, opened))
+    n_rows += opened
+    placed = [units.select("id", F.col("id").alias("sequence"), F.lit(0).alias("at")).limit(0)]
+    left = total
     while left:
-        count = {g: sum(n for _, n in runs) for g, runs in gaps.items()}
-        largest, free = max(count, default=0), max(1, sum(count.values()))
-        units: dict[int, int] = {}
-        made: dict[int, list[tuple[int, int, int]]] = {}
-        for k, n in left.items():
-            if k > largest:
-                continue
-            # short pieces of one length go together, up to a small part of a sequence, as long as that fits
-            each = max(1, min(max(capacity // 64, k * -(-n // free)) // k, largest // k, n))
-            for size, take in ((each, n // each), (n % each, 1)):
-                if size and take:
-                    units[k * size] = units.get(k * size, 0) + take
-                    made.setdefault(k * size, []).append((k, size, take))
-        found = sweep(list(units.items()), list(count.items()))
-        for (size, gap), n in sorted(found.items(), reverse=True):
-            runs = gaps[gap]
-            while n:
-                k, each, take = made[size].pop()
-                first, there = runs.pop()
-                m = min(n, take, there)
-                if take > m:
-                    made[size].append((k, each, take - m))
-                if there > m:
-                    runs.append((first + m, there - m))
-                placed.append((k, rank[k], m * each, each, first, capacity - gap))
-                rank[k] += m * each
-                left[k] -= m * each
-                if gap > size:
-                    gaps.setdefault(-(gap - size), []).append((first, m))  # not again in this round
-                n -= m
-        for g in [g for g in gaps if g < 0]:
-            gaps.setdefault(-g, []).extend(gaps.pop(g))
-        gaps = {g: runs for g, runs in gaps.items() if runs}
-        left = {k: n for k, n in left.items() if n}
-        beyond = sum(k * n for k, n in left.items() if k > max(gaps, default=0))
-        if beyond:
-            more = -(-beyond // capacity)
-            gaps.setdefault(capacity, []).append((opened, more))
-            opened += more
-    return placed
+        swept = cut_lineage(_swept(state, min(RANGES, -(-n_rows // RANGE_ROWS)), capacity))
+        stats = swept.groupBy("part", "kind", F.col("rank").isNotNull().alias("ranked")).agg(*(f("size").alias(f.__name__) for f in (F.count, F.min, F.max, F.sum)))
+        stats = {(r["part"], r["kind"], r["ranked"]): r for r in stats.collect()}  # at most four rows for each range
+        none = {"count": 0, "min": 0, "max": 0, "sum": 0}
+        parts = sorted({p for p, *_ in stats})
+        of = {p: (stats.get((p, 1, True), none), stats.get((p, 0, True), none)) for p in parts}
+        matches = carried([(p, u["count"], u["max"], g["count"], g["min"]) for p, (u, g) in of.items()])
+        placed.append(swept.where("kind = 2").select("id", "sequence", "at"))
+        units_left, gaps_left = swept.where("kind = 1"), swept.where("kind = 0")
+        if matches:
+            small = F.broadcast(spark.createDataFrame(matches, _MATCHES))  # at most two rows for each range
+            asked = units_left.join(small, F.expr("part = u_part and rank >= first and rank < first + n"), "left")
+            slot = F.col("rank") - F.col("first")
+            given = asked.where("g_part is not null").select(F.col("id").alias("unit"), F.col("size").alias("length"), "g_part", (F.col("top") - F.floor(slot / F.col("each"))).alias("g_rank"), F.pmod(slot, F.col("each")).alias("slot"))
+            offers = gaps_left.where("rank is not null").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
+            along = Window.partitionBy("g_part", "g_rank").orderBy("slot")  # as many pieces as fit in one gap
+            joined = given.join(offers, ["g_part", "g_rank"]).withColumn("upto", F.sum("length").over(along)).withColumn("last", F.lead("unit").over(along).isNull())
+            joined = cut_lineage(joined.select("unit", "sequence", "length", "gap", "upto", "last"))
+            placed.append(joined.select(F.col("unit").alias("id"), "sequence", (capacity - F.col("gap") + F.col("upto") - F.col("length")).cast("int").alias("at")))
+            units_left = asked.where("g_part is null").select(*swept.columns)
+            gaps_left = gaps_left.join(small, F.expr("part = g_part and rank > top - m and rank <= top"), "left_anti")
+            again = joined.where("last and upto < gap").select(F.lit(0).alias("kind"), F.col("sequence").alias("id"), (F.col("gap") - F.col("upto")).cast("int").alias("size"))
+            state = units_left.unionByName(gaps_left).select("kind", "id", "size").unionByName(again)
+        else:
+            state = units_left.unionByName(gaps_left).select("kind", "id", "size")
+        got = sum(m[2] for m in matches)
+        largest_gap = max((r["max"] for (_, kind, _), r in stats.items() if kind == 0), default=0)
+        room = sum(r["sum"] for (_, kind, _), r in stats.items() if kind == 0)
+        units_stats = [u for u, _ in of.values() if u["count"]]
+        left = sum(u["count"] for u in units_stats) - got
+        tokens = sum(u["sum"] for u in units_stats)
+        # pieces that no gap can hold open sequences, as do more tokens than there is room for
+        beyond = sum(u["sum"] for u in units_stats if u["min"] > largest_gap) if not got else 0
+        stuck = not got and not any(kind == 2 for _, kind, _ in stats)
+        more = -(-max(beyond, tokens - room, tokens if stuck else 0) // capacity) if left else 0
+        if more > 0:
+            state, opened = state.unionByName(fresh(opened, more)), opened + more
+        n_rows = left + sum(r["count"] for (_, kind, _), r in stats.items() if kind == 0) + max(more, 0)
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece."""
-    spark = docs.sparkSession
     rows = pieces(docs, path or public_tokenizers.path(TOKENIZER), capacity, id_col, text_col)
-    rows = cut_lineage(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")))
-    parts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
-    parts = cut_lineage(parts)
-    lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = pack_runs(lengths, capacity)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    starts = parts.select("length", "part", before.alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = rows.withColumn("local", local).join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    # the runs' number follows capacity and rounds, not documents
-    runs = spark.createDataFrame(runs, "l long, first long, n long, each long, sequence long, at long")
-    joined = ranked.join(F.broadcast(runs), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
-    k = F.col("rank") - F.col("first")
-    sequence = (F.col("sequence") + F.floor(k / F.col("each"))).cast("long")
-    offset = (F.col("at") + F.pmod(k, F.col("each")) * F.col("length")).cast("long")
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
+    rows = cut_lineage(rows.withColumn("unit", F.monotonically_increasing_id()))  # fixes the pieces' numbers
+    units = rows.where(F.col("length") < capacity).select(F.col("unit").alias("id"), F.col("length").alias("size"))
+    placed = place_all(units, capacity).withColumnRenamed("id", "unit")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = rows.where(F.col("length") == capacity).select(*names, (-1 - F.col("unit")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.where(F.col("length") < capacity).join(placed, "unit")
+    return full.unionByName(rest.select(*names, F.col("sequence").alias("sequence_id"), F.col("at").cast("long").alias("offset")))

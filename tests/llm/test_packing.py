@@ -10,45 +10,62 @@ from tokenizers import Tokenizer
 from scoreloom.llm import packing
 
 
-def stack_match(units, gaps):
-    """The sweep, one unit at a time."""
-    stack, found = [], Counter()
-    rows = sorted([(-g, 0, n) for g, n in gaps] + [(-u, 1, n) for u, n in units])
-    for size, unit, n in rows:
-        for _ in range(n):
-            if not unit:
-                stack.append(-size)
-            elif stack:
-                found[-size, stack.pop()] += 1
-    return found
+def slow_best_fit(sizes, gaps):
+    """One piece at a time, each to the smallest gap that holds it; the gaps that are left, and the pieces."""
+    gaps, left = sorted(gaps), []
+    for size in sizes:
+        at = next((k for k, g in enumerate(gaps) if g >= size), None)
+        if at is None:
+            left.append(size)
+        else:
+            gaps = sorted([*gaps[:at], *gaps[at + 1 :], gaps[at] - size])
+    return [g for g in gaps if g], left
 
 
-def test_sweep_equals_one_unit_at_a_time():
+def test_a_range_equals_one_piece_at_a_time():
     rnd = random.Random(4)
-    for _ in range(4):
-        units = [(k, rnd.randint(1, 9)) for k in rnd.sample(range(1, 60), rnd.randint(1, 20))]
-        gaps = [(k, rnd.randint(1, 9)) for k in rnd.sample(range(1, 60), rnd.randint(1, 12))]
-        assert packing.sweep(units, gaps) == stack_match(units, gaps)
+    for _ in range(40):
+        sizes = sorted((rnd.randint(1, 30) for _ in range(rnd.randint(0, 60))), reverse=True)
+        gaps = [rnd.choice((7, 25, 60, 100)) for _ in range(rnd.randint(0, 12))]
+        runs, left, pools = packing.best_fit(np.array(sizes, np.int64), np.array(gaps, np.int64), np.arange(len(gaps)))
+        slow_gaps, slow_left = slow_best_fit(sizes, gaps)
+        assert sorted(g for g, p in pools.items() for _ in p) == slow_gaps and [sizes[i] for i in left] == slow_left
+        fill = defaultdict(list)
+        for first, n, size, gap, each, take in runs:
+            assert sizes[first : first + n] == [size] * n
+            for i in range(n):
+                begin = gaps[take[i // each]] - gap + i % each * size
+                fill[take[i // each]].append((begin, begin + size))
+        for k, spans in fill.items():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= gaps[k] and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
 
+def test_carry_follows_the_stack():
+    got = packing.carried([(0, 0, 0, 3, 50), (1, 2, 20, 2, 9), (2, 9, 4, 0, 0), (3, 30, 1, 1, 1)])
+    # part 1's two pieces of at most 20 share the top gap of part 0; part 2's nine of at most 4: two a gap of part 1, then part 0
+    assert got == [(1, 0, 2, 2, 0, 2, 1), (2, 0, 4, 2, 1, 1, 2), (2, 4, 5, 12, 0, 1, 1), (3, 0, 30, 50, 0, 0, 1)]
 
-def test_rounds_fill_sequences():
+
+def test_rounds_fill_sequences(spark, monkeypatch):
     rnd = np.random.default_rng(2)
-    for lengths in ({4096: 3, 7: 100_000}, {3000: 10, 1000: 10}, {1: 1}, {2049: 50}, Counter(np.minimum(4096, rnd.lognormal(6.4, 1.2, 20_000).astype(int) + 1).tolist()), Counter(rnd.integers(3, 40, 9000).tolist())):
-        runs = packing.pack_runs(dict(lengths))
-        fill, seen = defaultdict(list), defaultdict(list)
-        for k, first, n, each, sequence, at in runs:
-            seen[k] += range(first, first + n)
-            for i in range(n):
-                fill[sequence + i // each].append((at + i % each * k, k))
-        assert all(sorted(seen[k]) == list(range(n)) for k, n in lengths.items())
+    mixed = np.minimum(4095, rnd.lognormal(5.8, 1.1, 4000).astype(int) + 1)
+    for lengths, ranges in (([7] * 3000, 500), ([3000] * 10 + [1000] * 10, 4), ([1], 9), ([2049] * 50, 8), (mixed, 300), (mixed, 1 << 16), (rnd.integers(3, 40, 2000), 200)):
+        monkeypatch.setattr(packing, "RANGE_ROWS", ranges)
+        units = spark.createDataFrame([(i, int(k)) for i, k in enumerate(lengths)], "id long, size long").repartition(3)
+        out = packing.place_all(units).collect()
+        assert sorted(r.id for r in out) == list(range(len(lengths)))
+        fill = defaultdict(list)
+        for r in out:
+            fill[r.sequence].append((r.at, int(lengths[r.id])))
         for parts in fill.values():
             end = 0
             for at, k in sorted(parts):
                 assert at == end
                 end += k
             assert end <= 4096
-        least = -(-sum(k * n for k, n in lengths.items()) // 4096)
-        large = sum(n for k, n in lengths.items() if k > 2048)
+        least = -(-int(np.sum(lengths)) // 4096)
+        large = int((np.array(lengths) > 2048).sum())
         assert len(fill) <= max(least, large) * 1.01 + 1
 
 
