@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, free_names, map_batches, shared_folder
+from .shared import cut_lineage, free_names, map_batches, written
 
 ROW = 64
 #: A digest with more than one of so many of all references is split in the join.
@@ -249,11 +248,8 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     images.append(to_png(payload))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(digests), pa.array(pages), pa.array(images, pa.binary())], ["doc_id", "digest", "html", "medium"])
 
-    spark = docs.sparkSession
     stored = map_batches(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string, html string, medium binary")
-    path = f"{shared_folder(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
-    stored.write.parquet(path)
-    return spark.read.schema(stored.schema).parquet(path)
+    return written(stored, "media")
 
 
 def features(stored: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut_lineage, map_batches
+from .shared import cut_lineage, map_batches, written
 from .simhash import forest, keep_first
+from .simhash import keep_one_each as keep_by_simhash
 
 SHINGLE = 5
 #: Similarity of near copies, as a fraction, so that the comparison is exact.
@@ -223,3 +224,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each group of near copies: the one with the smallest doc_id, as in SimHash."""
     return keep_first(docs, grouped(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_one_of_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near duplicates: one row stays of each group by SimHash, and of those one of each group of near copies
+    that SimHash's few bits don't tell."""
+    first = written(keep_by_simhash(docs, id_col, text_col), "near-dedup")
+    return keep_one_each(first, id_col, text_col)
