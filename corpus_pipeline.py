@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import chunks, mixing, nearcopies, packing, simhash, toxicity
-from scoreloom.llm.shared import cut_lineage, shared_folder
+from scoreloom.llm import chunks, mixing, nearcopies, packing, toxicity
+from scoreloom.llm.shared import shared_folder
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,14 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates by SimHash, the one with the smallest id."""
-    return simhash.keep_one_each(docs)
+    """Keeps one document of each group of near duplicates, the one with the smallest id: groups by SimHash first, then near
+    copies with other bits (five-word shingles, similarity 0.8)."""
+    return nearcopies.keep_one_of_all(docs)
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the near copies that SimHash leaves (five-word shingles, similarity 0.8), then cuts passages that a document
-    with a smaller id has."""
-    return chunks.without_repeats(cut_lineage(nearcopies.keep_one_each(docs)))
+    """Cuts passages that a document with a smaller id has."""
+    return chunks.without_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", civil), ("near_dedup", one_of_each), ("substring_dedup", first_passages), ("mixing", mixed), ("packing", packed)]
+STAGES = [
+    ("toxicity", civil),
+    ("near_dedup", one_of_each),
+    ("substring_dedup", first_passages),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: No SQL: a trained model, a rolling hash and best-fit rounds are among the stages.
 ORACLE_SQL = None
