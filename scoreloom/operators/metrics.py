@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import roc
+from .intervals import intervals
+from .settle import settle
 
 TARGETS = (0.01, 0.05)
 
@@ -43,8 +45,8 @@ def at_threshold(df: DataFrame, by: list[str], threshold: str = "threshold") ->
 
 def curve_summary(df: DataFrame, by: list[str], targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """(by, auc, ap, eer, threshold, tpr_at_fprNN)."""
-    rows = scored_rows(df, by)
-    a, r = roc.areas(rows, by), roc.readings(roc.curve(rows, by), by, targets)
+    points = settle(roc.cumulative(scored_rows(df, by), by))  # areas and curve read them
+    a, r = roc.areas_of(points, by), roc.readings(roc.vertices(points, by), by, targets)
     r = r.withColumnsRenamed({c: f"_{c}" for c in by})
     same = F.lit(True)
     for c in by:
@@ -52,25 +54,33 @@ def curve_summary(df: DataFrame, by: list[str], targets: tuple[float, ...] = TAR
     return a.join(r, same, "left").drop(*(f"_{c}" for c in by))
 
 
-def summary(df: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """One row: counts, areas, the equal error rate with its threshold, and the rates at that threshold."""
-    one = df.withColumn("_all", F.lit(0))
-    c = curve_summary(one, ["_all"], targets)
-    t = at_threshold(one.join(F.broadcast(c.select("_all", "threshold")), "_all"), ["_all"])
-    return counts(one, ["_all"]).join(c, "_all", "left").join(t, "_all", "left").drop("_all")
+def summary(df: DataFrame, targets: tuple[float, ...] = TARGETS, replicates: int = 1000, key: str = "item_id") -> DataFrame:
+    """One row: counts, areas, the equal error rate with its threshold, the rates at that threshold, and 95 % intervals of the
+    area and the equal error rate."""
+    one = settle(df.select(F.lit("all").alias("_all"), key, "label", "score", "status"))
+    c = settle(curve_summary(one, ["_all"], targets))
+    t = at_threshold(one.join(F.broadcast(c.select("_all", "threshold")), "_all"), ["_all"])  # one row
+    i = intervals(one, "_all", replicates, key=key).withColumnRenamed("grp", "_all")
+    out = counts(one, ["_all"])
+    for part in (c, t, i):
+        out = out.join(part, "_all", "left")
+    return out.drop("_all")
 
 
-def per_group(df: DataFrame, group: str, min_n: int = 30, targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """A row for each value of ``group``, missing values as <null>: own curves, but rates at the threshold of the whole set.
-    ``small`` marks groups with fewer than ``min_n`` real or fake items."""
-    df = df.withColumn("group", F.coalesce(F.col(group).cast("string"), F.lit("<null>"))).select("group", "label", "score", "status")
-    one = df.withColumn("_all", F.lit(0))
-    whole = F.broadcast(roc.readings(roc.curve(scored_rows(one, ["_all"]), ["_all"]), ["_all"], targets).select("_all", "threshold"))
-    t = at_threshold(one.join(whole, "_all", "left"), ["group"])
+def per_group(df: DataFrame, group: str, min_n: int = 30, targets: tuple[float, ...] = TARGETS, replicates: int = 1000, key: str = "item_id") -> DataFrame:
+    """A row for each value of ``group``, missing values as <null>: own curves and intervals, but rates at the threshold of the
+    whole set. ``small`` marks groups with fewer than ``min_n`` real or fake items."""
+    df = settle(df.select(F.coalesce(F.col(group).cast("string"), F.lit("<null>")).alias("group"), key, "label", "score", "status"))
+    one = scored_rows(df.withColumn("_all", F.lit(0)), ["_all"])
+    whole = settle(roc.readings(roc.curve(one, ["_all"]), ["_all"], targets).select("threshold"))
+    whole = F.broadcast(whole)  # one row
+    t = at_threshold(df.join(whole, how="left"), ["group"])
     c = curve_summary(df, ["group"], targets).withColumnRenamed("threshold", "own_threshold")
-    out = counts(df, ["group"]).join(c, "group", "left").join(t, "group", "left")
-    out = out.withColumn("_all", F.lit(0)).join(whole, "_all", "left").drop("_all")
-    return out.withColumn("small", (F.col("n_real") < min_n) | (F.col("n_fake") < min_n))
+    i = intervals(df, "group", replicates, key=key).withColumnRenamed("grp", "group")
+    out = counts(df, ["group"])
+    for part in (c, t, i):
+        out = out.join(part, "group", "left")
+    return out.join(whole, how="left").withColumn("small", (F.col("n_real") < min_n) | (F.col("n_fake") < min_n))
 
 
 def direction_ok(df: DataFrame) -> DataFrame:
@@ -117,7 +127,8 @@ def _auc_eer(y: np.ndarray, s: np.ndarray) -> tuple[float, float]:
 
 def exact_bootstrap(df: DataFrame, by: str, n: int = 1000, ci: float = 0.95, seed: int = 0, key: str = "item_id") -> DataFrame:
     """(by, auc_lo, auc_hi, eer_lo, eer_hi): percentile intervals of resamples that draw reals and fakes separately with a
-    seeded generator, in the order of ``key``. A group's scores are resampled in one task: they are two numbers an item."""
+    seeded generator, in the order of ``key``. The generator's sequence ties a group to one task, so groups must fit one (two
+    numbers an item); ``intervals`` has no such bound."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)

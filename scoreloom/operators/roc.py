@@ -1,8 +1,9 @@
 """ROC curves and what is read off them, for any number of groups in one plan.
 
 Input rows are (group columns, y, s): y is 1 for fake and 0 for real, s the score; both not null. Scores are first reduced
-to distinct values with counts. Running sums are taken in two steps, in bands of scores and then over the bands, so that
-not even one large group is sorted in one task. Undefined values are null.
+to distinct values with counts, which are range-partitioned by group and score, written once, and read by all that follows.
+Running sums are taken in two steps, in these ranges and then over them, so that not even one large group is sorted in one
+task, whatever its scores look like. Undefined values are null.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bands of scores for each unit of score.
-BANDS = 256
+from .settle import settle
 
 
 def cumulative(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -20,10 +20,12 @@ def cumulative(rows: DataFrame, by: list[str], weight: str | None = None) -> Dat
     before_* are the sums at the score above (null at the first), next_* at the score below (null at the last)."""
     w = F.col(weight) if weight else F.lit(1)
     points = rows.groupBy(*by, "s").agg(F.sum(F.col("y") * w).cast("double").alias("dtp"), F.sum((1 - F.col("y")) * w).cast("double").alias("dfp"))
-    points = points.where("dtp > 0 or dfp > 0").withColumn("band", F.floor(F.col("s") * BANDS))
+    order = [*(F.col(c) for c in by), F.col("s").desc()]
+    points = points.where("dtp > 0 or dfp > 0").repartitionByRange(*order)
+    points = settle(points.withColumn("band", F.spark_partition_id()))
     first = F.max_by(F.struct("dtp", "dfp"), "s")
     bands = points.groupBy(*by, "band").agg(F.sum("dtp").alias("bt"), F.sum("dfp").alias("bf"), first.alias("first"))
-    down = Window.partitionBy(*by).orderBy(F.col("band").desc())
+    down = Window.partitionBy(*by).orderBy("band")
     whole = Window.partitionBy(*by)
     bands = bands.select(
         *by,
@@ -57,29 +59,39 @@ def cumulative(rows: DataFrame, by: list[str], weight: str | None = None) -> Dat
 def curve(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """(by, threshold, fpr, tpr): the retained vertices. Points in a line with both neighbours are left out, and (0, 0) with
     no threshold comes first."""
-    points = cumulative(rows, by, weight)
+    return vertices(cumulative(rows, by, weight), by)
+
+
+def vertices(points: DataFrame, by: list[str]) -> DataFrame:
+    """The curve of ``cumulative`` points."""
     bend = lambda a, b, c: (F.col(c) - 2 * F.col(b) + F.col(a)) != 0
-    kept = points.where(F.col("before_t").isNull() | F.col("next_t").isNull() | bend("before_t", "tps", "next_t") | bend("before_f", "fps", "next_f"))
-    vertices = kept.select(*by, F.col("s").alias("threshold"), F.try_divide("fps", "N").alias("fpr"), F.try_divide("tps", "P").alias("tpr"))
-    origin = points.where("before_t is null").select(*by, F.lit(None).cast("double").alias("threshold"), F.when(F.col("N") > 0, F.lit(0.0)).alias("fpr"), F.when(F.col("P") > 0, F.lit(0.0)).alias("tpr"))
-    return vertices.unionByName(origin)
+    ends = F.col("before_t").isNull() | F.col("next_t").isNull()
+    kept = points.where(ends | bend("before_t", "tps", "next_t") | bend("before_f", "fps", "next_f"))
+    rates = F.try_divide("fps", "N").alias("fpr"), F.try_divide("tps", "P").alias("tpr")
+    zero = lambda n, name: F.when(F.col(n) > 0, F.lit(0.0)).alias(name)
+    origin = points.where("before_t is null").select(*by, F.lit(None).cast("double").alias("threshold"), zero("N", "fpr"), zero("P", "tpr"))
+    return kept.select(*by, F.col("s").alias("threshold"), *rates).unionByName(origin)
 
 
 def areas(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """(by, auc, ap): trapezoid area and average precision; null where a class is missing."""
-    p = cumulative(rows, by, weight)
+    return areas_of(cumulative(rows, by, weight), by)
+
+
+def areas_of(points: DataFrame, by: list[str]) -> DataFrame:
+    """The areas of ``cumulative`` points."""
     both = (F.first("P") > 0) & (F.first("N") > 0)
     auc = F.sum(F.col("dfp") * (F.col("tps") - F.col("dtp") / 2)) / F.first(F.nullif(F.col("P") * F.col("N"), F.lit(0.0)))
     ap = F.sum(F.col("dtp") / F.nullif(F.col("P"), F.lit(0.0)) * F.col("tps") / (F.col("tps") + F.col("fps")))
-    return p.groupBy(*by).agg(F.when(both, auc).alias("auc"), F.when(both, ap).alias("ap"))
+    return points.groupBy(*by).agg(F.when(both, auc).alias("auc"), F.when(both, ap).alias("ap"))
 
 
-def readings(vertices: DataFrame, by: list[str], targets: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
+def readings(curve: DataFrame, by: list[str], targets: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
     """(by, eer, threshold, tpr_at_fprNN): the equal error rate, interpolated between the vertices about the crossing, its
     vertex's own threshold, and the best rate at each target without interpolation."""
     # along the curve fnr - fpr never rises: the last vertex above zero and the first that isn't are its crossing
     diff = F.lit(1.0) - F.col("tpr") - F.col("fpr")
-    v = vertices.withColumn("diff", diff)
+    v = curve.withColumn("diff", diff)
     spot = F.struct("diff", "fpr", "threshold")
     # of vertices with equal diff the one nearest the crossing on either side is on the curve's inner end
     above = F.max_by(spot, F.when(F.col("diff") > 0, F.struct(-F.col("diff"), F.col("fpr")))).alias("a")

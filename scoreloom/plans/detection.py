@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, roc, scoring, shortcut
+from ..operators import intervals, metrics, roc, scoring, shortcut
 from ..sources import tables as t
 from ..sources.tables import with_views
 
@@ -46,6 +46,30 @@ def curve_sql(rows: str, by: str, weight: str = "1") -> dict[str, str]:
     }
 
 
+def interval_sql(rows: str, n: int = 1000) -> dict[str, str]:
+    """Common table expressions up to ``ivals(grp, auc_lo, auc_hi, eer_lo, eer_hi)`` over ``rows`` (of grp, y, s, item_id)."""
+    p, (a, b, c) = intervals.PRIME, intervals.STEPS
+    weight = " + ".join(f"(u >= {x:.17g})::bigint" for x in intervals.POISSON)
+    return {
+        "i_base": f"select grp, y, s, cast(concat('0x', substr(sha1(item_id), 1, 7)) as bigint) as x0 from ({rows})",
+        "i_1": f"select grp, y, s, x0, r, (x0 * {a} + r * {b} + 1) % {p} as x from i_base cross join (select range as r from range({n}))",
+        "i_2": f"select grp, y, s, r, (x * x + x0) % {p} as x from i_1",
+        "i_3": f"select grp, y, s, r, (x * {c} + r) % {p} as x from i_2",
+        "i_4": f"select grp, y, s, r, ((x * x + 7) % {p}) / {p}::double as u from i_3",
+        "i_w": f"select grp, y, s, r, {weight} as w from i_4",
+        "i_pts": "select grp, r, s, sum(y * w)::double dtp, sum((1 - y) * w)::double dfp from i_w where w > 0 group by all",
+        "i_cum": """select *, sum(dtp) over o tps, sum(dfp) over o fps, sum(dtp) over (partition by grp, r) P, sum(dfp) over (partition by grp, r) N
+            from i_pts window o as (partition by grp, r order by s desc)""",
+        "i_step": """select grp, r, fps / N fpr, 1 - tps / P - fps / N as diff, coalesce(lag(fps / N) over o, 0) lfpr, coalesce(lag(1 - tps / P - fps / N) over o, 1) ld
+            from i_cum where P > 0 and N > 0 window o as (partition by grp, r order by s desc)""",
+        "i_auc": "select grp, r, sum(dfp * (tps - dtp / 2)) / (max(P) * max(N)) as auc from i_cum where P > 0 and N > 0 group by all",
+        "i_eer": "select grp, r, lfpr + ld / (ld - diff) * (fpr - lfpr) as eer from i_step where diff <= 0 and ld > 0",
+        "ivals": """select grp, quantile_cont(auc, 0.025) auc_lo, quantile_cont(auc, 0.975) auc_hi, quantile_cont(eer, 0.025) eer_lo, quantile_cont(eer, 0.975) eer_hi
+            from i_auc left join i_eer using (grp, r) group by grp""",
+    }
+
+
+_ENDS = "round(auc_lo, 6) auc_lo, round(auc_hi, 6) auc_hi, round(eer_lo, 6) eer_lo, round(eer_hi, 6) eer_hi"
 _ROWS = "select 0 as g, case when label = 'fake' then 1 else 0 end as y, score as s from joined where status = 'ok' and score is not null"
 _JOINED = "select * from order_items join order_scores using (item_id)"
 _VIEWS = ("order_items", "order_scores")
@@ -135,7 +159,12 @@ def bootstrap_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_exact(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.exact_bootstrap(joined(spark, d), "g_segment", n=100))
+    return rounded(metrics.exact_bootstrap(joined(spark, d), "g_segment"))
+
+
+def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of each segment from 1,000 replicates."""
+    return rounded(intervals.intervals(joined(spark, d), "g_segment").withColumnRenamed("grp", "g_segment"))
 
 
 def _group_sql(source: str, group: str, *views: str, **more: str) -> str:
@@ -148,15 +177,16 @@ def _group_sql(source: str, group: str, *views: str, **more: str) -> str:
     own = curve_sql(f'select "group", {y} from grouped where {ok}', '"group"')
     query = f"""select c."group", n, n_real, n_fake, n_failed, round(auc, 6) auc, round(ap, 6) ap, round(eer, 6) eer, round(x.threshold, 6) own_threshold,
         round(case when auc is not null then t01 end, 6) tpr_at_fpr01, round(case when auc is not null then t05 end, 6) tpr_at_fpr05, round(fpr, 6) fpr, round(fnr, 6) fnr, round(acc, 6) acc,
-        round({_BAL}, 6) bal_acc, round(thr, 6) threshold, n_real < 30 or n_fake < 30 as small
-        from counted c left join areas using ("group") left join crossing x using ("group") left join tprs using ("group") left join rated using ("group") cross join whole_thr"""
+        round({_BAL}, 6) bal_acc, round(thr, 6) threshold, {_ENDS}, n_real < 30 or n_fake < 30 as small
+        from counted c left join ivals on ivals.grp = c."group" left join areas using ("group") left join crossing x using ("group") left join tprs using ("group") left join rated using ("group") cross join whole_thr"""
     return with_views(
         query,
         *views,
         **more,
-        grouped=f"select coalesce({group}, '<null>') as \"group\", label, score, status from {source}",
+        grouped=f"select coalesce({group}, '<null>') as \"group\", item_id, label, score, status from {source}",
         **whole,
         whole_thr="select max(threshold) as thr from w_crossing",
+        **interval_sql(f'select "group" as grp, item_id, {y} from grouped where {ok}'),
         **own,
         counted="""select "group", count(*) n, count(*) filter (label = 'real') n_real, count(*) filter (label = 'fake') n_fake, count(*) filter (status <> 'ok') n_failed from grouped group by all""",
         rated=f'select "group", {_RATES} from grouped cross join whole_thr where {ok} group by all',
@@ -165,7 +195,8 @@ def _group_sql(source: str, group: str, *views: str, **more: str) -> str:
 
 _SUMMARY_SQL = _over_joined(
     f"""select n, n_real, n_fake, n_failed, round(auc, 6) auc, round(ap, 6) ap, round(eer, 6) eer, round(threshold, 6) threshold, round(t01, 6) tpr_at_fpr01, round(t05, 6) tpr_at_fpr05,
-    round(fpr, 6) fpr, round(fnr, 6) fnr, round(acc, 6) acc, round({_BAL}, 6) bal_acc from counted, areas, crossing, tprs, rated""",
+    round(fpr, 6) fpr, round(fnr, 6) fnr, round(acc, 6) acc, round({_BAL}, 6) bal_acc, {_ENDS} from counted, areas, crossing, tprs, rated, ivals""",
+    **interval_sql("select 'all' as grp, item_id, case when label = 'fake' then 1 else 0 end as y, score as s from joined where status = 'ok' and score is not null"),
     counted="select count(*) n, count(*) filter (label = 'real') n_real, count(*) filter (label = 'fake') n_fake, count(*) filter (status <> 'ok') n_failed from joined",
     rated=f"select {_RATES} from (select *, (select threshold from crossing) as thr from joined) where status = 'ok' and score is not null",
 )
@@ -254,6 +285,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "per_group_metrics": (per_group_metrics, _group_sql("joined", "g_segment", *_VIEWS, joined=_JOINED)),
     "doc_group_metrics": (doc_group_metrics, _group_sql("doc_items", "language", "doc_items")),
     "bootstrap_hash": (bootstrap_hash, _BOOT_SQL),
+    "bootstrap_intervals": (
+        bootstrap_intervals,
+        with_views(
+            f"select grp as g_segment, {_ENDS} from ivals",
+            *_VIEWS,
+            joined=_JOINED,
+            **interval_sql("select coalesce(g_segment, '<null>') as grp, item_id, case when label = 'fake' then 1 else 0 end as y, score as s from joined where status = 'ok' and score is not null"),
+        ),
+    ),
     "bootstrap_exact": (bootstrap_exact, None),
     "feature_join": (feature_join, with_views("select item_id, label, chars, breaks, octets from doc_items left join f using (item_id)", "doc_items", f=_FEATURES_SQL)),
     "feature_auc": (
