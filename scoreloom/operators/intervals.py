@@ -26,8 +26,9 @@ from .settle import settle
 
 #: The modulus and the multipliers of the replicates' draws.
 PRIME, STEPS = 2**31 - 1, (48_271, 69_621, 16_807)
-#: Items that are weighed at once, and numbers that a second pass holds at once.
-BLOCK, HELD = 2_048, 4_000_000
+#: Items that are weighed at once, numbers that a second pass holds at once, and items of a range, about.
+BLOCK, HELD, RANGE_ROWS = 1_024, 4_000_000, 1 << 16
+CACHED = 32
 #: The distribution of a Poisson number of mean 1, as far as a draw of 31 bits tells.
 POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 11)]))
 
@@ -37,15 +38,44 @@ def start(key: str) -> Column:
     return F.conv(F.substring(F.sha1(key), 1, 7), 16, 10).cast("long")
 
 
+#: The least draw of each further Poisson number.
+_LEAST = np.searchsorted(np.arange(PRIME - 4_096, PRIME) / PRIME, POISSON) + PRIME - 4_096  # those near the end
+_LEAST = np.where(POISSON < (PRIME - 4_096) / PRIME, np.ceil(POISSON * PRIME).astype(np.int64), _LEAST)
+
+
+def _fold(x: np.ndarray, room: np.ndarray) -> None:
+    """x of at most 62 bits to the prime or less, modulo the prime, which is one less than a power of two; in place."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=room)
+        np.bitwise_and(x, PRIME, out=x)
+        np.add(x, room, out=x)
+
+
 def weights(begin: np.ndarray, replicates: np.ndarray) -> np.ndarray:
-    """A row for each item, a column for each replicate."""
+    """A row for each item, a column for each replicate. Few rows at a time, which a processor's cache holds."""
     a, b, c = STEPS
-    x0, r = begin.astype(np.int64)[:, None], replicates.astype(np.int64)[None, :]
-    x = (x0 * a + r * b + 1) % PRIME
-    x = (x * x + x0) % PRIME
-    x = (x * c + r) % PRIME
-    x = (x * x + 7) % PRIME
-    return np.searchsorted(POISSON, x / PRIME, side="right").astype(float)
+    r = replicates.astype(np.int64)[None, :]
+    out = np.zeros((len(begin), r.shape[1]), np.int8)
+    least = _LEAST[_LEAST < PRIME].astype(np.int32)
+    for at in range(0, len(begin), CACHED):
+        x0 = begin[at : at + CACHED].astype(np.int64)[:, None]
+        x = x0 * a + (r * b + 1)
+        room = np.empty_like(x)
+        _fold(x, room)
+        np.multiply(x, x, out=x)
+        x += x0
+        _fold(x, room)
+        x *= c
+        x += r
+        _fold(x, room)
+        np.multiply(x, x, out=x)
+        x += 7
+        _fold(x, room)
+        x[x == PRIME] = 0
+        drawn, part = x.astype(np.int32), out[at : at + CACHED]
+        for k in least:
+            part += drawn >= k
+    return out
 
 
 def _runs(scores: np.ndarray) -> np.ndarray:
@@ -89,7 +119,7 @@ def _range_sums(rows: DataFrame, n: int) -> DataFrame:
                     j = min(hi, i + BLOCK)
                     w, fake = weights(x0[i:j], replicates), (y[i:j] == 1)[:, None]
                     begin = _runs(s[i:j])
-                    t, f = (np.add.reduceat(w * side, begin, axis=0) for side in (fake, ~fake))
+                    t, f = (np.add.reduceat(w * side, begin, axis=0, dtype=np.int32) for side in (fake, ~fake))
                     if tie is not None and s[i] != tie:
                         close()
                     tied[0] += t[0]
@@ -98,10 +128,11 @@ def _range_sums(rows: DataFrame, n: int) -> DataFrame:
                     if len(begin) > 1:
                         close()
                         t, f = t[1:], f[1:]
-                        before = sums[0] + np.cumsum(t[:-1], axis=0) - t[:-1]
-                        sums[2] += (f[:-1] * (before + t[:-1] / 2)).sum(axis=0)
+                        twice = 2 * np.cumsum(t[:-1], axis=0, dtype=np.int32) - t[:-1]  # fakes above, and half of the tied
+                        reals = f[:-1].sum(axis=0)
+                        sums[2] += sums[0] * reals + np.einsum("ij,ij->j", f[:-1].astype(np.int64), twice.astype(np.int64)) / 2
                         sums[0] += t[:-1].sum(axis=0)
-                        sums[1] += f[:-1].sum(axis=0)
+                        sums[1] += reals
                         tied[0], tied[1] = t[-1], f[-1]
         if at is not None:
             yield out()
@@ -123,7 +154,7 @@ def _crossings(rows: DataFrame, open_: DataFrame) -> DataFrame:
         for lo in range(0, len(wanted), step):
             some = wanted.iloc[lo : lo + step]
             w = weights(x0, some["r"].to_numpy())
-            t, f = (np.cumsum(np.add.reduceat(w * side, begin, axis=0), axis=0) for side in (fake, ~fake))
+            t, f = (np.cumsum(np.add.reduceat(w * side, begin, axis=0, dtype=np.int64), axis=0) for side in (fake, ~fake))
             column = lambda name: some[name].to_numpy(float)  # noqa: B023, E731
             tpr = np.vstack([np.zeros(len(some)), t]) + column("before_t")
             fpr = (np.vstack([np.zeros(len(some)), f]) + column("before_f")) / column("all_f")
@@ -141,7 +172,8 @@ def replicate_values(df: DataFrame, by: str, n: int = 1000, key: str = "item_id"
     ok = df.where("status = 'ok' and score is not null")
     rows = ok.select(F.coalesce(F.col(by).cast("string"), F.lit("<null>")).alias("grp"), F.col("score").cast("double").alias("s"), roc.binary().alias("y"), start(key).alias("x0"))
     order = [F.col("grp"), F.col("s").desc()]  # equal scores of a group never part
-    rows = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    rows = settle(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     sums = settle(_range_sums(rows, n))
     each = sums.select("grp", "part", F.posexplode(F.arrays_zip("t", "f", "pairs")).alias("r", "v")).select("grp", "part", F.col("r").cast("long").alias("r"), "v.*")
     so_far, whole = Window.partitionBy("grp", "r").orderBy("part"), Window.partitionBy("grp", "r")

@@ -24,12 +24,21 @@ def slow_values(y, s, w):
 
 
 def test_weights_are_poisson():
+    def slow(x0, r):
+        p, (a, b, c) = intervals.PRIME, intervals.STEPS
+        x = (x0 * a + r * b + 1) % p
+        x = (x * x + x0) % p
+        x = (x * c + r) % p
+        return int(np.searchsorted(intervals.POISSON, (x * x + 7) % p / p, side="right"))
+
+    begin = np.random.default_rng(3).integers(0, 2**28, 70)
+    assert [[slow(int(x), r) for r in range(0, 1000, 9)] for x in begin] == intervals.weights(begin, np.arange(0, 1000, 9)).tolist()
     w = intervals.weights(np.random.default_rng(1).integers(0, 2**28, 3000), np.arange(200))
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
 
 
-@pytest.mark.parametrize("block", [2_048, 3])
+@pytest.mark.parametrize("block", [1_024, 3])
 def test_replicates_equal_pair_by_pair(spark, monkeypatch, block):
     monkeypatch.setattr(intervals, "BLOCK", block)
     rnd = np.random.default_rng(2)
@@ -41,7 +50,7 @@ def test_replicates_equal_pair_by_pair(spark, monkeypatch, block):
     expect = {}
     for name in ("a", "b", "<null>", "c", "t"):
         own = [r for r in rows if (r[1] or "<null>") == name and r[4] == "ok"]
-        w = intervals.weights(np.array([start[r[0]] for r in own]), np.arange(20))
+        w = intervals.weights(np.array([start[r[0]] for r in own]), np.arange(20)).astype(int)
         for k in range(20):
             if value := slow_values([r[2] == "fake" for r in own], [r[3] for r in own], w[:, k]):
                 expect[name, k] = value
