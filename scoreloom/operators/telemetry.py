@@ -25,6 +25,30 @@ def energy(samples: DataFrame, by: str = "session_id") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("samples"), F.avg("watts").alias("power_mean_w"), F.max("watts").alias("power_max_w"), (F.coalesce(F.sum("area"), F.lit(0.0)) / 3600).alias("energy_wh"))
 
 
+def sampler_stats(samples: DataFrame, by: str = "session_id") -> DataFrame:
+    """A row for each id: use, memory, power and temperature of its samples (ts, event_id, util, used_gb, watts, temp,
+    counter_mj). Energy is what the counter gained, in millijoules, where it was read at both ends, else the trapezoid area
+    under the power."""
+    w = Window.partitionBy(by).orderBy("ts", "event_id")
+    rows = samples.withColumn("t", _micros(F.col("ts")) / 1e6)
+    rows = rows.withColumn("area", (F.col("t") - F.lag("t").over(w)) * (F.col("watts") + F.lag("watts").over(w)) / 2)
+    at = F.struct("ts", "event_id")
+    gained = (F.max_by("counter_mj", at) - F.min_by("counter_mj", at)) / 3.6e6
+    area = F.coalesce(F.sum("area"), F.lit(0.0)) / 3600
+    rounded = {
+        "gpu_util_mean": (F.avg("util"), 1),
+        "gpu_util_p95": (F.percentile("util", 0.95), 1),
+        "gpu_mem_used_max_gb": (F.max("used_gb"), 3),
+        "power_mean_w": (F.avg("watts"), 1),
+        "power_max_w": (F.max("watts"), 1),
+        "temp_max_c": (F.max("temp"), 1),
+        "energy_wh": (F.coalesce(gained, area), 3),
+    }
+    source = F.when(gained.isNotNull(), "counter").otherwise("integrated")
+    columns = (F.bround(c.cast("double"), digits).alias(name) for name, (c, digits) in rounded.items())
+    return rows.groupBy(by).agg(F.count("*").alias("samples"), *columns, source.alias("energy_source"))
+
+
 def sessions(samples: DataFrame, by: str = "session_id") -> DataFrame:
     """A session row for each id: items, wall time, completion and phase times, from its samples."""
     g = samples.groupBy(by)

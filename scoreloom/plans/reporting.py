@@ -40,7 +40,7 @@ def _length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _length(spark, d).withColumn("length", (F.col("n") % 40).cast("int"))
+    rows = _length(spark, d).withColumn("length", F.col("n"))
     clips = rows.select("item_id", "length", F.posexplode(frames.clip_windows(F.col("length"), 25, 5)).alias("clip", "indices"))
     return clips.select("item_id", "clip", F.array_join("indices", ",").alias("indices"))
 
@@ -55,11 +55,11 @@ def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_rate_sampling(spark: SparkSession, d: str) -> DataFrame:
-    return _length(spark, d).select("item_id", F.array_join(frames.rate_frames(F.col("n") % 900, 30.0, 4.0, 60), ",").alias("indices"))
+    return _length(spark, d).select("item_id", F.array_join(frames.rate_frames(F.col("n"), 30.0, 4.0, 60), ",").alias("indices"))
 
 
 def window_sampling(spark: SparkSession, d: str) -> DataFrame:
-    return _length(spark, d).select("item_id", F.array_join(frames.window_frames(F.col("n") % 300, 10, 5), ",").alias("indices"))
+    return _length(spark, d).select("item_id", F.array_join(frames.window_frames(F.col("n"), 10, 5), ",").alias("indices"))
 
 
 def rate_remap(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +75,14 @@ def face_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nms(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes made of vectors' first components, suppressed within a label."""
+    """Boxes made of vectors' first components, eight a frame, suppressed within their frame."""
     e = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 100)
-    rows = t.table(spark, d, "embeddings").select("label", "vec_id", e.alias("e"))
-    box = F.struct(F.col("e")[4].alias("score"), F.col("vec_id").alias("idx"), F.col("e")[0].alias("x1"), F.col("e")[1].alias("y1"), (F.col("e")[0] + 20 + F.abs(F.col("e")[2])).alias("x2"), (F.col("e")[1] + 20 + F.abs(F.col("e")[3])).alias("y2"))
-    kept = rows.groupBy("label").agg(F.collect_list(box).alias("boxes")).select("label", F.explode(frames.nms(F.col("boxes"), 0.4)).alias("kept"))
-    return kept
+    rows = t.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("frame"), "vec_id", e.alias("e"))
+    x, y = F.col("e")[0], F.col("e")[1]
+    corner = (x.alias("x1"), y.alias("y1"), (x + 20 + F.abs(F.col("e")[2])).alias("x2"), (y + 20 + F.abs(F.col("e")[3])).alias("y2"))
+    box = F.struct(F.col("e")[4].alias("score"), F.col("vec_id").alias("idx"), *corner)
+    boxes = rows.groupBy("frame").agg(F.collect_list(box).alias("boxes"))
+    return boxes.select("frame", F.explode(frames.nms(F.col("boxes"), 0.1)).alias("kept"))
 
 
 def score_formulas(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +311,7 @@ def _clip_sql() -> str:
             when s + k < 24 then pre[len(pre) - 24 + s + k + 1] when s + k < 24 + n then s + k - 24 else post[(s + k - 24 - n) % len(post) + 1] end as idx
         from (select *, unnest(range(0, total - 24, 5)) as s from padded) cross join (select range as k from range(25))) group by all""",
         "doc_items",
-        l="select item_id, n_chars % 40 as n from doc_items",
+        l="select item_id, n_chars as n from doc_items",
         cyc="select item_id, n, list_concat(range(n), list_reverse(range(1, n - 1))) as pre1, list_concat(list_reverse(range(1, n - 1)), range(n)) as post from l where n >= 1",
         padded=f"""select item_id, n, post, case when n >= {clip} then n else n + {2 * pad} end as total,
             flatten([pre1 for k in range(25)]) as pre from cyc""",
@@ -354,11 +356,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "frame_rate_sampling": (
         frame_rate_sampling,
-        with_views("select item_id, coalesce(array_to_string(list_slice(list_sort(list_distinct(list_transform(range(cast(ceil(n::double / 30 * 4) as bigint)), lambda i: least(cast(floor(i::double / 4 * 30) as bigint), n - 1)))), 1, 60), ','), '') as indices from l", "doc_items", l="select item_id, n_chars % 900 as n from doc_items"),
+        with_views("select item_id, coalesce(array_to_string(list_slice(list_sort(list_distinct(list_transform(range(cast(ceil(n::double / 30 * 4) as bigint)), lambda i: least(cast(floor(i::double / 4 * 30) as bigint), n - 1)))), 1, 60), ','), '') as indices from l", "doc_items", l="select item_id, n_chars as n from doc_items"),
     ),
     "window_sampling": (
         window_sampling,
-        with_views("select item_id, case when n > 5 then array_to_string(list_sort(list_distinct(flatten(list_transform(range(10), lambda i: list_transform(range(5), lambda k: cast(floor(i::double * ((n::double - 6) / 9)) as bigint) + k))))), ',') else '' end as indices from l", "doc_items", l="select item_id, n_chars % 300 as n from doc_items"),
+        with_views("select item_id, case when n > 5 then array_to_string(list_sort(list_distinct(flatten(list_transform(range(10), lambda i: list_transform(range(5), lambda k: cast(floor(i::double * ((n::double - 6) / 9)) as bigint) + k))))), ',') else '' end as indices from l", "doc_items", l="select item_id, n_chars as n from doc_items"),
     ),
     "rate_remap": (
         rate_remap,
@@ -370,7 +372,20 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "largest_face": (largest_face, with_views("select item_id, frame_index, box from conv_frames qualify row_number() over (partition by item_id order by box desc nulls last, frame_index) = 1", "conv_frames")),
     "face_counts": (face_counts, with_views("select item_id, count(*) as frames, count(box) as faced from conv_frames group by item_id", "conv_frames")),
-    "nms": (nms, None),
+    "nms": (
+        nms,
+        with_views(
+            "select frame, unnest(list_transform(kept, lambda x: x.idx)) as kept from walk where k = n",
+            e="select vec_id // 8 as frame, vec_id, list_transform(embedding[1:5], lambda x: x::double * 100) as e from embeddings",
+            box="select frame, {score: e[5], idx: vec_id, x1: e[1], y1: e[2], x2: e[1] + 20 + abs(e[3]), y2: e[2] + 20 + abs(e[4])} as b from e",
+            ranked="select frame, b, row_number() over (partition by frame order by b.score desc, b.idx desc) as k, count(*) over (partition by frame) as n from box",
+            walk="""select frame, k, n, [b] as kept from ranked where k = 1 union all
+                select r.frame, r.k, r.n, case when len(list_filter(kept, lambda o: greatest(least(o.x2, r.b.x2) - greatest(o.x1, r.b.x1) + 1, 0) * greatest(least(o.y2, r.b.y2) - greatest(o.y1, r.b.y1) + 1, 0)
+                    / ((o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) + (r.b.x2 - r.b.x1 + 1) * (r.b.y2 - r.b.y1 + 1)
+                    - greatest(least(o.x2, r.b.x2) - greatest(o.x1, r.b.x1) + 1, 0) * greatest(least(o.y2, r.b.y2) - greatest(o.y1, r.b.y1) + 1, 0)) > 0.1)) > 0
+                    then kept else list_append(kept, r.b) end from walk w join ranked r on w.frame = r.frame and r.k = w.k + 1""",
+        ),
+    ),
     "score_formulas": (
         score_formulas,
         """select vec_id, round(1 / (1 + exp(e[2] - e[1])), 6) softmax, round(list_avg(list_transform(e[1:7], lambda x: 1 / (1 + exp(-x)))), 6) ensemble, round(1 / (1 + 1 / list_sum(list_transform(e, lambda x: exp(-x)))), 6) logsumexp,

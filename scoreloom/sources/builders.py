@@ -196,13 +196,14 @@ def openslr_sinhala(files: DataFrame, speakers: DataFrame) -> DataFrame:
 
 # --- layouts of stored rows -------------------------------------------------------------------------------------------
 def indicsynth(rows: DataFrame, cap: int = 5000) -> DataFrame:
-    """``rows(folder, shard, source_row, Generative Model, Target Speaker ID, Source Speaker_ID, Gender)``, all fakes; with
-    a mark on the first ``cap`` of each language and generator by hash."""
+    """``rows(folder, shard, source_row, Generative Model, Target Speaker ID, Source Speaker_ID, Gender)``, all fakes; the
+    first ``cap`` of each language and generator by hash are marked, and their split is "sample"."""
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double").cast("long").cast("string"))
     method = F.col("`Generative Model`")
     rows = rows.withColumn("rel_path", F.format_string("%s/wav/%s-%06d", "folder", "shard", "source_row"))
     out = _items(rows, "indicsynth", "audio", F.lit("fake"), F.concat_ws("/", "folder", "shard", F.col("source_row").cast("string")), method=method, method_family=lookup(GENERATORS, method), language=lookup(INDIC, F.lower("folder")), subject_id=number("`Target Speaker ID`"), source_subject_id=number("`Source Speaker_ID`"), split=F.lit("train"), gender=F.nullif(F.lower("Gender"), F.lit("")))
-    return mark(out, cap, ["language", "method"])
+    out = mark(out, cap, ["language", "method"])
+    return out.withColumn("split", F.when(F.col("sampled"), "sample").otherwise(F.col("split")))
 
 
 def indictts_challenge(rows: DataFrame) -> DataFrame:

@@ -62,6 +62,7 @@ def test_stored_rows(spark):
     out = {r.item_id: r for r in builders.indicsynth(rows, cap=1).collect()}
     a, b = out["indicsynth/Hindi/p0/3"], out["indicsynth/Hindi/p0/4"]
     assert (a.subject_id, a.source_subject_id, a.g_gender, a.sampled, a.language) == ("7", None, "male", True, "hi") and (b.source_subject_id, b.g_gender, b.method_family) == ("2", None, "vc")
+    assert all(r.split == "sample" for r in out.values())  # one of each generator
     rows = spark.createDataFrame([("s", 0, "ab_f_1", 1, "Bodo"), ("s", 1, None, 0, "Hindi"), ("s", 2, "x_q", -1, "Hindi")], "shard string, source_row long, id string, is_tts int, language string")
     out = {r.item_id: r for r in builders.indictts_challenge(rows).collect()}
     assert set(out) == {"indictts_challenge/s/0", "indictts_challenge/s/1"} and out["indictts_challenge/s/0"].subject_id == "AB_F" and out["indictts_challenge/s/0"].language == "brx"
