@@ -100,7 +100,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         with_views(
             "select f.item_id, cast(f.w * 2 as bigint) as first from f join filled g on f.item_id = g.item_id and g.pos between f.w * 2 and f.w * 2 + 2 group by f.item_id, f.w having count(distinct g.pos) = 3",
             "conv_frames",
-            filled="select item_id, frame_index as pos from (select *, last_value(box ignore nulls) over (partition by item_id order by frame_index) as filled from conv_frames) where filled is not null",
+            filled="select item_id, frame_index as pos from (select *, max(box) over (partition by item_id) as filled from conv_frames) where filled is not null",
             f="select distinct item_id, unnest(range(0, cast(pos // 2 as bigint) + 1)) as w from filled",
         ),
     ),
