@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, cut_lineage, map_batches
+from .shared import WHITE_SPACE, cut_lineage, map_batches, sliced
 
 WORDS_A_CHUNK = 5
 #: Bytes of a chunk: no boundary before the first bound, and one after the second whatever the hash says.
@@ -107,7 +107,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in sliced(batches, 1024):
             texts, digests, places, sizes = b.column(2).to_pylist(), [], [], []
             for text in texts:
                 data = (text or "").encode("utf-8", "surrogatepass")

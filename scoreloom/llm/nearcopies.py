@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut_lineage, map_batches, written
+from .shared import cut_lineage, map_batches, sliced, written
 from .simhash import forest, keep_first
 from .simhash import keep_one_each as keep_by_simhash
 
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             keys, sizes, hashes = [], [], []
             for text in b.column(2).to_pylist():
                 words = _words(text)

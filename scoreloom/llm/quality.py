@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, cut_lineage, map_batches
+from .shared import WHITE_SPACE, cut_lineage, map_batches, sliced
 
 #: The bounds on documents and lines that the field is fitted on; lines of a piece.
 FIT_ROWS = 4_000
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "good", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             lines = [[] if base_failed(t.split()) else _content_lines(t) for t in texts]  # the base rules decide on those
             feats = [line_features(x).astype("<f8").tobytes() for x in lines]
@@ -252,7 +252,7 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             got = list(zip(*(measure(t, *model) for t in b.column(1).to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], ["doc_id", *names])
 

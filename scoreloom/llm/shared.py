@@ -75,3 +75,10 @@ def numbered(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
     placed = rows.withColumn(name, local).join(starts, F.col(part) == F.col("_of"))
     return placed.withColumn(name, F.col(name) + F.col("_before")).select(*frame.columns, name)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

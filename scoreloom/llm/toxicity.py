@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, free_names, map_batches
+from .shared import cut_lineage, free_names, map_batches, sliced
 
 #: The bound on rows that the classifier is fitted on.
 FIT_ROWS = 12_000
@@ -35,7 +35,9 @@ HASH_BITS = 20
 #: a pair with another one of the FREQUENT terms with most documents. Chance hardly explains such values (PAIR_CHI is
 #: higher, for there are more pairs than terms).
 FREQUENT = 1_024
-COMPANY = 64
+COMPANY = 16
+#: Texts that a task turns into Python strings at once.
+_SLICE = 512
 LEAST_CHI, PAIR_CHI = 16.0, 40.0
 FACTORS = 4
 #: Adam's rate, documents a step, most epochs; the penalties that inner folds choose from.
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "toxic", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, _SLICE):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(terms(t)) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["id", "toxic", "terms"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -246,7 +248,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", into: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         known: dict[str, tuple[int, ...]] = {}
-        for b in batches:
+        for b in sliced(batches, _SLICE):
             scores = []
             for text in b.column(b.num_columns - 1).to_pylist():
                 rows: set[int] = set()
