@@ -45,14 +45,24 @@ def test_groups_equal_brute_force_also_over_many_leaves(spark, monkeypatch):
         assert sorted(r.doc_id for r in nearcopies.keep_one_each(docs).collect()) == slow_kept(rows)
 
 
-def test_the_pipeline_keeps_one_of_near_copies_that_simhash_tells_apart(spark):
+def test_near_dedup_keeps_one_of_near_copies_that_simhash_tells_apart(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one = corpus_pipeline.one_of_each(spark, docs, "").cache()
-    left = {r.doc_id for r in corpus_pipeline.first_passages(spark, one, "").collect()}
+    by_simhash = [r.doc_id for r in simhash.keep_one_each(docs).collect()]
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
     texts = dict(rows)
-    assert any((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in itertools.combinations([r.doc_id for r in one.collect()], 2) if similarity(texts[a], texts[b]) >= 0.8)
-    assert not [1 for a, b in itertools.combinations(sorted(left), 2) if similarity(texts[a], texts[b]) >= 0.8]
+    alike = [(a, b) for a, b in itertools.combinations(sorted(by_simhash), 2) if similarity(texts[a], texts[b]) >= 0.8]
+    assert any((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in alike)
+    assert left < set(by_simhash) and not [1 for a, b in alike if {a, b} <= left]
+    # each that is gone has one that stayed, reached over close fingerprints or similar shingles
+    for gone in set(texts) - left:
+        seen, front = {gone}, [gone]
+        while front:
+            a = front.pop()
+            new = [b for b in texts if b not in seen and ((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= 3 or similarity(texts[a], texts[b]) >= 0.8)]
+            seen.update(new)
+            front += new
+        assert seen & left
 
 
 def test_odd_rows(spark):
