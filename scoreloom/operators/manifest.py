@@ -76,8 +76,8 @@ def summarise(df: DataFrame) -> DataFrame:
 def content_hash(df: DataFrame) -> DataFrame:
     """One row: rows, and a hash of all (item_id, label) pairs that doesn't depend on their order.
 
-    The digest of one sorted text needs all its lines in one place: this is for item tables that fit a task. ``wide_hash``
-    serves the same purpose for tables of any size."""
+    The digest of one sorted text needs all its lines in one place: this is for item tables that fit a task.
+    ``ranged_hash`` serves the same purpose for tables of any size."""
     pairs = F.array_sort(F.collect_list(F.struct("item_id", "label")))
     text = F.array_join(F.transform(pairs, lambda x: F.concat(x["item_id"], F.lit("\t"), x["label"], F.lit("\n"))), "")
     return df.agg(F.count("*").alias("rows"), F.sha2(text, 256).alias("content_hash"))
@@ -89,6 +89,17 @@ def wide_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"))
 
 
+def ranged_hash(df: DataFrame, digits: int = 3) -> DataFrame:
+    """One row: rows, and a hash of all (item_id, label) pairs that doesn't depend on their order, for tables of any size: the
+    pairs are sorted and hashed in 16^``digits`` parts of a hash of the id, and the parts' digests, in order, are hashed."""
+    line = F.concat("item_id", F.lit("\t"), "label", F.lit("\n"))
+    parts = df.select(F.substring(F.sha1("item_id"), 1, digits).alias("part"), F.struct("item_id", "label", line.alias("line")).alias("row"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["line"]), "")
+    parts = parts.groupBy("part").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("digest"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "")
+    return parts.agg(F.sum("n").alias("rows"), F.sha2(every, 256).alias("ranged_hash"))
+
+
 def write(df: DataFrame, dataset: str, path: str) -> None:
     """Validates, then writes the table in the order of item_id."""
     found = [r["problem"] for r in problems(df, dataset).limit(50).collect()]

@@ -130,6 +130,10 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return manifest.content_hash(t.order_items(spark, d))
 
 
+def ranged_hash(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.ranged_hash(t.order_items(spark, d))
+
+
 def normalise_attr(spark: SparkSession, d: str) -> DataFrame:
     c = F.when(F.col("c_custkey") % 7 == 0, F.lit(" N/A ")).when(F.col("c_custkey") % 11 == 0, F.lit("Unknown")).otherwise(F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
     return t.table(spark, d, "customer").select("c_custkey", scalar.normalise_attr(c).alias("segment"))
@@ -306,6 +310,14 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "manifest_problems": (manifest_problems, _PROBLEMS_SQL),
     "manifest_summary": (manifest_summary, with_views("select 'label' as attribute, '*' as value, label, count(*) as n from order_items group by label union all select 'g_segment', coalesce(g_segment, '<null>'), label, count(*) from order_items group by all", "order_items")),
     "content_hash": (content_hash, with_views("select count(*) as rows, sha256(string_agg(concat(item_id, chr(9), label, chr(10)), '' order by item_id, label)) as content_hash from order_items", "order_items")),
+    "ranged_hash": (
+        ranged_hash,
+        with_views(
+            "select cast(sum(n) as bigint) as rows, sha256(string_agg(digest, '' order by part)) as ranged_hash from parts",
+            "order_items",
+            parts="select substr(sha1(item_id), 1, 3) as part, count(*) as n, sha256(string_agg(concat(item_id, chr(9), label, chr(10)), '' order by item_id, label)) as digest from order_items group by 1",
+        ),
+    ),
     "normalise_attr": (normalise_attr, "select c_custkey, case when c_custkey % 7 = 0 or c_custkey % 11 = 0 then null else lower(trim(c_mktsegment)) end as segment from customer"),
     "path_builder": (
         path_builder,

@@ -204,6 +204,29 @@ def test_no_identity_spans_splits(spark):
     assert splits.identity_components(chain).select("component").distinct().count() == 1
 
 
+def test_runs_are_dealt_as_one_by_one():
+    rnd = random.Random(8)
+    for _ in range(60):
+        names = [f"s{i}" for i in range(rnd.randint(1, 4))]
+        cuts = [rnd.randint(1, 9) for _ in names]
+        share = {s: 500 * c / sum(cuts) for s, c in zip(names, cuts, strict=True)}
+        have = {s: float(rnd.randint(0, 60)) for s in names}
+        n, size = rnd.randint(1, 40), rnd.randint(1, 7)
+        slow, now = dict.fromkeys(names, 0), dict(have)
+        for _ in range(n):
+            s = max(names, key=lambda s: (share[s] - now[s]) / share[s])
+            now[s] += size
+            slow[s] += 1
+        assert splits.dealt(n, size, have, share) == slow
+
+
+def test_split_shares_are_met(spark):
+    rows = [(f"d/{i}", f"s{i // 7}" if i < 700 else None, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "item_id string, subject_id string, source_subject_id string")
+    got = splits.identity_split(df, {"train": 0.7, "val": 0.1, "test": 0.2}).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 2100, "val": 300, "test": 600}
+
+
 def test_clip_features():
     t = np.arange(16_000) / 16_000
     f = dict(zip(shortcut.FEATURES, shortcut.clip_features(np.concatenate([0.5 * np.sin(2 * np.pi * 440 * t), np.zeros(16_000)]), 16_000, 44_100), strict=True))
