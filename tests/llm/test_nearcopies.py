@@ -55,14 +55,13 @@ def test_near_dedup_keeps_one_of_near_copies_that_simhash_tells_apart(spark):
     assert any((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in alike)
     assert left < set(by_simhash) and not [1 for a, b in alike if {a, b} <= left]
     # each that is gone has one that stayed, reached over close fingerprints or similar shingles
-    for gone in set(texts) - left:
-        seen, front = {gone}, [gone]
-        while front:
-            a = front.pop()
-            new = [b for b in texts if b not in seen and ((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= 3 or similarity(texts[a], texts[b]) >= 0.8)]
-            seen.update(new)
-            front += new
-        assert seen & left
+    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    pairs = [(a, b) for a, b in itertools.combinations(texts, 2) if (fps[a] ^ fps[b]).bit_count() <= 3 or similarity(texts[a], texts[b]) >= 0.8]
+    for _ in range(6):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {group[i] for i in left} == set(group.values())
 
 
 def test_odd_rows(spark):
