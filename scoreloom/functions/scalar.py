@@ -37,7 +37,7 @@ def looks_like_html(c: Column) -> Column:
 
 
 def safe_relpath(c: Column) -> Column:
-    """Plain relative paths only: not empty, not absolute, no parent folders, no backslashes."""
+    """True where joining ``c`` to a folder gives a path inside that folder, on any system; false for null."""
     return F.coalesce((c != "") & ~c.startswith("/") & ~F.array_contains(F.split(c, "/"), "..") & ~c.contains("\\"), F.lit(False))
 
 
@@ -73,7 +73,7 @@ def shortened(name: Column, window) -> Column:  # noqa: ANN001
 
 
 def audio_suffix(stored: Column, data: Column) -> Column:
-    """File suffix of a clip: that of its stored path, else told by its leading bytes."""
+    """Suffix under which an embedded clip is written: a known one of ``stored``, or what ``data`` begins with, or .bin."""
     own = F.regexp_extract(F.lower(stored), r"[^/](\.(?:wav|flac|mp3|ogg|m4a|opus))$", 1)
     out = F.when(own != "", own)
     # fixed values: leading bytes of audio formats

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import roc
 from ..functions.scalar import hash_rank
+from .settle import settle
 
 #: Samples of a frame and of a step, silence in dB under the loudest frame, share of the power below rolloff.
 FRAME, HOP, SILENCE_DB, ROLLOFF = 400, 160, 40.0, 0.85
@@ -113,8 +114,14 @@ def class_means(df: DataFrame, columns: list[str], label: str = "label") -> Data
 def probe(df: DataFrame, columns: list[str], folds: int = 5, seed: int = 0, key: str = "item_id", label: str = "label") -> DataFrame:
     """(key, y, s): each row's probability by a logistic regression on standardised features that was fitted on the other
     folds. A fold is the hash rank within the class modulo ``folds``."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_rank(seed, key), key)) - 1
-    rows = df.select(key, roc.binary(label).cast("double").alias("y"), (place % folds).alias("fold"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna().cache()
+    rows = df.select(key, roc.binary(label).cast("double").alias("y"), hash_rank(seed, key).alias("hash"), *(F.col(c).cast("double").alias(c) for c in columns))
+    # ranks within a class are counted in parts of the hash and over them
+    rows = settle(rows.dropna().withColumn("part", F.substring("hash", 1, 3)))
+    counts = rows.groupBy("y", "part").agg(F.count("*").alias("n"))
+    starts = counts.select("y", "part", (F.sum("n").over(Window.partitionBy("y").orderBy("part")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("y", "part").orderBy("hash", key)) - 1
+    rows = rows.withColumn("local", local).join(starts, ["y", "part"])
+    rows = settle(rows.select(key, "y", ((F.col("before") + F.col("local")) % folds).alias("fold"), *columns))
     out = None
     for f in range(folds):
         train = rows.where(F.col("fold") != f)

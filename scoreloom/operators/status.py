@@ -27,7 +27,7 @@ def private_columns(df: DataFrame) -> list[str]:
 
 
 def run_flags(runs: DataFrame, parity: DataFrame) -> DataFrame:
-    """(run_id, flags): what a reader must know, worst first."""
+    """(run_id, flags): an array of short remarks for each run, in order of weight; empty for a run without any."""
     directed = runs.where("role = 'reproduction' and auc > 0.5").select("model").distinct().withColumn("directed", F.lit(True))
     rows = runs.join(parity.where("passed").select("model").distinct().withColumn("checked", F.lit(True)), "model", "left").join(directed, "model", "left")
     tests = [

@@ -15,7 +15,12 @@ from ..operators.manifest import OPTIONAL
 from ..operators.sampling import mark
 
 # --- fixed values: codes, folders and names of the layouts ---------------------------------------------------------
-ATTACK_FAMILIES = {"tts": (1, 2, 3, 4, 7, 8, 9, 10, 11, 12, 16), "vc": (5, 6, 17, 18, 19), "tts_vc": (13, 14, 15)}
+#: Kinds of the attacks of the ASVspoof 2019 logical access set, as its public description lists them.
+ATTACK_FAMILIES = {
+    "A01": "tts", "A02": "tts", "A03": "tts", "A04": "tts", "A05": "vc", "A06": "vc", "A07": "tts",
+    "A08": "tts", "A09": "tts", "A10": "tts", "A11": "tts", "A12": "tts", "A13": "tts_vc", "A14": "tts_vc",
+    "A15": "tts_vc", "A16": "tts", "A17": "vc", "A18": "vc", "A19": "vc",
+}
 INDIC = {"bengali": "bn", "gujarati": "gu", "hindi": "hi", "kannada": "kn", "malayalam": "ml", "marathi": "mr", "odia": "or", "punjabi": "pa", "sanskrit": "sa", "tamil": "ta", "telugu": "te", "urdu": "ur"}
 CHALLENGE = {"assamese": "as", "bengali": "bn", "bodo": "brx", "dogri": "doi", "english": "en", "gujarati": "gu", "hindi": "hi", "kannada": "kn", "malayalam": "ml", "manipuri": "mni", "marathi": "mr", "nepali": "ne", "odia": "or", "sanskrit": "sa", "tamil": "ta", "telugu": "te"}
 GENERATORS = {"xtts_v2": "tts", "vits": "tts", "freevc24": "vc"}
@@ -163,8 +168,7 @@ def asvspoof2019_la(files: DataFrame, protocols: DataFrame) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     clip = F.concat(F.lit("LA/ASVspoof2019_LA_"), F.col("split"), F.lit("/flac/"), f[1], F.lit(".flac"))
     rows = protocols.where(F.size(f) == 5).select(clip.alias("rel_path"), "split", f[0].alias("speaker"), F.nullif(f[3], F.lit("-")).alias("attack"), f[4].alias("key")).join(files, "rel_path", "left_semi")
-    families = {f"A{n:02d}": kind for kind, numbers in ATTACK_FAMILIES.items() for n in numbers}
-    return _items(rows, "asvspoof2019_la", "audio", lookup({"bonafide": "real", "spoof": "fake"}, F.col("key")), F.concat_ws("/", "split", Parts().stem), method=F.col("attack"), method_family=lookup(families, F.col("attack")), language=F.lit("en"), subject_id=F.col("speaker"), split=F.col("split"))
+    return _items(rows, "asvspoof2019_la", "audio", lookup({"bonafide": "real", "spoof": "fake"}, F.col("key")), F.concat_ws("/", "split", Parts().stem), method=F.col("attack"), method_family=lookup(ATTACK_FAMILIES, F.col("attack")), language=F.lit("en"), subject_id=F.col("speaker"), split=F.col("split"))
 
 
 def hidf(files: DataFrame, people: DataFrame) -> DataFrame:
