@@ -24,7 +24,7 @@ def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The item table: labels, groups and identities."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = o.where(F.col("o_orderstatus").isin("F", "O")).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    rows = o.where(F.col("o_orderstatus").isin("F", "O")).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     key, year = F.col("o_orderkey").cast("string"), F.year("o_orderdate")
     known = F.col("o_orderkey") % 50 != 0
     fake = F.col("o_orderstatus") == "F"
