@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +85,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def clean(spark: SparkSession, older_than: float = 86_400.0, kinds: tuple[str, ...] = ("media", "near-dedup", "pipeline", "warc")) -> list[str]:
+    """Removes what operators and the pipeline wrote to the shared folder, if it is older than so many seconds; to the names.
+    A result that still reads from such a folder is lost, so this is for when results are written elsewhere."""
+    folder = shared_folder(spark)
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    ours = re.compile(rf"({'|'.join(map(re.escape, kinds))})-[0-9a-f]{{32}}")
+    old = [f for f in found if f.type == fs.FileType.Directory and ours.fullmatch(f.base_name) and time.time() - f.mtime_ns / 1e9 > older_than]
+    for f in old:
+        store.delete_dir(f.path)
+    return sorted(f.base_name for f in old)

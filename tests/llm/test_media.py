@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -69,6 +71,25 @@ def test_query_on_odd_rows(spark):
         assert r.caption == f"document {r.doc_id}"
 
 
+def slow_feature(samples):
+    """Straight from the samples, one at a time."""
+    n = len(samples)
+    mean = sum(samples) / n
+    spread = (sum((x - mean) ** 2 for x in samples) / n) ** 0.5
+    shares = [samples.count(bytes([v])) / n for v in range(256)]
+    entropy = -sum(p * math.log2(p) for p in shares if p)
+    bins = [sum(shares[k : k + 16]) for k in range(0, 256, 16)]
+    return [mean, spread, entropy, *bins]
+
+
+def test_features_equal_brute_force():
+    rnd = random.Random(12)
+    for data in (b"", b"plain text " * 90, bytes(range(256)), rnd.randbytes(5000), "é한🙂".encode() * 40):
+        samples = media.padded(data)
+        got = [float(x) for x in re.findall(r"-?\d+\.\d+", media.feature(samples))]
+        assert len(got) == 19 and all(abs(a - b) < 1e-4 for a, b in zip(got, slow_feature(samples), strict=True))
+
+
 def test_hot_digest_is_split(spark):
     rows = [(i, "copied text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("salt", F.lit("clash")).withColumn("places", F.lit(1))
