@@ -51,17 +51,12 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _forced(raw: np.ndarray, last: int) -> int:
-    """The end of a chunk from ``last`` that no boundary ends in time: after the word with the smallest hash in reach."""
+    """The end of a chunk from ``last`` in whose reach no word ends: the place between characters with the smallest hash."""
     least, most = CHUNK_BYTES
     lo = max(0, last - 31)
     h = (gear_hashes(raw[lo : last + most]) & np.uint32(0xFFFF))[last - lo :]
-    space = _SPACE[raw[last - 1 if last else 0 : last + most]]
-    before = space[:-1] if last else np.concatenate([[True], space[:-1]])
-    usable = space[-len(h) :] & ~before[-len(h) :]
+    usable = raw[last + 1 : last + most + 1] & 0xC0 != 0x80
     usable[: least - 1] = False
-    if not usable.any():  # no word ends here: any place but inside a character
-        usable = raw[last + 1 : last + most + 1] & 0xC0 != 0x80
-        usable[: least - 1] = False
     at = np.flatnonzero(usable)
     return last + int(at[np.argmin(h[at])]) + 1
 
@@ -74,19 +69,20 @@ def boundaries(data: bytes) -> list[int]:
     raw = np.frombuffer(data, np.uint8)
     space = _SPACE[raw]
     ends = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))  # a space after a word
-    cuts = []
+    hashes = np.zeros(len(ends), np.uint16)
     bound, (least, most) = 65536 // WORDS_A_CHUNK, CHUNK_BYTES
     step = 1 << 22
     for at in range(0, n, step):  # long texts in pieces, each with the 32 bytes before it
         lo = max(0, at - 32)
         h = gear_hashes(raw[lo : at + step])[at - lo :]
-        here = ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + step)]
-        cuts.append(here[(h[here - at] & np.uint32(0xFFFF)) < bound])
+        i, j = np.searchsorted(ends, (at, at + step))
+        hashes[i:j] = h[ends[i:j] - at] & np.uint32(0xFFFF)
     out, last = [0], 0
-    for c in [*np.concatenate(cuts).tolist(), n]:
+    for c in [*ends[hashes < bound].tolist(), n]:
         end = min(c + 1, n)
-        while end - last > most:
-            last = _forced(raw, last)
+        while end - last > most:  # after the word with the smallest hash in reach
+            i, j = np.searchsorted(ends, (last + least - 1, last + most))
+            last = int(ends[i + np.argmin(hashes[i:j])]) + 1 if i < j else _forced(raw, last)
             out.append(last)
         if end - last >= least or end == n:
             if end > last:
