@@ -72,21 +72,49 @@ class Scorer:
         raise NotImplementedError
 
 
-def run_scorer(items: DataFrame, scorer: Scorer, inputs: str, key: str = "item_id") -> DataFrame:
-    """(key, score, status) by a scorer that stays loaded for a whole partition; an item whose inputs are null fails."""
+class Loader:
+    """A loader plug-in: turns rows into a scorer's inputs. ``columns`` are the item columns it reads. An input that can't be
+    made is None, with the status that says why."""
+
+    columns: tuple[str, ...] = ()
+
+    def open(self) -> None: ...
+
+    def load(self, rows: pd.DataFrame) -> tuple[pd.Series, pd.Series]:
+        """Inputs, and statuses, ok among them."""
+        raise NotImplementedError
+
+
+class ColumnLoader(Loader):
+    """The inputs as they stand in a column; null is unreadable."""
+
+    def __init__(self, column: str) -> None:
+        self.columns = (column,)
+
+    def load(self, rows: pd.DataFrame) -> tuple[pd.Series, pd.Series]:
+        inputs = rows[self.columns[0]]
+        return inputs, inputs.notna().map({True: "ok", False: "unreadable"})
+
+
+def run_scorer(items: DataFrame, scorer: Scorer, inputs: str | Loader, key: str = "item_id") -> DataFrame:
+    """(key, score, status) by a scorer, and a loader of its inputs (or the column that has them), that stay loaded for a whole
+    partition. An item whose inputs can't be made has no score and its loader's status; a loader that fails as a whole, or
+    a scorer that does, is the job's failure."""
+    loader = ColumnLoader(inputs) if isinstance(inputs, str) else inputs
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer.load()
+        loader.open()
         for b in batches:
-            there = b[inputs].notna()
-            out = pd.DataFrame({key: b[key], "score": pd.Series(None, index=b.index, dtype="float64"), "status": "unreadable"})
+            made, status = loader.load(b[list(loader.columns)])
+            out = pd.DataFrame({key: b[key], "score": pd.Series(None, index=b.index, dtype="float64"), "status": status})
+            there = status == "ok"
             if there.any():
-                out.loc[there, "score"] = scorer.score(b.loc[there, inputs]).to_numpy()
-                out.loc[there, "status"] = "ok"
+                out.loc[there, "score"] = scorer.score(made[there]).to_numpy()
             yield out
 
     kind = items.schema[key].dataType.simpleString()
-    return items.select(key, inputs).mapInPandas(work, f"{key} {kind}, score double, status string")
+    return items.select(key, *loader.columns).mapInPandas(work, f"{key} {kind}, score double, status string")
 
 
 def dummy_score(values: Column) -> Column:

@@ -285,6 +285,23 @@ def test_scorer_plugin_keeps_failures(spark):
     assert {tuple(r) for r in scoring.run_scorer(df, Half(), "x").collect()} == {("a", 0.5, "ok"), ("b", None, "unreadable")}
 
 
+def test_loader_plugin_says_why(spark):
+    class Track(scoring.Loader):
+        columns = ("samples", "rate")
+
+        def load(self, rows):
+            status = rows["samples"].map(lambda x: "no_audio" if x is None else "too_short" if len(x) < 2 else "ok")
+            return rows["samples"].where(status == "ok"), status
+
+    class Mean(scoring.Scorer):
+        def score(self, inputs):
+            return inputs.map(lambda x: float(sum(x) / len(x)))
+
+    df = spark.createDataFrame([("a", [0.25, 0.75], 8), ("b", [1.0], 8), ("c", None, 8)], "item_id string, samples array<double>, rate int")
+    got = {tuple(r) for r in scoring.run_scorer(df, Mean(), Track()).collect()}
+    assert got == {("a", 0.5, "ok"), ("b", None, "too_short"), ("c", None, "no_audio")}
+
+
 def test_globs():
     import re
 
