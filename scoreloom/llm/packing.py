@@ -285,8 +285,13 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         placed.append(swept.where("kind = 2").select("id", "sequence", "at"))
         units_left, gaps_left = swept.where("kind = 1"), swept.where("kind = 0")
         if matches:
-            small = F.broadcast(spark.createDataFrame(matches, _MATCHES))  # at most two rows for each range
-            asked = units_left.join(small, F.expr("part = u_part and rank >= first and rank < first + n"), "left")
+            small = spark.createDataFrame(matches, _MATCHES)  # at most two rows for each range
+            # one row for each range, so that the joins leave as many rows as they find
+            for_units = small.groupBy(F.col("u_part").alias("part")).agg(F.collect_list(F.struct("first", "n", "each", "g_part", "top")).alias("matches"))
+            for_gaps = small.groupBy(F.col("g_part").alias("part")).agg(F.collect_list(F.struct("top", "m")).alias("matches"))
+            own = F.filter("matches", lambda x: (F.col("rank") >= x["first"]) & (F.col("rank") < x["first"] + x["n"]))
+            asked = units_left.join(F.broadcast(for_units), "part", "left").withColumn("match", F.try_element_at(own, F.lit(1)))
+            asked = asked.select(*swept.columns, "match.*")
             slot = F.col("rank") - F.col("first")
             given = asked.where("g_part is not null").select(F.col("id").alias("unit"), F.col("size").alias("length"), "g_part", (F.col("top") - F.floor(slot / F.col("each"))).alias("g_rank"), F.pmod(slot, F.col("each")).alias("slot"))
             offers = gaps_left.where("rank is not null").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
@@ -295,9 +300,11 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             joined = cut_lineage(joined.select("unit", "sequence", "length", "gap", "upto", "last"))
             placed.append(joined.select(F.col("unit").alias("id"), "sequence", (capacity - F.col("gap") + F.col("upto") - F.col("length")).cast("int").alias("at")))
             units_left = asked.where("g_part is null").select(*swept.columns)
-            gaps_left = gaps_left.join(small, F.expr("part = g_part and rank > top - m and rank <= top"), "left_anti")
+            gaps_left = gaps_left.join(F.broadcast(for_gaps), "part", "left")
+            taken = F.exists("matches", lambda x: (F.col("rank") > x["top"] - x["m"]) & (F.col("rank") <= x["top"]))
+            gaps_left = gaps_left.where(~F.coalesce(taken, F.lit(False)))
             again = joined.where("last and upto < gap").select(F.lit(0).alias("kind"), F.col("sequence").alias("id"), (F.col("gap") - F.col("upto")).cast("int").alias("size"))
-            state = units_left.unionByName(gaps_left).select("kind", "id", "size").unionByName(again)
+            state = units_left.select("kind", "id", "size").unionByName(gaps_left.select("kind", "id", "size")).unionByName(again)
         else:
             state = units_left.unionByName(gaps_left).select("kind", "id", "size")
         got = sum(m[2] for m in matches)
