@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, media, mixing, packing, quality, sharding, simhash, toxicity, warc
+from . import chunks, licenses, media, mixing, packing, quality, sharding, simhash, tokencounts, toxicity, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -58,8 +58,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op6_warc, op7_licenses, op8_toxicity, op9_quality, op10_media)
+    every = [
+        *(op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op6_warc, op7_licenses, op8_toxicity, op9_quality),
+        *(op10_media, op11_token_counts),
+    ]
     return {f.__name__: f for f in every}
 
 
