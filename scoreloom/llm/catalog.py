@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, media, mixing, packing, quality, sharding, simhash, tokencounts, toxicity, warc
+from . import chunks, convtrie, licenses, media, mixing, packing, quality, sharding, simhash, tokencounts, toxicity, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _labels, _pages = _table("documents"), _table("labels"), _table("pages")
+_documents, _labels, _pages, _conversations = map(_table, ("documents", "labels", "pages", "conversations"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(_documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(_conversations(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         *(op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op6_warc, op7_licenses, op8_toxicity, op9_quality),
-        *(op10_media, op11_token_counts),
+        *(op10_media, op11_token_counts, op12_prefix_trie),
     ]
     return {f.__name__: f for f in every}
 
@@ -95,5 +99,33 @@ from (select page_id, h, min(page_id) over (partition by h) as m from (select pa
 """
 
 
+#: CRC-32 of a text of ASCII characters, a bit at a time; for % in a string.
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(%s, ''), lambda c: ord(c)::bigint)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+#: Every conversation carries its nodes; a node's owner is its smallest member, whose path counts what the node adds.
+_TRIE_SQL = f"""
+with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first,
+        sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as n from conversations where conv_id is not null),
+    k as (select c, c - c % 100 as base, {_CRC_SQL % "cast(c as varchar)"} % 6 as h, count(*) as size from t group by c),
+    heads as (select k.c, k.h, least(k.h, coalesce(b.size, 0)) as got from k left join k b on b.c = k.base),
+    turns as (select k.c, t.n as d, r, x from k join t on t.c = k.base and t.n <= k.h
+        union all select t.c, t.n - heads.h + heads.got, r, x from t join heads using (c) where t.n > heads.h
+        union all select c, 0, '', '' from k),
+    p as (select c, d, length(x) as size, md5(string_agg(md5(concat(strlen(r), ':', r, x)), '') over (partition by c order by d)) as key from turns),
+    q as (select *, lag(key) over (partition by c order by d) as parent, lead(key) over (partition by c order by d) is null as ends from p),
+    m as (select key, any_value(d) as depth, any_value(parent) as parent, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(size) as own,
+        sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where ends), '')) as ends_sha256 from q group by key),
+    kids as (select parent as key, count(*) as n_children from m where parent is not null group by parent),
+    n as (select m.*, coalesce(n_children, 0) as n_children from m left join kids using (key)),
+    v as (select q.key, sum(case when q.c = n.conv_id then own else 0 end) over w as saved, sum(case when q.c = n.conv_id and n_children = 0 then 1 else 0 end) over w as leaves
+        from q join n using (key) window w as (partition by q.c order by q.d desc)),
+    s as (select key, sum(saved) as saved, sum(leaves) as leaves from v group by key)
+select n.conv_id, cast(n.depth as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children, cast(leaves as bigint) as n_leaves,
+    cast(saved as bigint) as saved_tokens, n.ends_sha256
+from n join s using (key) left join m u on u.key = n.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL}
+    return {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL, "op12_prefix_trie": _TRIE_SQL}

@@ -13,13 +13,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(catalog.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 12))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 13))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in cur.description]
