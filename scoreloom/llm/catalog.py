@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, convtrie, licenses, media, mixing, packing, quality, sharding, simhash, tokencounts, toxicity, warc
+from . import chunks, convrepair, convtrie, licenses, media, mixing, packing, quality, sharding, simhash, tokencounts, toxicity, warc
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,10 +66,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie(_conversations(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(_conversations(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         *(op1_simhash, op2_sharding, op3_mixing, op4_chunks, op5_packing, op6_warc, op7_licenses, op8_toxicity, op9_quality),
-        *(op10_media, op11_token_counts, op12_prefix_trie),
+        *(op10_media, op11_token_counts, op12_prefix_trie, op13_conversation_repair),
     ]
     return {f.__name__: f for f in every}
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(catalog.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 13))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
