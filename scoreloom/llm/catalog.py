@@ -131,5 +131,43 @@ from n join s using (key) left join m u on u.key = n.parent
 """
 
 
+#: A fold from the last turn to the first; c holds the best (cost, letters, lines) from each of the four states.
+_REPAIR_SQL = rf"""
+with w as (select conv_id as c, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {_CRC_SQL % "concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' '))"} % 20 as kind from conversations),
+    d as (select c, turn, case when kind = 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+        from w where kind <> 0),
+    n as (select *, row_number() over (partition by c order by turn nulls first, role, text, copy) as i, left(role, 1) as k from d),
+    f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by c, role, text order by i) > 1 then 'duplicate'
+        when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault, lag(k) over (partition by c order by i) || k as pair from n),
+    g as (select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+        count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+        count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal,
+        list({{'c': null::struct(cost bigint, letters varchar, lines varchar[])[], 'role': role, 'text': text, 'k': k, 'gone': fault in ('blank', 'duplicate'),
+            'cut': case when fault = 'truncated' then 3 else 0 end}} order by i desc) as rows from f group by c),
+    r as (select *, list_reduce(list_prepend({{'c': [{{'cost': 0::bigint, 'letters': '', 'lines': []::varchar[]}}, {{'cost': 6, 'letters': 'II', 'lines': ['user:', 'assistant:']}},
+            {{'cost': 3, 'letters': 'I', 'lines': ['assistant:']}}, {{'cost': 0, 'letters': '', 'lines': []}}],
+            'role': '', 'text': '', 'k': '', 'gone': false, 'cut': 0}}, rows),
+        lambda a, x: {{'c': list_transform([list_transform([0, 1, 2, 3], lambda s: list_min(list_concat(
+                [{{'cost': a.c[s + 1].cost + 4, 'letters': 'D' || a.c[s + 1].letters, 'lines': a.c[s + 1].lines}}],
+                case when not x.gone then [{{'cost': a.c[case s when 2 then 4 else 3 end].cost + 3 + x.cut, 'letters': 'R' || a.c[case s when 2 then 4 else 3 end].letters,
+                    'lines': list_prepend(case s when 2 then 'assistant:' else 'user:' end || x.text, a.c[case s when 2 then 4 else 3 end].lines)}}] else [] end,
+                case when not x.gone and (x.k = case s when 2 then 'a' else 'u' end or (s = 0 and x.k = 's')) then
+                    [{{'cost': a.c[case x.k when 's' then 2 when 'u' then 3 else 4 end].cost + x.cut, 'letters': 'K' || a.c[case x.k when 's' then 2 when 'u' then 3 else 4 end].letters,
+                    'lines': list_prepend(x.role || ':' || x.text, a.c[case x.k when 's' then 2 when 'u' then 3 else 4 end].lines)}}] else [] end)))],
+            lambda b: list_transform([0, 1, 2, 3], lambda s: list_min([b[s + 1],
+                {{'cost': b[case s when 2 then 4 else 3 end].cost + 3, 'letters': 'I' || b[case s when 2 then 4 else 3 end].letters,
+                    'lines': list_prepend(case s when 2 then 'assistant:' else 'user:' end, b[case s when 2 then 4 else 3 end].lines)}},
+                {{'cost': b[case s when 2 then 3 else 4 end].cost + 6, 'letters': 'II' || b[case s when 2 then 3 else 4 end].letters,
+                    'lines': list_concat(case s when 2 then ['assistant:', 'user:'] else ['user:', 'assistant:'] end, b[case s when 2 then 3 else 4 end].lines)}}])))[1],
+            'role': '', 'text': '', 'k': '', 'gone': false, 'cut': 0}}).c[1] as best from g)
+select w.c as conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(best.cost, 0) as cost, coalesce(best.letters, '') as audit,
+    sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct c from w) w left join r on r.c is not distinct from w.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL, "op12_prefix_trie": _TRIE_SQL}
+    return {"op3_mixing": _MIXING_SQL, "op6_warc": _WARC_SQL, "op12_prefix_trie": _TRIE_SQL, "op13_conversation_repair": _REPAIR_SQL}
