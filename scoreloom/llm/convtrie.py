@@ -4,9 +4,9 @@ A turn is its role and text; a node is a distinct sequence of turns that a conve
 128-bit digests and lengths first, so no text leaves the first step. Conversations that are equal become one sequence with
 the number of its conversations, its smallest id and the hash of all ids, before tries are built.
 
-Sequences are hash-partitioned by the digest of their first turn. ``applyInPandas`` builds a trie of each partition's group:
+Sequences are hash-partitioned by the digest of their first turn. ``applyInPandas`` builds the tries of each partition:
 a dictionary of pointers for each node, filled in one walk a sequence, then summed up in postorder with a stack of its own.
-A group of more than ``GROUP_TURNS`` turns isn't built: its top node is aggregated in Spark, and its sequences are
+A first turn with more than ``GROUP_TURNS`` turns below it isn't built: its top node is aggregated in Spark, and its sequences are
 partitioned anew by their next turn, round after round, until all groups are small. The tops that were split off are summed
 up from the deepest round upwards. So a first turn that a third of all conversations have is spread over tasks by what
 follows it, and copies of one conversation are one row before any group is built.
@@ -104,11 +104,24 @@ def distinct_sequences(paths: DataFrame) -> DataFrame:
 
 
 def build(group: pd.DataFrame, level: int) -> pd.DataFrame:
-    """The nodes of one group, whose sequences share their first ``level`` turns; the first row is the node of all of these."""
-    kids: list[dict[bytes, int]] = [{}]
-    low, members, ends, size, up, depth = [None], [0], [EMPTY_HASH], [0], [-1], [level]
-    for conv_id, n, hashed, digests, sizes in zip(*(group[c] for c in ("conv_id", "n", "ends", "digests", "sizes")), strict=True):
-        size[0], at = int(sizes[level - 1]), 0
+    """The nodes of the tries of a group; the sequences of one key share their first ``level`` turns. Only a trie's top has a
+    parent_key."""
+    kids: list[dict[bytes, int]] = []
+    low, members, ends, size, up, depth, parents, parent_keys = [], [], [], [], [], [], [], []
+
+    def node(turn_size: int, above: int, place: int, parent: int | None = None, parent_key: bytes | None = None) -> int:
+        kids.append({})
+        values = (None, 0, EMPTY_HASH, turn_size, above, place, parent, parent_key)
+        for column, value in zip((low, members, ends, size, up, depth, parents, parent_keys), values, strict=True):
+            column.append(value)
+        return len(kids) - 1
+
+    tops: dict[bytes, int] = {}
+    names = ("key", "conv_id", "n", "ends", "digests", "sizes", "parent_conv_id", "parent_key")
+    for key, conv_id, n, hashed, digests, sizes, parent, parent_key in zip(*(group[c] for c in names), strict=True):
+        at = tops.get(key)
+        if at is None:
+            at = tops[key] = node(int(sizes[level - 1]), -1, level, parent, parent_key)
         for place in range(level, len(digests) + 1):
             if low[at] is None or conv_id < low[at]:
                 low[at] = conv_id
@@ -118,29 +131,26 @@ def build(group: pd.DataFrame, level: int) -> pd.DataFrame:
                 break
             child = kids[at].get(digests[place])
             if child is None:
-                child = kids[at][digests[place]] = len(kids)
-                kids.append({})
-                for column, value in ((low, None), (members, 0), (ends, EMPTY_HASH), (size, int(sizes[place])), (up, at), (depth, depth[at] + 1)):
-                    column.append(value)
+                child = kids[at][digests[place]] = node(int(sizes[place]), at, place + 1)
             at = child
     leaves, saved = [0] * len(kids), [0] * len(kids)
-    stack = [(0, iter(kids[0].values()))]
-    while stack:
-        at, rest = stack[-1]
-        child = next(rest, None)
-        if child is not None:
-            stack.append((child, iter(kids[child].values())))
-            continue
-        stack.pop()
-        leaves[at] += not kids[at]
-        saved[at] += (members[at] - 1) * size[at]
-        if at:
-            leaves[up[at]] += leaves[at]
-            saved[up[at]] += saved[at]
-    parents = [group["parent_conv_id"].iloc[0], *(low[p] for p in up[1:])]
-    columns = (low, depth, parents, members, [len(k) for k in kids], leaves, saved, ends)
-    out = pd.DataFrame(dict(zip((c.split()[0] for c in _NODE.split(", ")), columns, strict=True)))
-    return out.assign(parent_key=[group["parent_key"].iloc[0], *[None] * (len(kids) - 1)])
+    for top in tops.values():
+        stack = [(top, iter(kids[top].values()))]
+        while stack:
+            at, rest = stack[-1]
+            child = next(rest, None)
+            if child is not None:
+                stack.append((child, iter(kids[child].values())))
+                continue
+            stack.pop()
+            leaves[at] += not kids[at]
+            saved[at] += (members[at] - 1) * size[at]
+            if up[at] >= 0:
+                leaves[up[at]] += leaves[at]
+                saved[up[at]] += saved[at]
+    above = [low[p] if p >= 0 else parent for p, parent in zip(up, parents, strict=True)]
+    columns = (low, depth, above, members, [len(k) for k in kids], leaves, saved, ends)
+    return pd.DataFrame(dict(zip((c.split()[0] for c in _NODE.split(", ")), columns, strict=True))).assign(parent_key=parent_keys)
 
 
 def _builder(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -170,10 +180,12 @@ def nodes(paths: DataFrame, group_turns: int = GROUP_TURNS) -> DataFrame:
         large = _tops(rows, level)
         large = written(large if level == 0 else large.where(F.col("turns") > group_turns), "trie")
         if level:
-            small = rows.join(large, "key", "left_anti")
+            # many small groups share a task's frame, of some GROUP_TURNS turns in all
+            turns = rows.agg(F.sum(F.size("path") - level + 1)).first()[0] or 0
+            bucket = F.pmod(F.xxhash64("key"), F.lit(1 + 4 * turns // group_turns)).alias("bucket")
             digests, sizes = F.col("path.digest").alias("digests"), F.col("path.size").alias("sizes")
-            small = small.select("key", "parent_key", "parent_conv_id", "conv_id", "n", "ends", digests, sizes)
-            built.append(written(small.groupBy("key").applyInPandas(_builder(level), f"{_NODE}, parent_key binary"), "trie"))
+            small = rows.join(large, "key", "left_anti").select(bucket, "key", "parent_key", "parent_conv_id", "conv_id", "n", "ends", digests, sizes)
+            built.append(written(small.groupBy("bucket").applyInPandas(_builder(level), f"{_NODE}, parent_key binary"), "trie"))
         if large.isEmpty():
             break
         tops.append(large.drop("turns"))
