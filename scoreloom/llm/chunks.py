@@ -3,15 +3,18 @@
 A gear hash rolls over the bytes (h = 2 h + GEAR[byte], modulo 2^32; the low half that is used depends on the last 16
 bytes). A chunk ends after a word where that half falls below a bound, about every ``WORDS_A_CHUNK`` words; where none does
 within the longest chunk, it ends after the word with the smallest hash there, or inside a word where there is no space.
-So an insertion moves boundaries only near itself. Chunks are compared by 128-bit digest over the whole corpus; a chunk is
-a repeat if a document before has it. Successive repeats make a span; spans of at least ``MIN_WORDS`` words in whole
-chunks are reported or removed, which a passage of over 50 words yields wherever it stands, and a stray common line
+So an insertion moves boundaries only near itself.
+
+What is compared over the whole corpus, by 128-bit digest, are runs of chunks: from each chunk on, as many as have
+``MIN_WORDS`` words. A run is a repeat if a document before has it, in one piece; the first such document is its source.
+So short phrases that many documents have never add up to a passage that none has. Repeated runs that go on in the same
+place of the same source make a span. A passage of over 50 words yields one wherever it stands; a stray common line
 doesn't. The first document keeps its text.
 
-Documents are ordered by id, then, where several texts share an id, by the texts' hash; each such text is a document of
-its own. Nulls and odd cases: a null or empty text has no chunks; rows that repeat id and text are one document, reported
-once and cut alike; rows without an id come after all others: they repeat what rows with an id have, never each other, and
-are never cut; other columns are carried along untouched, whatever their names; an empty table gives an empty result.
+Documents are ordered by id, those without one last, and where several texts share an id or lack one, by the texts' hash;
+each such text is a document of its own. Nulls and odd cases: a null or empty text has no chunks; rows that repeat id and
+text are one document, reported once and cut alike; 64 KiB without a new run's words end a passage; other columns are
+carried along untouched, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, cut_lineage, map_batches, sliced
+from .shared import WHITE_SPACE, cut_lineage, map_batches, sliced, written
 
 WORDS_A_CHUNK = 5
 #: Bytes of a chunk: no boundary before the first bound, and one after the second whatever the hash says.
 CHUNK_BYTES = (12, 128)
 MIN_WORDS = 16
+#: Bytes of a run, fewer than that.
+_LONGEST = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE_SPACE)] = True
 
@@ -91,85 +96,92 @@ def boundaries(data: bytes) -> list[int]:
     return out
 
 
-def _pack(start: int, size: int, words: int) -> int:
-    return (start << 16) | (size << 8) | words
-
-
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, hi, lo, place) for each chunk: the document's id and its text's hash, the chunk's digest in two halves; place
-    holds start, bytes and words."""
+def runs_of_chunks(data: bytes, min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The digest of each run of chunks of at least ``min_words`` words; its place (start, bytes, words); the words before it."""
+    at = np.array(boundaries(data), np.int64)
+    if len(at) < 2:
+        return [], at[:0], at[:0]
+    letter = ~_SPACE[np.frombuffer(data, np.uint8)]
+    begins = np.cumsum(letter & ~np.concatenate([[False], letter[:-1]]), dtype=np.int32)
+    words = begins[at[1:] - 1] - begins[at[:-1]] + letter[at[:-1]]  # a word that a chunk cuts counts on both sides
+    before = np.concatenate([[0], np.cumsum(words)])
+    first = np.flatnonzero(words)
+    last = np.searchsorted(before, before[first] + min_words)
+    first, last = first[last < len(at)], last[last < len(at)]
+    size = at[last] - at[first]
+    first, last, size = (x[size < _LONGEST] for x in (first, last, size))
+    start = at[first]
+    digests = [xxhash.xxh3_128_digest(data[i : i + n]) for i, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return digests, start << 26 | size << 10 | before[last] - before[first], before[first]
+
+
+def run_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, th, hi, lo, place, word) for each run of chunks: the document's id and its text's hash, the run's digest in two
+    halves; place holds start, bytes and words; word is the number of words before it."""
+    if not 0 < min_words < 900:
+        raise ValueError("min_words must be from 1 to 899")
     docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    names = ["hi", "lo", "place"]
+    names = ["hi", "lo", "place", "word"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for b in sliced(batches, 1024):
-            texts, digests, places, sizes = b.column(2).to_pylist(), [], [], []
-            for text in texts:
-                data = (text or "").encode("utf-8", "surrogatepass")
-                at = boundaries(data)
-                parts = [data[i:j] for i, j in zip(at, at[1:], strict=False)]
-                digests += map(digest, parts)
-                places += [_pack(i, len(p), len(p.split())) for i, p in zip(at, parts, strict=False)]
-                sizes.append(len(parts))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            values = (halves[:, 0], halves[:, 1], np.array(places, np.int64))
-            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in values)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc", "th", *names])
+            found = [runs_of_chunks((t or "").encode("utf-8", "surrogatepass"), min_words) for t in b.column(2).to_pylist()]
+            sizes = [len(d) for d, _, _ in found]
+            halves = np.frombuffer(b"".join(x for d, _, _ in found for x in d), ">i8").reshape(-1, 2).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            places, words = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+            columns = (halves[:, 0], halves[:, 1], places, words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *map(pa.array, columns)], ["doc", "th", *names])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    lists = map_batches(docs, work, f"doc {kind}, th long, hi array<long>, lo array<long>, place array<long>")
-    chunks = lists.select("doc", "th", F.explode(F.arrays_zip(*names)).alias("c"))
-    return chunks.select("doc", "th", *(F.col(f"c.{n}").alias(n) for n in names))
+    return map_batches(docs, work, f"doc {kind}, th long, hi long, lo long, place long, word long")
 
 
 def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, th, span_start, span_end, n_words, n_chunks, source_doc_id) for each repeated span."""
-    rows, digest = chunk_rows(docs, id_col, text_col), ["hi", "lo"]
-    # the extremes of a hash of the document tell whether two have the chunk; they combine before the shuffle
-    key = F.xxhash64("doc", "th")
-    first = rows.groupBy(*digest).agg(F.min("doc").alias("source"), F.min(key).alias("one"), F.max(key).alias("other"))
-    first = cut_lineage(first.where("one <> other and source is not null").select(*digest, "source"))
-    joined = rows.join(first, digest)
-    found = joined.where(~F.col("doc").eqNullSafe(F.col("source")))
-    # where several texts have the first id, the smallest hash is first
-    texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc"))
-    texts = texts.agg(F.min(F.xxhash64(text_col)).alias("one"), F.max(F.xxhash64(text_col)).alias("other"))
-    shared = cut_lineage(texts.where("one <> other").select("doc"))
-    if not shared.isEmpty():
-        tied = cut_lineage(joined.where("doc = source").join(shared, "doc", "left_semi"))
-        head = tied.groupBy(*digest).agg(F.min("th").alias("head"))
-        found = found.unionByName(tied.join(head, digest).where("th <> head").drop("head"))
-    start, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    words = F.col("place").bitwiseAND(255).alias("words")
-    found = found.select("doc", "th", start.alias("start"), (start + size).alias("end"), words, "source")
-    found = found.distinct()  # rows that repeat id and text
-    w = Window.partitionBy("doc", "th").orderBy("start", "end")
-    new = F.coalesce(F.lag("end").over(w) < F.col("start"), F.lit(True)).cast("int")
-    runs = found.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    head = F.min(F.struct("start", "source")).alias("head")
-    counts = (F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"))
-    spans = runs.groupBy("doc", "th", "run").agg(head, *counts).where(F.col("n_words") >= min_words)
-    heads = (F.col("head.start").alias("span_start"), F.col("head.source").alias("source_doc_id"))
-    return spans.select("doc", "th", heads[0], "span_end", "n_words", "n_chunks", heads[1])
+    """(doc, th, span_start, span_end, n_words, source_doc_id, source_start) for each repeated span."""
+    rows, digest = written(run_rows(docs, id_col, text_col, min_words), "chunks"), ["hi", "lo"]
+    start, size, words = F.shiftright("place", 26), F.shiftright("place", 10).bitwiseAND(65535), F.col("place").bitwiseAND(1023)
+    # the extremes of a hash of the document tell whether two have the run; all combine before the shuffle
+    key, order = F.xxhash64("doc", "th"), F.struct(F.col("doc").isNull(), F.col("doc").alias("doc"), F.col("th").alias("th"), start.alias("start"))
+    first = rows.groupBy(*digest).agg(F.min(order).alias("s"), F.min(key).alias("one"), F.max(key).alias("other"))
+    heads = (F.col("s.doc").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.start").alias("s_start"))
+    first = cut_lineage(first.where("one <> other").select(*digest, *heads))
+    found = rows.join(first, digest).where(~(F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th"))))
+    last = F.col("word") + words
+    found = found.select("doc", "th", start.alias("start"), (start + size).alias("end"), "word", last.alias("last"), "s_doc", "s_th", "s_start").distinct()
+    # a span goes on where its runs overlap and stand as far apart in the same source
+    same = Window.partitionBy("doc", "th", "s_doc", "s_th", F.col("start") - F.col("s_start")).orderBy("start")
+    new = F.coalesce(F.lag("end").over(same) < F.col("start"), F.lit(True)).cast("int")
+    spans = found.withColumn("new", new).withColumn("span", F.sum("new").over(same))
+    spans = spans.groupBy("doc", "th", "s_doc", "s_th", (F.col("start") - F.col("s_start")).alias("shift"), "span").agg(
+        F.min("start").alias("span_start"), F.max("end").alias("span_end"), (F.max("last") - F.min("word")).alias("n_words"), F.min("s_start").alias("source_start")
+    )
+    return spans.select("doc", "th", "span_start", "span_end", "n_words", F.col("s_doc").alias("source_doc_id"), "source_start")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, span_start, span_end, n_words, n_chunks, source_doc_id): bytes of the text that documents before it have, and
-    the id of the first document that has the span's first chunk."""
+    """(doc_id, span_start, span_end, n_words, source_doc_id, source_start): bytes of the text that one document before it
+    has, word for word from source_start on. Spans with other sources may overlap."""
     return _repeated(docs, id_col, text_col, min_words).withColumnRenamed("doc", "doc_id").drop("th")
 
 
+def _cuts(spans: DataFrame) -> DataFrame:
+    """(doc, th, cuts): the spans of each document, joined where they overlap, in order."""
+    order = Window.partitionBy("doc", "th").orderBy("span_start", "span_end")
+    reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(reach < F.col("span_start"), F.lit(True)).cast("int")
+    parts = spans.withColumn("new", new).withColumn("cut", F.sum("new").over(order)).groupBy("doc", "th", "cut")
+    parts = parts.agg(F.struct(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).alias("span"))
+    return cut_lineage(parts.groupBy("doc", "th").agg(F.sort_array(F.collect_list("span")).alias("cuts")))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of the texts (and ``length_col`` counted anew); documents that keep no word
-    go. A row without an id is never cut."""
-    spans = _repeated(docs, id_col, text_col, min_words).where("doc is not null")
-    cuts = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
-    cuts = cut_lineage(cuts)
+    go."""
+    cuts = _cuts(_repeated(docs, id_col, text_col, min_words)).withColumnsRenamed({"doc": "c_doc", "th": "c_th"})
     # the input's columns travel in one struct, so that no name of theirs can clash
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"))
-    rows = packed.join(cuts, ["doc", "th"], "left")
+    rows = packed.join(cuts, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left")
     text = F.col("row")[text_col]
     data = text.cast("binary")
     # what stands before each span, then what follows the last one
