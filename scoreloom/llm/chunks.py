@@ -139,14 +139,17 @@ def run_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
 
 def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc, th, span_start, span_end, n_words, source_doc_id, source_start) for each repeated span."""
-    rows, digest = written(run_rows(docs, id_col, text_col, min_words), "chunks"), ["hi", "lo"]
+    rows, digest = run_rows(docs, id_col, text_col, min_words), ["hi", "lo"]
     start, size, words = F.shiftright("place", 26), F.shiftright("place", 10).bitwiseAND(65535), F.col("place").bitwiseAND(1023)
-    # the extremes of a hash of the document tell whether two have the run; all combine before the shuffle
-    key, order = F.xxhash64("doc", "th"), F.struct(F.col("doc").isNull(), F.col("doc").alias("doc"), F.col("th").alias("th"), start.alias("start"))
-    first = rows.groupBy(*digest).agg(F.min(order).alias("s"), F.min(key).alias("one"), F.max(key).alias("other"))
-    heads = (F.col("s.doc").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.start").alias("s_start"))
-    first = cut_lineage(first.where("one <> other").select(*digest, *heads))
-    found = rows.join(first, digest).where(~(F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th"))))
+    # the extremes of a hash of the document tell whether two have the run; they combine before the shuffle
+    key = F.xxhash64("doc", "th")
+    shared = rows.groupBy(*digest).agg(F.min(key).alias("one"), F.max(key).alias("other"))
+    shared = cut_lineage(shared.where("one <> other").select(*digest))
+    again = written(rows.join(shared, digest), "chunks")
+    order = F.struct(F.col("doc").isNull(), F.col("doc").alias("doc"), F.col("th").alias("th"), start.alias("start"))
+    first = again.groupBy(*digest).agg(F.min(order).alias("s"))
+    first = first.select(*digest, F.col("s.doc").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.start").alias("s_start"))
+    found = again.join(first, digest).where(~(F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th"))))
     last = F.col("word") + words
     found = found.select("doc", "th", start.alias("start"), (start + size).alias("end"), "word", last.alias("last"), "s_doc", "s_th", "s_start").distinct()
     # a span goes on where its runs overlap and stand as far apart in the same source
