@@ -148,7 +148,7 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     again = written(rows.join(shared, digest), "chunks")
     order = F.struct(F.col("doc").isNull(), F.col("doc").alias("doc"), F.col("th").alias("th"), start.alias("start"))
     first = again.groupBy(*digest).agg(F.min(order).alias("s"))
-    first = first.select(*digest, F.col("s.doc").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.start").alias("s_start"))
+    first = cut_lineage(first).select(*digest, F.col("s.doc").alias("s_doc"), F.col("s.th").alias("s_th"), F.col("s.start").alias("s_start"))
     found = again.join(first, digest).where(~(F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th"))))
     last = F.col("word") + words
     found = found.select("doc", "th", start.alias("start"), (start + size).alias("end"), "word", last.alias("last"), "s_doc", "s_th", "s_start").distinct()
