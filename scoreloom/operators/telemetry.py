@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def timing(rows: DataFrame, seconds: str, by: list[str], digits: int = 2) -> DataFrame:
     """(by, mean, p50, p95) in milliseconds, exact percentiles with linear interpolation, null without values."""
     ms = F.col(seconds) * 1000
-    return rows.groupBy(*by).agg(F.bround(F.avg(ms), digits).alias("mean"), F.bround(F.percentile(ms, 0.5), digits).alias("p50"), F.bround(F.percentile(ms, 0.95), digits).alias("p95"))
+    means = rows.groupBy(*by).agg(F.bround(F.avg(ms), digits).alias("mean"))
+    found = exact_quantiles(rows, by, ms, {"p50": 0.5, "p95": 0.95})
+    return _beside(means, found, by).select(*by, "mean", *(F.bround(c, digits).alias(c) for c in ("p50", "p95")))
+
+
+def _beside(groups: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """``groups`` with the columns of ``found``, null keys being equal."""
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & groups[c].eqNullSafe(found[f"_{c}"])
+    return groups.join(found, same, "left").drop(*(f"_{c}" for c in by))
 
 
 def _micros(c: Column) -> Column:
@@ -97,7 +110,9 @@ def parity(pairs: DataFrame, tolerance: float, a: str = "adapter", b: str = "ref
 def profile(rows: DataFrame, by: str, seconds: str, units: str) -> DataFrame:
     """(by, median_ms, median_ms_per_unit, mean_units)."""
     ms = F.col(seconds) * 1000
-    return rows.groupBy(by).agg(F.percentile(ms, 0.5).alias("median_ms"), F.percentile(F.try_divide(ms, F.col(units)), 0.5).alias("median_ms_per_unit"), F.avg(units).alias("mean_units"))
+    out = _beside(rows.groupBy(by).agg(F.avg(units).alias("mean_units")), exact_quantiles(rows, [by], ms, {"median_ms": 0.5}), [by])
+    out = _beside(out, exact_quantiles(rows, [by], F.try_divide(ms, F.col(units)), {"median_ms_per_unit": 0.5}), [by])
+    return out.select(by, "median_ms", "median_ms_per_unit", "mean_units")
 
 
 def estimate_seconds(modality: Column, items: Column, windows: Column, ms_per_unit: Column, ms_per_item: Column) -> Column:
