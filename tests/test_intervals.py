@@ -60,3 +60,43 @@ def test_replicates_equal_pair_by_pair(spark, monkeypatch, block):
     areas = [v[0] for (g, _), v in expect.items() if g == "a"]
     assert (ends["a"].auc_lo, ends["a"].auc_hi) == pytest.approx(tuple(np.quantile(areas, [0.025, 0.975])))
     assert intervals.intervals(df.limit(0), "g", 5).count() == 0
+
+
+def slow_metrics(y, s, w):
+    """Average precision and rates within 1 % and 30 % of the reals, threshold by threshold."""
+    p, n = sum(k for k, f in zip(w, y, strict=True) if f), sum(k for k, f in zip(w, y, strict=True) if not f)
+    if not p or not n:
+        return None
+    ap, best, last = 0.0, {0.01: 0.0, 0.3: 0.0}, 0
+    for t in sorted(set(s), reverse=True):
+        tp, fp = (sum(k for k, f, v in zip(w, y, s, strict=True) if f == c and v >= t) for c in (True, False))
+        ap += (tp - last) / p * (tp / (tp + fp) if tp + fp else 0)
+        last = tp
+        best = {k: max(v, tp / p) if fp / n <= k else v for k, v in best.items()}
+    return ap, *best.values()
+
+
+@pytest.mark.parametrize("scores", ["constant", "two", "many"])
+@pytest.mark.parametrize("range_rows", [4, 1 << 16])
+def test_any_metric_and_tied_scores(spark, monkeypatch, scores, range_rows):
+    """A constant scorer, one of zeros and ones, and one of few ties, in many ranges and in few."""
+    monkeypatch.setattr(intervals, "RANGE_ROWS", range_rows)
+    rnd = np.random.default_rng(5)
+    draw = {"constant": lambda: 0.25, "two": lambda: float(rnd.integers(0, 2)), "many": lambda: float(rnd.integers(0, 40)) / 8}[scores]
+    rows = [(f"i/{i}", "ab"[i % 5 == 0], "fake" if rnd.random() < 0.6 else "real", draw(), "ok") for i in range(120)]
+    df = spark.createDataFrame(rows, "item_id string, g string, label string, score double, status string").repartition(4)
+    metrics = {"ap": intervals.METRICS["ap"], "t01": intervals.tpr_within(0.01), "t30": intervals.tpr_within(0.3), "auc": intervals.METRICS["auc"], "eer": intervals.METRICS["eer"]}
+    got = {(r.grp, r.r): tuple(r)[2:] for r in intervals.metric_values(df, "g", metrics, 12).collect()}
+    fixed = {(r.grp, r.r): (r.auc, r.eer) for r in intervals.replicate_values(df, "g", 12).collect()}
+    start = {r.item_id: r.x for r in df.select("item_id", intervals.start("item_id").alias("x")).collect()}
+    for name in "ab":
+        own = [r for r in rows if r[1] == name]
+        w = intervals.weights(np.array([start[r[0]] for r in own]), np.arange(12)).astype(int)
+        y, s = [r[2] == "fake" for r in own], [r[3] for r in own]
+        for k in range(12):
+            assert got[name, k] == pytest.approx((*slow_metrics(y, s, w[:, k]), *slow_values(y, s, w[:, k])))
+            assert fixed[name, k] == pytest.approx(slow_values(y, s, w[:, k]))
+    parts = intervals._segments(df, "g", 2, "item_id")[0].groupBy("part").count().agg({"count": "max"}).first()[0]
+    assert range_rows > 4 or parts < 40  # even a constant score is spread over ranges
+    ends = intervals.metric_intervals(df, "g", {"ap": metrics["ap"]}, 12).collect()
+    assert {r.grp for r in ends} == {"a", "b"} and all(r.ap_lo <= r.ap_hi for r in ends)
