@@ -22,7 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -238,7 +238,10 @@ def _swept(state: DataFrame, ranges: int, capacity: int) -> DataFrame:
 
 
 # --- between ranges -----------------------------------------------------------------------------------------------
-def carried(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
+Match = tuple[int, int, int, int, int, int, int]
+
+
+def carried(parts: list[tuple[int, int, int, int, int]]) -> list[Match]:
     """``parts(part, pieces left, largest of them, gaps offered, smallest of them)`` in order, to matches (part, first rank,
     pieces, pieces a gap, part of the gaps, rank of the first gap, gaps); the gaps' ranks go down from there. A piece is
     offered the gaps of all ranges before, the nearest first, as a stack holds them."""
@@ -261,7 +264,34 @@ def carried(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int,
     return found
 
 
-_MATCHES = "u_part int, first long, n long, each long, g_part int, top long, m long"
+def _matched(swept: DataFrame, matches: list[Match]) -> DataFrame:
+    """``swept`` with what the matches, two a range at most, give each row: of a piece the range and the rank of its gap and
+    its slot there, of a gap whether it is taken."""
+    by_unit, by_gap = ({p: np.array(list(ms)) for p, ms in groupby(sorted(matches, key=lambda m: (m[k], m[1])), key=lambda m: m[k])} for k in (0, 4))  # noqa: B023
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, part = (b.column(k).to_numpy() for k in (0, 3))
+            ranked = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            rank = b.column(4).fill_null(-1).to_numpy()
+            to, g_rank, slot, taken = np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
+            for p in np.unique(part).tolist():
+                if p in by_unit:
+                    rows = np.flatnonzero((part == p) & (kind == 1))
+                    own = by_unit[p]
+                    at = np.searchsorted(own[:, 1], rank[rows], side="right") - 1
+                    inside = (at >= 0) & (rank[rows] < own[at, 1] + own[at, 2])
+                    rows, own = rows[inside], own[at[inside]]
+                    place = rank[rows] - own[:, 1]
+                    to[rows], g_rank[rows], slot[rows] = own[:, 4], own[:, 5] - place // own[:, 3], place % own[:, 3]
+                if p in by_gap:
+                    rows = np.flatnonzero((part == p) & (kind == 0) & ranked)
+                    for _, _, _, _, _, top, m in by_gap[p].tolist():
+                        taken[rows] |= (rank[rows] > top - m) & (rank[rows] <= top)
+            extra = [pa.array(to, pa.int32(), mask=to < 0), pa.array(g_rank), pa.array(slot), pa.array(taken)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "g_part", "g_rank", "slot", "taken"])
+
+    return map_batches(swept, work, f"{_SWEPT}, g_part int, g_rank long, slot long, taken boolean")
 
 
 def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -283,30 +313,18 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         of = {p: (stats.get((p, 1, True), none), stats.get((p, 0, True), none)) for p in parts}
         matches = carried([(p, u["count"], u["max"], g["count"], g["min"]) for p, (u, g) in of.items()])
         placed.append(swept.where("kind = 2").select("id", "sequence", "at"))
-        units_left, gaps_left = swept.where("kind = 1"), swept.where("kind = 0")
         if matches:
-            small = spark.createDataFrame(matches, _MATCHES)  # at most two rows for each range
-            # one row for each range, so that the joins leave as many rows as they find
-            for_units = small.groupBy(F.col("u_part").alias("part")).agg(F.collect_list(F.struct("first", "n", "each", "g_part", "top")).alias("matches"))
-            for_gaps = small.groupBy(F.col("g_part").alias("part")).agg(F.collect_list(F.struct("top", "m")).alias("matches"))
-            own = F.filter("matches", lambda x: (F.col("rank") >= x["first"]) & (F.col("rank") < x["first"] + x["n"]))
-            asked = units_left.join(F.broadcast(for_units), "part", "left").withColumn("match", F.try_element_at(own, F.lit(1)))
-            asked = asked.select(*swept.columns, "match.*")
-            slot = F.col("rank") - F.col("first")
-            given = asked.where("g_part is not null").select(F.col("id").alias("unit"), F.col("size").alias("length"), "g_part", (F.col("top") - F.floor(slot / F.col("each"))).alias("g_rank"), F.pmod(slot, F.col("each")).alias("slot"))
-            offers = gaps_left.where("rank is not null").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
+            asked = cut_lineage(_matched(swept.where("kind <> 2"), matches))
+            given = asked.where("g_part is not null").select(F.col("id").alias("unit"), F.col("size").alias("length"), "g_part", "g_rank", "slot")
+            offers = asked.where("taken").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
             along = Window.partitionBy("g_part", "g_rank").orderBy("slot")  # as many pieces as fit in one gap
             joined = given.join(offers, ["g_part", "g_rank"]).withColumn("upto", F.sum("length").over(along)).withColumn("last", F.lead("unit").over(along).isNull())
             joined = cut_lineage(joined.select("unit", "sequence", "length", "gap", "upto", "last"))
             placed.append(joined.select(F.col("unit").alias("id"), "sequence", (capacity - F.col("gap") + F.col("upto") - F.col("length")).cast("int").alias("at")))
-            units_left = asked.where("g_part is null").select(*swept.columns)
-            gaps_left = gaps_left.join(F.broadcast(for_gaps), "part", "left")
-            taken = F.exists("matches", lambda x: (F.col("rank") > x["top"] - x["m"]) & (F.col("rank") <= x["top"]))
-            gaps_left = gaps_left.where(~F.coalesce(taken, F.lit(False)))
             again = joined.where("last and upto < gap").select(F.lit(0).alias("kind"), F.col("sequence").alias("id"), (F.col("gap") - F.col("upto")).cast("int").alias("size"))
-            state = units_left.select("kind", "id", "size").unionByName(gaps_left.select("kind", "id", "size")).unionByName(again)
+            state = asked.where("g_part is null and not taken").select("kind", "id", "size").unionByName(again)
         else:
-            state = units_left.unionByName(gaps_left).select("kind", "id", "size")
+            state = swept.where("kind <> 2").select("kind", "id", "size")
         got = sum(m[2] for m in matches)
         largest_gap = max((r["max"] for (_, kind, _), r in stats.items() if kind == 0), default=0)
         room = sum(r["sum"] for (_, kind, _), r in stats.items() if kind == 0)
