@@ -10,7 +10,8 @@ field is fitted anew. So sequences that change labels are learnt from.
 
 Learnt from are only documents outside the held-out fold (crc32 of the id as text, modulo 5, is not 0) that pass the base
 rules, at most ``FIT_ROWS`` of them, and of these, in the order of a hash of the id, as many as have ``FIT_LINES`` lines
-together; long ones are cut into pieces of ``PIECE`` lines for the fit. Without labels of both classes ``PRIOR`` is used.
+together. A document of more than ``FIT_DOC_LINES`` lines gives that many successive ones, from a place that its text's hash
+picks, so that no single document fills the sample. They are cut into pieces of ``PIECE`` lines. Without labels of both classes ``PRIOR`` is used.
 
 Nulls and odd cases: a null text has no words and fails the base rules, as does one of fewer than 20 words; a null id is
 kept; repeated rows each get a row; other columns are ignored; an empty table gives an empty result.
@@ -18,6 +19,7 @@ kept; repeated rows each get a row; other columns are ignored; an empty table gi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .shared import WHITE_SPACE, cut_lineage, map_batches, sliced
 
-#: The bounds on documents and lines that the field is fitted on; lines of a piece.
+#: The bounds on documents and lines that the field is fitted on, and on lines of one document; lines of a piece.
 FIT_ROWS = 4_000
 FIT_LINES = 200_000
+FIT_DOC_LINES = 2_000
 PIECE = 64
 CONTENT_SHARE = 0.5
 #: Pieces of a gradient step, passes over all pieces of one fit, and how often lines are decoded and fitted anew.
@@ -181,9 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
         for b in sliced(batches, 1024):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
             lines = [[] if base_failed(t.split()) else _content_lines(t) for t in texts]  # the base rules decide on those
-            feats = [line_features(x).astype("<f8").tobytes() for x in lines]
-            words = [np.array([len(line.split()) for line in x], "<f8").tobytes() for x in lines]
-            columns = [b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in (feats, words)), pa.array([len(x) for x in lines], pa.int64())]
+            # features look at the whole document; then the lines that are learnt from are picked
+            starts = [zlib.crc32(t) % max(1, len(x) - FIT_DOC_LINES + 1) for t, x in zip(texts, lines, strict=True)]
+            some = [slice(at, at + FIT_DOC_LINES) for at in starts]
+            feats = [line_features(x)[part].astype("<f8").tobytes() for x, part in zip(lines, some, strict=True)]
+            words = [np.array([len(line.split()) for line in x[part]], "<f8").tobytes() for x, part in zip(lines, some, strict=True)]
+            sizes = pa.array([len(w) // 8 for w in words], pa.int64())
+            columns = [b.column(0), b.column(1), *(pa.array(c, pa.binary()) for c in (feats, words)), sizes]
             yield pa.RecordBatch.from_arrays(columns, ["id", "good", "lines", "words", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()

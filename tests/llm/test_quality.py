@@ -120,6 +120,19 @@ def test_long_documents_are_learnt_from(spark):
     assert all(r.kept == bool(r.doc_id % 2) for r in quality.rate(docs, labels).collect())
 
 
+def test_a_giant_document_does_not_end_the_sample(spark, monkeypatch):
+    """Each labelled document in turn has more lines than the whole sample may have; the field is learnt all the same."""
+    monkeypatch.setattr(quality, "FIT_LINES", 900)
+    monkeypatch.setattr(quality, "FIT_DOC_LINES", 30)
+    rows = corpus()[:60]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    giant = "\n".join(f"plain words of line {i} in a very long book" for i in range(1_500))
+    for big in (0, 17, 41):
+        docs = spark.createDataFrame([(i, giant if rows[big][0] == i else t) for i, t, _ in rows], "doc_id long, text string")
+        w, moves = quality.train(docs, labels)
+        assert w is not quality.PRIOR[0] and moves is not quality.PRIOR[1]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (None, "w " * 50), (2, "x" * 200_000), (3, "\n".join(f"a line with several plain words {i} here" for i in range(30_000))), (4, "dup"), (4, "dup")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash")).withColumn("quality", F.lit(0))
