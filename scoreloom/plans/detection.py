@@ -167,6 +167,12 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(intervals.intervals(joined(spark, d), "g_segment").withColumnRenamed("grp", "g_segment"))
 
 
+def metric_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of average precision and of the rates within 1 and 5 % of the reals, of each language, from 1,000 replicates."""
+    wanted = {name: intervals.METRICS[name] for name in ("ap", "tpr_at_fpr01", "tpr_at_fpr05")}
+    return rounded(intervals.metric_intervals(t.doc_items(spark, d), "language", wanted).withColumnRenamed("grp", "language"))
+
+
 def _group_sql(source: str, group: str, *views: str, **more: str) -> str:
     ok = "status = 'ok' and score is not null"
     y = "case when label = 'fake' then 1 else 0 end as y, score as s"
@@ -294,6 +300,17 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             **interval_sql("select coalesce(g_segment, '<null>') as grp, item_id, case when label = 'fake' then 1 else 0 end as y, score as s from joined where status = 'ok' and score is not null"),
         ),
     ),
+    "metric_intervals": (
+        metric_intervals,
+        with_views(
+            """select grp as language, round(quantile_cont(ap, 0.025), 6) ap_lo, round(quantile_cont(ap, 0.975), 6) ap_hi, round(quantile_cont(t01, 0.025), 6) tpr_at_fpr01_lo,
+                round(quantile_cont(t01, 0.975), 6) tpr_at_fpr01_hi, round(quantile_cont(t05, 0.025), 6) tpr_at_fpr05_lo, round(quantile_cont(t05, 0.975), 6) tpr_at_fpr05_hi from m_vals group by grp""",
+            "doc_items",
+            **interval_sql("select coalesce(language, '<null>') as grp, item_id, case when label = 'fake' then 1 else 0 end as y, score as s from doc_items where status = 'ok' and score is not null"),
+            m_vals="""select grp, r, sum(dtp / P * tps / (tps + fps)) as ap, coalesce(max(tps / P) filter (fps / N <= 0.01), 0) as t01, coalesce(max(tps / P) filter (fps / N <= 0.05), 0) as t05
+                from i_cum where P > 0 and N > 0 group by all""",
+        ),
+    ),
     "bootstrap_exact": (bootstrap_exact, None),
     "feature_join": (feature_join, with_views("select item_id, label, chars, breaks, octets from doc_items left join f using (item_id)", "doc_items", f=_FEATURES_SQL)),
     "feature_auc": (

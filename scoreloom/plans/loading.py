@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frames, loading, telemetry
+from ..operators import frames, loading, scoring, telemetry
+from ..operators.settle import shared
 from ..sources import tables as t
-from ..sources.tables import with_views
+from ..sources.cache import DetectionCache
+from ..sources.parts import PartLog
+from ..sources.tables import crc_sql, with_views
 from .detection import Query, rounded
 
 
@@ -65,6 +70,28 @@ def sampler_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(telemetry.sampler_stats(s))
 
 
+def score_log(spark: SparkSession, d: str) -> DataFrame:
+    """Scores appended by two writers, of which the second has some of the first one's items again, then read and compacted."""
+    scores = scoring.score_parts(t.order_windows(spark, d))
+    log = PartLog(spark, f"{shared(spark)}/scores-{uuid.uuid4().hex}")
+    log.append(scores.where(F.crc32("item_id") % 3 != 0))
+    log.append(scores.where(F.crc32("item_id") % 3 != 1).withColumn("load_s", F.lit(-1.0)))
+    before = log.version()
+    log.compact()
+    return rounded(log.read(before).withColumn("late", F.col("load_s") < 0).select("item_id", "score", "n_windows", "status", "late"), 9)
+
+
+def cache_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of items that a first run left, found on restart, and flushed; what the cache then has of each item."""
+    found = t.conv_frames(spark, d)
+    tag = uuid.uuid4().hex
+    cache = DetectionCache(spark, f"detections_{tag}", f"{shared(spark)}/detections-{tag}", "item_id string, frame_index long, box double, run int", {"detector": "lengths", "size": 96})
+    cache.flush(found.where(F.crc32("item_id") % 4 != 0).withColumn("run", F.lit(1)))
+    left = cache.todo(found.select("item_id").distinct())
+    cache.flush(found.join(left, "item_id", "left_semi").withColumn("run", F.lit(2)))
+    return cache.load().groupBy("item_id", "run").agg(F.count("*").alias("frames"), F.count("box").alias("faced"))
+
+
 _FACES_SQL = {
     "modality": "select distinct concat('conv/', cast(conv_id as varchar)) as item_id, case when conv_id % 4 = 0 then 'image' else 'video' end as modality from conversations",
     "faces": """select item_id, count(frame_index) as sampled, count(box) as faced, case when count(box) >= case when modality = 'image' then 1 else 2 end then 'ok' else 'no_face' end as status
@@ -112,6 +139,21 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             g="select concat('n', cast(c_nationkey as varchar)) as folder, concat('s', cast(l_orderkey as varchar)) as shard, l_linenumber as row_group from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey",
         ),
     ),
+    "score_log": (
+        score_log,
+        with_views(
+            """select item_id, score, n_windows, status, crc % 3 = 0 as late from c""",
+            "order_scores",
+            c=f"select *, {crc_sql('item_id')} as crc from order_scores",
+        ),
+    ),
+    "cache_resume": (
+        cache_resume,
+        with_views(
+            f"select item_id, cast(case when {crc_sql('item_id')} % 4 <> 0 then 1 else 2 end as integer) as run, count(*) as frames, count(box) as faced from conv_frames group by item_id",
+            "conv_frames",
+        ),
+    ),
     "first_items": (first_items, with_views("select item_id, label from order_items order by item_id limit 25", "order_items")),
     "divergence_score": (divergence_score, _divergence_sql()),
     "sampler_stats": (

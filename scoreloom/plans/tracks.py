@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames, lips, tracks
 from ..sources import tables as t
-from ..sources.tables import with_views
+from ..sources.tables import crc_sql, with_views
 from .detection import Query, rounded
 
 
@@ -116,12 +116,6 @@ def audio_under_video(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
-def _crc(text: str) -> str:
-    """CRC-32 of ASCII text, a bit at a time."""
-    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)),
-        lambda s, b: list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
-
-
 _LINES = """select case when l_suppkey % 3 = 0 then 'track/all' else concat('track/', cast(l_suppkey % 50 as varchar)) end as item_id,
     l_orderkey * 8 + l_linenumber as frame_index, case when l_quantity >= 30 then cast(l_extendedprice as double) end as box from lineitem"""
 _EVENTS = """select case when event_id // 400 % 3 = 0 then 'clip/all' else concat('clip/', cast(event_id // 400 as varchar)) end as item_id,
@@ -129,8 +123,8 @@ _EVENTS = """select case when event_id // 400 % 3 = 0 then 'clip/all' else conca
     case when value > 20 then cast(value as double) end as box from events where event_type <> 'purchase'"""
 _VIDEOS = "select item_id, max(frame_index) + 1 as n_frames from ev group by item_id"
 _AUDIO = f"""select item_id, cast(greatest(case when n % 5 = 1 then 900 else n_frames * 640 - n % 3000 end, 0) as bigint) as samples
-    from (select *, {_crc("item_id")} as n from videos) where n % 7 <> 3"""
-_ITEMS = f"select unnest([item_id, concat(item_id, '-lost')]) as item_id from videos where {_crc('item_id')} % 5 <> 0"
+    from (select *, {crc_sql("item_id")} as n from videos) where n % 7 <> 3"""
+_ITEMS = f"select unnest([item_id, concat(item_id, '-lost')]) as item_id from videos where {crc_sql('item_id')} % 5 <> 0"
 _BASE = {"ev": _EVENTS, "videos": _VIDEOS, "audio": _AUDIO, "items": _ITEMS}
 
 

@@ -113,6 +113,12 @@ VIEWS_SQL = {
 _NEEDS = {"order_scores": ("order_windows",)}
 
 
+def crc_sql(text: str) -> str:
+    """The CRC-32 of ASCII text in DuckDB, a bit at a time."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)),
+        lambda s, b: list_reduce(list_concat([xor(s, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
 def with_views(query: str, *views: str, **more: str) -> str:
     """``query`` after the definitions of the views it uses, and of ``more`` expressions in their order."""
     names = list(dict.fromkeys(v for name in views for v in (*_NEEDS.get(name, ()), name)))
