@@ -35,7 +35,9 @@ HASH_BITS = 20
 #: a pair with another one of the FREQUENT terms with most documents. Chance hardly explains such values (PAIR_CHI is
 #: higher, for there are more pairs than terms).
 FREQUENT = 1_024
-COMPANY = 16
+COMPANY = 64
+#: So many of these are counted at once, which bounds what a task holds.
+_COMPANY_STEP = 16
 #: Texts that a task turns into Python strings at once.
 _SLICE = 512
 LEAST_CHI, PAIR_CHI = 16.0, 40.0
@@ -204,14 +206,17 @@ def telling_terms(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     scored = counted.withColumn("chi", surprise(F.lit(toxic / n)))
     company = scored.where(f"chi >= {LEAST_CHI} and hit < df and hit > 0").orderBy(F.col("chi").desc(), "term").limit(COMPANY)
-    company = F.broadcast(company.select(F.col("term").alias("beside"), (F.col("hit") / F.col("df")).alias("prior"), F.col("df").alias("whole")))
-    both = found.select("toxic", "terms", F.explode("terms").alias("beside")).join(company, "beside")
-    both = both.select("beside", "prior", "whole", "toxic", F.explode("terms").alias("term")).where("term <> beside")
-    both = both.groupBy("beside", "prior", "whole", "term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
-    both = both.where("df >= 5 and df < whole").withColumn("chi", surprise(F.col("prior"))).where(f"chi >= {PAIR_CHI}")
+    company = company.select(F.col("term").alias("beside"), (F.col("hit") / F.col("df")).alias("prior"), F.col("df").alias("whole")).collect()
+    beside = [np.zeros(0, np.int64)]
+    for at in range(0, len(company), _COMPANY_STEP):
+        some = F.broadcast(found.sparkSession.createDataFrame(company[at : at + _COMPANY_STEP]))
+        both = found.select("toxic", "terms", F.explode("terms").alias("beside")).join(some, "beside")
+        both = both.select("beside", "prior", "whole", "toxic", F.explode("terms").alias("term")).where("term <> beside")
+        both = both.groupBy("beside", "prior", "whole", "term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+        both = both.where("df >= 5 and df < whole").withColumn("chi", surprise(F.col("prior"))).where(f"chi >= {PAIR_CHI}")
+        beside.append(gather(both.select(F.explode(F.array("beside", "term")).alias("term"))))
     alone = gather(scored.where(f"chi >= {LEAST_CHI}"))
-    beside = gather(both.select("beside", "term").select(F.explode(F.array("beside", "term")).alias("term")))
-    return np.union1d(alone, beside), frequent
+    return np.union1d(alone, np.concatenate(beside)), frequent
 
 
 def paired_rows(docs: list[np.ndarray], labels: np.ndarray, frequent: np.ndarray, size: int) -> np.ndarray:

@@ -98,3 +98,18 @@ def test_odd_rows(spark):
     kept = toxicity.keep_civil(docs, labels)
     assert kept.columns == docs.columns
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_company_in_steps_finds_the_same_terms(spark, monkeypatch):
+    """Terms beside telling ones are counted some at a time; how many at a time changes nothing."""
+    rnd = random.Random(21)
+    rows = []
+    for i in range(600):
+        toxic = i % 2
+        words = [f"t{k}" for k in range(30) if rnd.random() < (0.35 if toxic else 0.15)] + [f"n{rnd.randrange(60)}" for _ in range(12)]
+        rows.append((toxic, sorted({zlib.crc32(w.encode()) & 0xFFFFF for w in words})))
+    found = spark.createDataFrame(rows, "toxic int, terms array<int>").cache()
+    whole = toxicity.telling_terms(found)
+    monkeypatch.setattr(toxicity, "_COMPANY_STEP", 3)
+    parts = toxicity.telling_terms(found)
+    assert len(whole[0]) > 20 and whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
