@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import time
@@ -32,9 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Seconds between two times that files of finished steps are given back.
+RELEASE_EVERY_S = 3.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that nothing refers to any more. It finds them when the driver collects
+    garbage, which a driver with room to spare does far too late for a job of many rounds."""
+    global _released  # noqa: PLW0603
+    if time.monotonic() - _released > RELEASE_EVERY_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        _released = time.monotonic()
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives lost executors."""
     shared_folder(frame.sparkSession)
+    release(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
@@ -42,6 +59,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a table that is written to the shared folder and read back, which also cuts its lineage; columnar and
     compressed, so better than a checkpoint for whole texts."""
     path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    release(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -87,7 +105,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
-def clean(spark: SparkSession, older_than: float = 86_400.0, kinds: tuple[str, ...] = ("media", "near-dedup", "pipeline", "warc")) -> list[str]:
+def clean(spark: SparkSession, older_than: float = 86_400.0, kinds: tuple[str, ...] = ("chunks", "media", "near-dedup", "pipeline", "trie", "warc")) -> list[str]:
     """Removes what operators and the pipeline wrote to the shared folder, if it is older than so many seconds; to the names.
     A result that still reads from such a folder is lost, so this is for when results are written elsewhere."""
     folder = shared_folder(spark)
