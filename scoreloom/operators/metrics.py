@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import roc
-from .intervals import intervals
+from .intervals import METRICS, Points, intervals
 from .settle import settle
 
 TARGETS = (0.01, 0.05)
@@ -111,38 +111,37 @@ def hash_bootstrap(df: DataFrame, replicates: int, seed: int = 0, key: str = "it
     return a.join(e, "replicate")
 
 
-def _auc_eer(y: np.ndarray, s: np.ndarray) -> tuple[float, float]:
-    """AUC and equal error rate of one resample."""
-    values, at = np.unique(s, return_inverse=True)
-    t = np.bincount(at, weights=y, minlength=len(values))[::-1]
-    f = np.bincount(at, weights=1 - y, minlength=len(values))[::-1]
-    tps, fps = np.cumsum(t), np.cumsum(f)
-    auc = float((f * (tps - t / 2)).sum() / (tps[-1] * fps[-1]))
-    tpr, fpr = np.concatenate([[0], tps / tps[-1]]), np.concatenate([[0], fps / fps[-1]])
-    diff = 1 - tpr - fpr
-    j = int(np.argmax(diff <= 0))
-    part = diff[j - 1] / (diff[j - 1] - diff[j])
-    return auc, float(fpr[j - 1] + part * (fpr[j] - fpr[j - 1]))
+#: Replicates that are weighed at once.
+TOGETHER = 32
 
 
 def exact_bootstrap(df: DataFrame, by: str, n: int = 1000, ci: float = 0.95, seed: int = 0, key: str = "item_id") -> DataFrame:
     """(by, auc_lo, auc_hi, eer_lo, eer_hi): percentile intervals of resamples that draw reals and fakes separately with a
-    seeded generator, in the order of ``key``. The generator's sequence ties a group to one task, so groups must fit one (two
-    numbers an item); ``intervals`` has no such bound."""
+    seeded generator, in the order of ``key``. A resample is how often each item was drawn, and is read off the curve in the
+    order of scores, which all resamples share. The generator's sequence ties a group to one task, so groups must fit one
+    (two numbers an item); ``intervals`` has no such bound."""
+    names = [f"{c}_{end}" for c in ("auc", "eer") for end in ("lo", "hi")]
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)
-        y, s = part["y"].to_numpy(float), part["s"].to_numpy(float)
-        real, fake = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
-        ends = [None] * 4
-        if len(real) and len(fake):
-            rng, values = np.random.default_rng(seed), np.empty((n, 2))
-            for b in range(n):
-                i = np.concatenate([rng.choice(real, len(real)), rng.choice(fake, len(fake))])
-                values[b] = _auc_eer(y[i], s[i])
-            a = (1 - ci) / 2
-            ends = np.nanquantile(values, [a, 1 - a], axis=0).T.ravel().tolist()
-        return pd.DataFrame([[part[by].iloc[0], *ends]], columns=[by, "auc_lo", "auc_hi", "eer_lo", "eer_hi"])
+        fake, s = part["y"].to_numpy() == 1, part["s"].to_numpy(float)
+        classes = [np.flatnonzero(~fake), np.flatnonzero(fake)]
+        if not all(map(len, classes)):
+            return pd.DataFrame([[part[by].iloc[0], *[None] * 4]], columns=[by, *names])
+        rng, down, found = np.random.default_rng(seed), np.argsort(-s, kind="stable"), []
+        begin = np.flatnonzero(np.diff(s[down], prepend=np.inf))
+        for at in range(0, n, TOGETHER):
+            drawn = np.zeros((min(TOGETHER, n - at), len(s)), np.int32)
+            for row in drawn:
+                for members in classes:
+                    row += np.bincount(rng.choice(members, len(members)), minlength=len(s)).astype(np.int32)
+            sides = (np.add.reduceat((drawn * side)[:, down].T, begin, axis=0, dtype=np.int64) for side in (fake, ~fake))
+            dt, d_f = sides
+            whole = [np.full(len(drawn), float(len(m))) for m in reversed(classes)]
+            points = Points(s[down][begin][:, None], dt, d_f, np.cumsum(dt, axis=0).astype(float), np.cumsum(d_f, axis=0).astype(float), *whole)
+            found.append(np.stack([METRICS[m].partial(points) for m in ("auc", "eer")]))
+        ends = np.quantile(np.concatenate(found, axis=1), [(1 - ci) / 2, (1 + ci) / 2], axis=1).T.ravel().tolist()
+        return pd.DataFrame([[part[by].iloc[0], *ends]], columns=[by, *names])
 
     rows = df.where("status = 'ok' and score is not null").select(F.coalesce(F.col(by).cast("string"), F.lit("<null>")).alias(by), key, roc.binary().alias("y"), F.col("score").alias("s"))
-    return rows.groupBy(by).applyInPandas(work, f"`{by}` string, auc_lo double, auc_hi double, eer_lo double, eer_hi double")
+    return rows.groupBy(by).applyInPandas(work, f"`{by}` string, {', '.join(f'{c} double' for c in names)}")

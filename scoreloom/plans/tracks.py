@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frames, lips, tracks
+from ..operators import crowd, frames, lips, tracks
 from ..sources import tables as t
 from ..sources.tables import crc_sql, with_views
 from .detection import Query, rounded
@@ -115,6 +115,23 @@ def audio_under_video(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lips.audio_under_video(video, audio, (30_000, 1_001), 16_000), 9)
 
 
+# --- crowded frames -----------------------------------------------------------------------------------------------
+def crowd_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as boxes of some ten to sixty pixels in a frame for each of up to sixty-four parts."""
+    at = lambda c, by, most: (F.col(c) * by % most).cast("double")
+    x, y = at("l_orderkey", 37, 500), at("l_orderkey", 91, 400)
+    rows = t.table(spark, d, "lineitem").select(
+        (F.col("l_partkey") % 64).alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), F.round(F.col("l_extendedprice").cast("double") % 997, 2).alias("score"),
+        x.alias("x1"), y.alias("y1"), (x + 10 + F.col("l_quantity").cast("double")).alias("x2"), (y + 10 + F.col("l_quantity").cast("double") % 23).alias("y2"),
+    )
+    # a key that repeats is one box
+    return rows.groupBy("frame", "idx").agg(F.max(F.struct("score", "x1", "y1", "x2", "y2")).alias("b")).select("frame", "idx", "b.*")
+
+
+def crowd_suppress(spark: SparkSession, d: str) -> DataFrame:
+    return crowd.suppress(crowd_boxes(spark, d), 0.3, batch=1_000)
+
+
 # --- SQL ----------------------------------------------------------------------------------------------------------
 _LINES = """select case when l_suppkey % 3 = 0 then 'track/all' else concat('track/', cast(l_suppkey % 50 as varchar)) end as item_id,
     l_orderkey * 8 + l_linenumber as frame_index, case when l_quantity >= 30 then cast(l_extendedprice as double) end as box from lineitem"""
@@ -163,6 +180,16 @@ _LIPS = {
         where c."end" > c."begin" group by all having count(*) = 5""",
 }
 
+_CROWD = {
+    "b": """select l_partkey % 64 as frame, l_orderkey * 8 + l_linenumber as idx, max({'score': round(cast(l_extendedprice as double) % 997, 2), 'x1': (l_orderkey * 37 % 500)::double, 'y1': (l_orderkey * 91 % 400)::double,
+        'x2': l_orderkey * 37 % 500 + 10 + l_quantity::double, 'y2': l_orderkey * 91 % 400 + 10 + l_quantity::double % 23}) as box from lineitem group by all""",
+    "ordered": "select frame, list({'idx': idx, 'x1': box.x1, 'y1': box.y1, 'x2': box.x2, 'y2': box.y2} order by box.score desc, idx desc) as boxes from b group by frame",
+    "walked": """select frame, list_reduce(list_prepend([boxes[1]], list_transform(boxes[2:], lambda x: [x])), lambda kept, n: case when list_any_value(list_filter(kept, lambda o:
+        greatest(least(o.x2, n[1].x2) - greatest(o.x1, n[1].x1) + 1, 0) * greatest(least(o.y2, n[1].y2) - greatest(o.y1, n[1].y1) + 1, 0)
+        > 0.3 * ((o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) + (n[1].x2 - n[1].x1 + 1) * (n[1].y2 - n[1].y1 + 1)
+        - greatest(least(o.x2, n[1].x2) - greatest(o.x1, n[1].x1) + 1, 0) * greatest(least(o.y2, n[1].y2) - greatest(o.y1, n[1].y1) + 1, 0)))) is not null then kept else list_concat(kept, n) end) as kept from ordered""",
+}
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "track_fill_nearest": (track_fill_nearest, with_views("select item_id, frame_index, filled, place from nearest", **_near(_LINES))),
     "track_forward_fill": (track_forward_fill, with_views("select item_id, frame_index, filled, place from forward", **_near(_LINES))),
@@ -208,6 +235,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             heard="select m.*, samples, case when status <> 'ok' then status when samples is null then 'no_audio' when samples < 1000 then 'too_short' else 'ok' end as s from mouths m left join audio using (item_id)",
         ),
     ),
+    "crowd_suppress": (crowd_suppress, with_views("select frame, unnest(list_transform(kept, lambda x: x.idx)) as idx from walked", **_CROWD)),
     "lip_windows": (lip_windows, with_views("select * from lip", **_LIPS)),
     "lip_inputs": (
         lip_inputs,

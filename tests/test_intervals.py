@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scoreloom.operators import intervals
+from scoreloom.operators import intervals, metrics
 
 
 def slow_values(y, s, w):
@@ -100,3 +100,22 @@ def test_any_metric_and_tied_scores(spark, monkeypatch, scores, range_rows):
     assert range_rows > 4 or parts < 40  # even a constant score is spread over ranges
     ends = intervals.metric_intervals(df, "g", {"ap": metrics["ap"]}, 12).collect()
     assert {r.grp for r in ends} == {"a", "b"} and all(r.ap_lo <= r.ap_hi for r in ends)
+
+
+def test_seeded_intervals_equal_resample_by_resample(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(f"i/{i:03}", "ab"[i % 4 == 0], "fake" if rnd.random() < 0.5 else "real", float(rnd.integers(0, 12)) / 8, "ok") for i in range(60)] + [("x", "c", "real", 0.1, "ok")]
+    df = spark.createDataFrame(rows, "item_id string, g string, label string, score double, status string").repartition(3)
+    got = {r.g: tuple(r)[1:] for r in metrics.exact_bootstrap(df, "g", 40, seed=3).collect()}
+    for name in "ab":
+        own = [r for r in rows if r[1] == name]
+        y, s = np.array([r[2] == "fake" for r in own]), [r[3] for r in own]
+        gen, values = np.random.default_rng(3), []
+        for _ in range(40):
+            w = np.zeros(len(own), int)
+            for side in (False, True):
+                members = np.flatnonzero(y == side)
+                np.add.at(w, gen.choice(members, len(members)), 1)
+            values.append(slow_values(y, s, w))
+        assert got[name] == pytest.approx(np.quantile(np.array(values), [0.025, 0.975], axis=0).T.ravel())
+    assert got["c"] == (None, None, None, None)
