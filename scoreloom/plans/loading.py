@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..operators import frames, loading, scoring, telemetry
 from ..operators.settle import shared
 from ..sources import tables as t
@@ -92,6 +93,14 @@ def cache_resume(spark: SparkSession, d: str) -> DataFrame:
     return cache.load().groupBy("item_id", "run").agg(F.count("*").alias("frames"), F.count("box").alias("faced"))
 
 
+def config_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as nested configurations whose keys stand in no order, by the hash of their canonical form."""
+    e = t.table(spark, d, "events")
+    number = F.round(F.col("value").cast("double"), 2).cast("string")
+    text = F.concat(F.lit('{"z": '), "props", F.lit(', "n" : "\u00e9",  "a": ['), number, F.lit(', null], "type": "'), "event_type", F.lit('"}'))
+    return e.select("event_id", digests.config_hash(text).alias("config"))
+
+
 _FACES_SQL = {
     "modality": "select distinct concat('conv/', cast(conv_id as varchar)) as item_id, case when conv_id % 4 = 0 then 'image' else 'video' end as modality from conversations",
     "faces": """select item_id, count(frame_index) as sampled, count(box) as faced, case when count(box) >= case when modality = 'image' then 1 else 2 end then 'ok' else 'no_face' end as status
@@ -154,6 +163,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             "conv_frames",
         ),
     ),
+    "config_hashes": (
+        config_hashes,
+        """select event_id, sha256(concat('{"a":[', cast(round(value, 2) as varchar), ',null],"n":"', chr(92), 'u00e9","type":"', event_type, '","z":{"k":', cast(props->>'k' as varchar), '}}')) as config from events""",
+    ),
     "first_items": (first_items, with_views("select item_id, label from order_items order by item_id limit 25", "order_items")),
     "divergence_score": (divergence_score, _divergence_sql()),
     "sampler_stats": (
