@@ -14,6 +14,7 @@ from ..sources import tables as t
 from ..sources.cache import DetectionCache
 from ..sources.parts import PartLog
 from ..sources.tables import crc_sql, with_views
+from ..streaming import telemetry as streaming
 from .detection import Query, rounded
 
 
@@ -93,6 +94,20 @@ def cache_resume(spark: SparkSession, d: str) -> DataFrame:
     return cache.load().groupBy("item_id", "run").agg(F.count("*").alias("frames"), F.count("box").alias("faced"))
 
 
+def running_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Users' samples as a stream that is stopped and started again three times; the last update of each session."""
+    samples, folder = t.event_samples(spark, d), f"{shared(spark)}/energy-{uuid.uuid4().hex}"
+    samples = samples.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "watts")
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/{n}")
+    for k in range(4):
+        samples.where(F.crc32(F.col("event_id").cast("string").cast("binary")) % 4 == k).write.mode("append").parquet(f"{folder}/in")
+        updates = streaming.running_energy(spark.readStream.schema(samples.schema).parquet(f"{folder}/in"), lateness="400 days", idle_s=10**9)
+        query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    last = spark.read.parquet(f"{folder}/out/*").groupBy("session_id").agg(F.max(F.struct("batch", "samples", "power_mean_w", "power_max_w", "energy_wh")).alias("u"))
+    return rounded(last.select("session_id", "u.samples", "u.power_mean_w", "u.power_max_w", "u.energy_wh"), 4)
+
+
 def config_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Events as nested configurations whose keys stand in no order, by the hash of their canonical form."""
     e = t.table(spark, d, "events")
@@ -163,6 +178,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             "conv_frames",
         ),
     ),
+    "running_energy": (
+        running_energy,
+        with_views(
+            """select session_id, count(*) as samples, round(avg(watts), 4) as power_mean_w, round(max(watts), 4) as power_max_w, round(coalesce(sum(area), 0) / 3600, 4) as energy_wh
+                from (select *, (sec - lag(sec) over w) * (watts + lag(watts) over w) / 2 as area from (select *, epoch_us(ts::timestamp) / 1e6 as sec from event_samples) window w as (partition by session_id order by ts, event_id))
+                where session_id is not null and ts is not null and watts is not null group by session_id""",
+            "event_samples",
+        ),
+    ),
     "config_hashes": (
         config_hashes,
         """select event_id, sha256(concat('{"a":[', cast(round(value, 2) as varchar), ',null],"n":"', chr(92), 'u00e9","type":"', event_type, '","z":{"k":', cast(props->>'k' as varchar), '}}')) as config from events""",
