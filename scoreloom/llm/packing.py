@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import cut_lineage, map_batches
+from .shared import cut_lineage, map_batches, written
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -312,14 +312,15 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         parts = sorted({p for p, *_ in stats})
         of = {p: (stats.get((p, 1, True), none), stats.get((p, 0, True), none)) for p in parts}
         matches = carried([(p, u["count"], u["max"], g["count"], g["min"]) for p, (u, g) in of.items()])
-        placed.append(swept.where("kind = 2").select("id", "sequence", "at"))
+        few = max(1, -(-n_rows // RANGE_ROWS))  # files of a round's results, so that its checkpoints can go
+        placed.append(written(swept.where("kind = 2").select("id", "sequence", "at").coalesce(few), "packed"))
         if matches:
             asked = cut_lineage(_matched(swept.where("kind <> 2"), matches))
             given = asked.where("g_part is not null").select(F.col("id").alias("unit"), F.col("size").alias("length"), "g_part", "g_rank", "slot")
             offers = asked.where("taken").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
             along = Window.partitionBy("g_part", "g_rank").orderBy("slot")  # as many pieces as fit in one gap
             joined = given.join(offers, ["g_part", "g_rank"]).withColumn("upto", F.sum("length").over(along)).withColumn("last", F.lead("unit").over(along).isNull())
-            joined = cut_lineage(joined.select("unit", "sequence", "length", "gap", "upto", "last"))
+            joined = written(joined.select("unit", "sequence", "length", "gap", "upto", "last").coalesce(few), "packed")
             placed.append(joined.select(F.col("unit").alias("id"), "sequence", (capacity - F.col("gap") + F.col("upto") - F.col("length")).cast("int").alias("at")))
             again = joined.where("last and upto < gap").select(F.lit(0).alias("kind"), F.col("sequence").alias("id"), (F.col("gap") - F.col("upto")).cast("int").alias("size"))
             state = asked.where("g_part is null and not taken").select("kind", "id", "size").unionByName(again)

@@ -105,7 +105,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
-def clean(spark: SparkSession, older_than: float = 86_400.0, kinds: tuple[str, ...] = ("chunks", "media", "near-dedup", "pipeline", "trie", "warc")) -> list[str]:
+def clean(spark: SparkSession, older_than: float = 86_400.0, kinds: tuple[str, ...] = ("chunks", "media", "near-dedup", "packed", "pipeline", "trie", "warc")) -> list[str]:
     """Removes what operators and the pipeline wrote to the shared folder, if it is older than so many seconds; to the names.
     A result that still reads from such a folder is lost, so this is for when results are written elsewhere."""
     folder = shared_folder(spark)
