@@ -312,7 +312,7 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         parts = sorted({p for p, *_ in stats})
         of = {p: (stats.get((p, 1, True), none), stats.get((p, 0, True), none)) for p in parts}
         matches = carried([(p, u["count"], u["max"], g["count"], g["min"]) for p, (u, g) in of.items()])
-        few = max(1, -(-n_rows // RANGE_ROWS))  # files of a round's results, so that its checkpoints can go
+        few = max(spark.sparkContext.defaultParallelism, -(-n_rows // RANGE_ROWS))  # files of a round's results, so that its checkpoints can go
         placed.append(written(swept.where("kind = 2").select("id", "sequence", "at").coalesce(few), "packed"))
         if matches:
             asked = cut_lineage(_matched(swept.where("kind <> 2"), matches))
