@@ -22,9 +22,9 @@ def with_place(frames: DataFrame) -> DataFrame:
 def fill_nearest(frames: DataFrame) -> DataFrame:
     """Frames without a box take that of the nearest frame that has one, the earlier of two; items without any are left out."""
     w = _order()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy(ITEM).orderBy(F.desc("place"))))
     spot = F.when(F.col(BOX).isNotNull(), F.struct("place", BOX))
-    rows = with_place(frames).withColumns({"b": F.last(spot, True).over(back), "a": F.first(spot, True).over(ahead)})
+    rows = with_place(frames).withColumn("b", F.last(spot, True).over(back)).withColumn("a", F.last(spot, True).over(ahead))
     earlier = F.coalesce(F.col("place") - F.col("b.place") <= F.col("a.place") - F.col("place"), F.col("a").isNull())
     return rows.where("a is not null or b is not null").select(ITEM, FRAME, F.when(earlier, F.col(f"b.{BOX}")).otherwise(F.col(f"a.{BOX}")).alias("filled"))
 
@@ -119,8 +119,8 @@ def rate_remap(frames: DataFrame, fps: float, to: float) -> DataFrame:
     steps = steps.withColumn("wanted", F.floor(F.col("step").cast("double") / to * fps).cast("long")).where("wanted <= last")
     rows = steps.select(ITEM, F.col("wanted").alias("at"), F.lit(0).alias("kind"), "step", F.lit(None).cast("long").alias("frame"))
     rows = rows.unionByName(frames.select(ITEM, F.col(FRAME).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("step"), F.col(FRAME).cast("long").alias("frame")))
-    ahead = Window.partitionBy(ITEM).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("frame", F.first("frame", True).over(ahead)).where("kind = 0").select(ITEM, "step", "frame")
+    ahead = Window.partitionBy(ITEM).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("frame", F.last("frame", True).over(ahead)).where("kind = 0").select(ITEM, "step", "frame")
 
 
 def largest_box(boxes: DataFrame, area: str) -> DataFrame:

@@ -24,18 +24,25 @@ RANGE_ROWS, BLOCK = 1 << 17, 1 << 16
 MARGIN, LEAST_FACES = 12, 25
 
 
+def _in_ranges(rows: DataFrame, value: str, order: list[str], n: int) -> DataFrame:
+    """``rows`` in ``n`` ranges (_band) with place (_here), rows (_n) and nearest finds (_back, _ahead) in the item's part of
+    the range. What lies ahead is read from the end: a frame that reaches to the end would be gone through for each row."""
+    rows = rows.repartitionByRange(n, ITEM, *order).withColumn("_band", F.spark_partition_id())
+    up = Window.partitionBy(ITEM, "_band").orderBy(*order, value)
+    down = Window.partitionBy(ITEM, "_band").orderBy(F.desc("_here")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_here", F.row_number().over(up).cast("long") - 1)
+    find = F.when(F.col(value).isNotNull(), F.struct(F.col("_here").alias("place"), F.col(value).alias("value")))
+    rows = rows.withColumn("_back", F.last(find, True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumns({"_ahead": F.last(find, True).over(down), "_n": F.first("_here").over(down) + 1})
+
+
 def placed(rows: DataFrame, value: str = BOX, order: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with each one's place in its item (from 0), the item's size, and the nearest find (a value that isn't null) at
     or before it and at or after it: back and ahead, structs of place and value, null where there is none."""
     order = order or [FRAME]
     names = rows.columns
     n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // range_rows))
-    rows = rows.repartitionByRange(n, ITEM, *order).withColumn("_band", F.spark_partition_id())
-    inside = Window.partitionBy(ITEM, "_band").orderBy(*order, value)
-    rows = rows.withColumn("_here", F.row_number().over(inside).cast("long") - 1)
-    find = F.when(F.col(value).isNotNull(), F.struct(F.col("_here").alias("place"), F.col(value).alias("value")))
-    back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
-    rows = settle(rows.withColumns({"_back": F.last(find, True).over(back), "_ahead": F.first(find, True).over(ahead), "_n": F.count("*").over(Window.partitionBy(ITEM, "_band"))}))
+    rows = settle(_in_ranges(rows, value, order, n))
     found = F.when(F.col(value).isNotNull(), F.struct(F.col("_here").alias("place"), F.col(value).alias("value")))
     parts = rows.groupBy(ITEM, "_band").agg(F.count("*").alias("n"), F.min_by(found, F.when(found.isNotNull(), F.col("_here"))).alias("first"), F.max_by(found, F.when(found.isNotNull(), F.col("_here"))).alias("last"))
     item, bands = Window.partitionBy(ITEM), Window.partitionBy(ITEM).orderBy("_band")

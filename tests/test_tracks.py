@@ -72,6 +72,15 @@ def test_a_hot_item_is_spread_over_ranges_and_what_is_broadcast_is_small(spark):
     assert tuple(got) == (40_000, 39_999, 40_000, 8)
 
 
+def test_no_frame_reaches_to_the_end(spark):
+    """A window frame from a row to its partition's end is gone through anew for each row: what lies ahead is read from the end."""
+    rows = spark.createDataFrame(one_long_item(60, 3), SCHEMA)
+    placed = tracks._in_ranges(rows.select("item_id", "frame_index", "box"), "box", ["frame_index"], 3)
+    for made in (placed, frames.fill_nearest(rows), frames.rate_remap(rows, 24.0, 25.0)):
+        shown = plan(made).lower()
+        assert "unboundedpreceding" in shown and "unboundedfollowing" not in shown
+
+
 def test_odd_tracks(spark):
     rows = [(None, 1, 2.0), (None, 3, None), ("a", 5, None), ("a", 5, 1.0), ("a", 5, 1.0), ("a", None, 4.0)]
     got = tracks.forward_fill(spark.createDataFrame(rows, SCHEMA), 1).collect()
