@@ -114,7 +114,9 @@ def rate_remap(frames: DataFrame, fps: float, to: float, most: int | None = None
     last = frames.groupBy(ITEM).agg(F.max(FRAME).cast("long").alias("last"))
     ends = F.ceil((F.col("last") + 1) / fps * to).cast("long")
     ends = F.least(ends, F.lit(most - 1).cast("long")) if most else ends
-    steps = last.select(ITEM, F.explode(F.sequence(F.lit(0).cast("long"), ends)).alias("step"), "last")
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(ends / BLOCK).cast("long"))).alias("run")
+    runs = last.select(ITEM, "last", ends.alias("ends"), runs).repartition(ITEM, "run")  # an item's steps come from many tasks
+    steps = runs.select(ITEM, F.explode(F.sequence(F.col("run") * BLOCK, F.least(F.col("run") * BLOCK + BLOCK - 1, F.col("ends")))).alias("step"), "last")
     steps = steps.withColumn("at", F.floor(F.col("step").cast("double") / to * fps).cast("long")).where("at <= last")
     none = F.lit(None).cast("long")
     rows = steps.select(ITEM, "at", F.lit(0).alias("kind"), "step", none.alias("frame"))

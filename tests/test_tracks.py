@@ -81,6 +81,13 @@ def test_no_frame_reaches_to_the_end(spark):
         assert "unboundedpreceding" in shown and "unboundedfollowing" not in shown
 
 
+def test_steps_of_many_runs_equal_the_window_form(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "BLOCK", 64)
+    rows = spark.createDataFrame(one_long_item(), SCHEMA)
+    same(tracks.rate_remap(rows, 24.0, 25.0, range_rows=64), frames.rate_remap(rows, 24.0, 25.0))
+    assert tracks.rate_remap(rows, 24.0, 25.0, most=64).agg(F.max("step")).first()[0] == 63
+
+
 def test_odd_tracks(spark):
     rows = [(None, 1, 2.0), (None, 3, None), ("a", 5, None), ("a", 5, 1.0), ("a", 5, 1.0), ("a", None, 4.0)]
     got = tracks.forward_fill(spark.createDataFrame(rows, SCHEMA), 1).collect()
