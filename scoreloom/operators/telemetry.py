@@ -38,19 +38,45 @@ def energy(samples: DataFrame, by: str = "session_id") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("samples"), F.avg("watts").alias("power_mean_w"), F.max("watts").alias("power_max_w"), (F.coalesce(F.sum("area"), F.lit(0.0)) / 3600).alias("energy_wh"))
 
 
+def _ranked(samples: DataFrame, value: str, q: float, by: str) -> DataFrame:
+    """``samples`` with the two values of its id next to quantile ``q``, each on one row (low, high), and how far it is
+    from the first to the second (part)."""
+    own = Window.partitionBy(by)
+    rank = (F.col("_n") - 1) * q
+    rows = samples.withColumns({"_n": F.count(value).over(own), "_at": F.row_number().over(own.orderBy(F.col(value).asc_nulls_last())) - 1})
+    rows = rows.withColumns({"low": F.when(F.col("_at") == F.floor(rank), F.col(value)), "high": F.when(F.col("_at") == F.ceil(rank), F.col(value)), "part": rank - F.floor(rank)})
+    return rows.drop("_n", "_at")
+
+
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part, the first product unrounded until it is added, as a fused multiply-add has it: the
+    product's and the sum's errors are kept (Dekker, Knuth), so that halves fall as they do in SQL."""
+
+    def split(x: Column) -> tuple[Column, Column]:
+        head = x * 134_217_729.0 - (x * 134_217_729.0 - x)
+        return head, x - head
+
+    rest = F.lit(1.0) - part
+    (a, b), (c, d) = split(low), split(rest)
+    p, other = low * rest, high * part
+    lost = ((a * c - p) + a * d + b * c) + b * d
+    s = p + other
+    return s + (((p - (s - (s - p))) + (other - (s - p))) + lost)
+
+
 def sampler_stats(samples: DataFrame, by: str = "session_id") -> DataFrame:
     """A row for each id: use, memory, power and temperature of its samples (ts, event_id, util, used_gb, watts, temp,
     counter_mj). Energy is what the counter gained, in millijoules, where it was read at both ends, else the trapezoid area
     under the power."""
     w = Window.partitionBy(by).orderBy("ts", "event_id")
-    rows = samples.withColumn("t", _micros(F.col("ts")) / 1e6)
+    rows = _ranked(samples, "util", 0.95, by).withColumn("t", _micros(F.col("ts")) / 1e6)
     rows = rows.withColumn("area", (F.col("t") - F.lag("t").over(w)) * (F.col("watts") + F.lag("watts").over(w)) / 2)
     at = F.struct("ts", "event_id")
     gained = (F.max_by("counter_mj", at) - F.min_by("counter_mj", at)) / 3.6e6
     area = F.coalesce(F.sum("area"), F.lit(0.0)) / 3600
     rounded = {
         "gpu_util_mean": (F.avg("util"), 1),
-        "gpu_util_p95": (F.percentile("util", 0.95), 1),
+        "gpu_util_p95": (_between(F.max("low"), F.max("high"), F.max("part")), 1),
         "gpu_mem_used_max_gb": (F.max("used_gb"), 3),
         "power_mean_w": (F.avg("watts"), 1),
         "power_max_w": (F.max("watts"), 1),
@@ -58,7 +84,8 @@ def sampler_stats(samples: DataFrame, by: str = "session_id") -> DataFrame:
         "energy_wh": (F.coalesce(gained, area), 3),
     }
     source = F.when(gained.isNotNull(), "counter").otherwise("integrated")
-    columns = (F.bround(c.cast("double"), digits).alias(name) for name, (c, digits) in rounded.items())
+    # halves to even after scaling, as SQL's round_even does; bround would go by the last bit of what scaling makes a half
+    columns = ((F.rint(c.cast("double") * 10.0**digits) / 10.0**digits).alias(name) for name, (c, digits) in rounded.items())
     return rows.groupBy(by).agg(F.count("*").alias("samples"), *columns, source.alias("energy_source"))
 
 
