@@ -64,21 +64,25 @@ def frame_groups(frames: DataFrame, size: int) -> DataFrame:
     return rows.groupBy(ITEM, "group").agg(F.min(FRAME).alias("first"), F.max(FRAME).alias("last"), F.count("*").alias("n")).where(F.col("n") == size)
 
 
+def clip_starts(length: Column, clip: int, stride: int) -> Column:
+    """Where windows of ``clip`` indices start, every ``stride``, in a track that is padded by ``clip - 1`` indices at both ends
+    if it is shorter than a clip; null where it is empty."""
+    size = F.when(length >= clip, length).when(length >= 1, length + 2 * (clip - 1))
+    return F.when(size.isNotNull(), F.sequence(F.lit(0), size.cast("int") - clip, F.lit(stride)))
+
+
+def clip_at(length: Column, start: Column, clip: int) -> Column:
+    """The ``clip`` indices from ``start``; what a short track is padded by is its mirror image, over and over. From the
+    start alone: slices of the whole track would copy it for each window."""
+    length, period = length.cast("int"), F.greatest(2 * length.cast("int") - 2, F.lit(1))
+    mirrored = F.transform(F.sequence(start - (clip - 1), start), lambda p: F.when(F.pmod(p, period) < length, F.pmod(p, period)).otherwise(period - F.pmod(p, period)))
+    return F.when(length >= clip, F.sequence(start, start + (clip - 1))).otherwise(mirrored)
+
+
 def clip_windows(length: Column, clip: int, stride: int) -> Column:
     """Windows of ``clip`` indices every ``stride`` into a track, which is padded by its mirror image at both ends if it is
     shorter than a clip; null where it is too short for that."""
-    inner = F.sequence(F.lit(0), length - 1)
-    mid = F.reverse(F.slice(inner, 2, F.greatest(length - 2, F.lit(0)).cast("int")))
-    post_one, pre_one = F.concat(mid, inner), F.concat(inner, mid)
-    pad = clip - 1
-    times = F.floor(F.lit(pad) / F.size(post_one)).cast("int") + 1
-    repeat = lambda a: F.flatten(F.array_repeat(a, times))
-    post = F.slice(repeat(post_one), 1, pad)
-    pre = repeat(pre_one)
-    pre = F.slice(pre, F.greatest(F.size(pre) - pad + 1, F.lit(1)), pad)
-    track = F.when(length >= clip, inner).when((length >= 1) & (F.size(pre) == pad), F.concat(pre, inner, post))
-    starts = F.sequence(F.lit(0), F.size(track) - clip, F.lit(stride))
-    return F.when(track.isNotNull(), F.transform(starts, lambda s: F.slice(track, s + 1, clip)))
+    return F.transform(clip_starts(length, clip, stride), lambda start: clip_at(length, start, clip))
 
 
 def segment_starts(samples: Column, window: int, least: int) -> Column:

@@ -40,9 +40,10 @@ def _length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _length(spark, d).withColumn("length", F.col("n"))
-    clips = rows.select("item_id", "length", F.posexplode(frames.clip_windows(F.col("length"), 25, 5)).alias("clip", "indices"))
-    return clips.select("item_id", "clip", F.array_join("indices", ",").alias("indices"))
+    # lengths are small and their windows many, so they are dealt to tasks before they are cut
+    rows = _length(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "item_id")
+    clips = rows.select("item_id", "n", F.posexplode(frames.clip_starts(F.col("n"), 25, 5)).alias("clip", "start"))
+    return clips.select("item_id", "clip", F.array_join(frames.clip_at(F.col("n"), F.col("start"), 25), ",").alias("indices"))
 
 
 def segment_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from scoreloom.functions import scalar
 from scoreloom.operators import evalset, frames, lineage, manifest, metrics, roc, sampling, scoring, shortcut, splits, status, telemetry
 from scoreloom.sources import readers, sinks
 from scoreloom.streaming.scores import score_stream
+from scoreloom.plans import reporting
 
 
 def scored(spark, labels, scores, **more):
@@ -171,6 +172,23 @@ def test_windows_and_sampling(spark):
     assert get(frames.clip_windows(n(12), 10, 2)) == [list(range(10)), list(range(2, 12))]
 
 
+def test_clips_come_from_their_starts(spark):
+    """Tracks of any size against padded lists, and no slice of a whole track for each window."""
+    lengths = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 8, 24, 25, 26, 60)], "n int")
+    made = lengths.select("n", F.posexplode(frames.clip_starts(F.col("n"), 25, 5)).alias("clip", "start")).withColumn("x", frames.clip_at(F.col("n"), F.col("start"), 25))
+    got = {}
+    for r in made.orderBy("n", "clip").collect():
+        got.setdefault(r.n, []).append(r.x)
+    for n in (1, 2, 3, 8, 24, 25, 26, 60):
+        inner = list(range(n))
+        mid = inner[1:-1][::-1]
+        track = inner if n >= 25 else ((inner + mid) * 24)[-24:] + inner + ((mid + inner) * 24)[:24]
+        assert got.pop(n) == [track[s : s + 25] for s in range(0, len(track) - 24, 5)]
+    assert not got
+    shown = reporting.clip_windows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "slice(" not in shown and "REPARTITION_BY_NUM" in shown
+
+
 def test_suppression_keeps_the_best(spark):
     boxes = spark.createDataFrame([(0.9, 0, 0.0, 0.0, 9.0, 9.0), (0.8, 1, 1.0, 1.0, 10.0, 10.0), (0.7, 2, 50.0, 50.0, 60.0, 60.0)], "score double, idx int, x1 double, y1 double, x2 double, y2 double")
     got = boxes.agg(F.collect_list(F.struct("*")).alias("b")).select(frames.nms(F.col("b"), 0.4).alias("k")).first().k
