@@ -57,6 +57,20 @@ def test_a_very_crowded_frame(spark):
     assert few == many and 100 < len(few) < 2_000
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.9])
+def test_an_undecided_box_stands_in_one_cell(spark, threshold):
+    """And every box that it conflicts with reaches that cell, once."""
+    rows = spark.createDataFrame(boxes(300, 9, 20.0, 60.0), SCHEMA)
+    home = crowd._at_home(rows)
+    assert home.count() == 300
+    pairs = lambda a: a.where(crowd._overlap({c: F.col(c) for c in crowd.CORNERS}, {c: F.col(f"b_{c}") for c in crowd.CORNERS}) > threshold)
+    named = lambda df: df.select(*(F.col(c).alias(f"b_{c}") for c in df.columns))
+    near, every = named(crowd._in_reach(rows, threshold)), named(rows)
+    met = home.join(near, (F.col("level") == F.col("b_level")) & (F.col("cx") == F.col("b_cx")) & (F.col("cy") == F.col("b_cy")))
+    found = sorted((r.idx, r.b_idx) for r in pairs(met).select("idx", "b_idx").collect())
+    assert found == sorted((r.idx, r.b_idx) for r in pairs(rows.crossJoin(every)).select("idx", "b_idx").collect()) and len(found) >= 300
+
+
 def test_odd_boxes(spark):
     rows = [("a", 1, 0.5, 0.0, 0.0, 9.0, 9.0), ("a", 1, 0.9, 0.0, 0.0, 9.0, 9.0), ("a", 2, 0.7, 0.0, 0.0, 9.0, 9.0), ("a", 3, None, 50.0, 0.0, 59.0, 9.0), ("a", 4, 0.1, 90.0, None, 99.0, 9.0), ("a", 5, 0.2, 70.0, 0.0, 60.0, 9.0), (None, 6, 0.2, 0.0, 0.0, 1.0, 1.0)]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("level", F.lit("clash"))
