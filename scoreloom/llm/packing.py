@@ -7,8 +7,9 @@ task: a piece goes to its successor, the smallest gap that holds it, and what is
 is no smaller than the range. Pieces that find no gap in their range, and gaps that all pieces of later ranges fit in, are
 matched between ranges, by rank: the largest piece first, to the smallest of the gaps before it, and as many pieces to a
 gap as surely fit. Of this only the ranges' counts and extremes are carried over the ranges; the rows meet in a join. Then
-the gaps are updated and the next round begins. Pieces larger than every gap open new sequences. Rounds write what they
-leave to the shared folder.
+the gaps are updated and the next round begins. Pieces larger than every gap open new sequences at once, and gaps smaller
+than every piece that is left take no further part. Half a range's rows or fewer are one range, however many partitions
+Spark deals to. Rounds write what they leave to the shared folder.
 
 Nulls and odd cases: a null or empty text is the separator alone; a null id is kept; rows that repeat an id are packed
 each (their pieces count from 0); other columns are ignored; an empty table gives an empty result.
@@ -198,10 +199,12 @@ def best_fit(sizes: np.ndarray, gaps: np.ndarray, sequences: np.ndarray) -> tupl
 _SWEPT = "kind int, id long, size int, part int, rank long, sequence long, at int"
 
 
-def _swept(state: DataFrame, ranges: int, capacity: int) -> DataFrame:
-    """``state(kind, id, size)``: one round's sweeps inside the ranges."""
+def _swept(state: DataFrame, n_rows: int, capacity: int) -> DataFrame:
+    """``state(kind, id, size)``, of at most ``n_rows``: one round's sweeps inside the ranges."""
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    rows = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # many short ranges leave pieces to many rounds; so few rows are swept at once
+    dealt = state.repartition(1) if n_rows <= RANGE_ROWS // 2 else state.repartitionByRange(min(RANGES, -(-n_rows // RANGE_ROWS)), *order)
+    rows = dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("size", pa.int32()), ("part", pa.int32()), ("rank", pa.int64()), ("sequence", pa.int64()), ("at", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +308,7 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = [units.select("id", F.col("id").alias("sequence"), F.lit(0).alias("at")).limit(0)]
     left = total
     while left:
-        swept = cut_lineage(_swept(state, min(RANGES, -(-n_rows // RANGE_ROWS)), capacity))
+        swept = cut_lineage(_swept(state, n_rows, capacity))
         stats = swept.groupBy("part", "kind", F.col("rank").isNotNull().alias("ranked")).agg(*(f("size").alias(f.__name__) for f in (F.count, F.min, F.max, F.sum)))
         stats = {(r["part"], r["kind"], r["ranked"]): r for r in stats.collect()}  # at most four rows for each range
         none = {"count": 0, "min": 0, "max": 0, "sum": 0}
@@ -332,13 +335,15 @@ def place_all(units: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         units_stats = [u for u, _ in of.values() if u["count"]]
         left = sum(u["count"] for u in units_stats) - got
         tokens = sum(u["sum"] for u in units_stats)
-        # pieces that no gap can hold open sequences, as do more tokens than there is room for
-        beyond = sum(u["sum"] for u in units_stats if u["min"] > largest_gap) if not got else 0
+        # pieces that no gap can hold open sequences, as do more tokens than there is room for; gaps only shrink, so at once
+        beyond = sum(u["sum"] for u in units_stats if u["min"] > largest_gap)
         stuck = not got and not any(kind == 2 for _, kind, _ in stats)
         more = -(-max(beyond, tokens - room, tokens if stuck else 0) // capacity) if left else 0
+        least = min((u["min"] for u in units_stats), default=0)
+        state = state.where((F.col("kind") == 1) | (F.col("size") >= least))
         if more > 0:
             state, opened = state.unionByName(fresh(opened, more)), opened + more
-        n_rows = left + sum(r["count"] for (_, kind, _), r in stats.items() if kind == 0) + max(more, 0)
+        n_rows = left + sum(r["count"] for (_, kind, _), r in stats.items() if kind == 0 and r["max"] >= least) + max(more, 0)
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)

@@ -69,6 +69,22 @@ def test_rounds_fill_sequences(spark, monkeypatch):
         assert len(fill) <= max(least, large) * 1.01 + 1
 
 
+def test_rounds_are_few_over_many_short_ranges(spark, monkeypatch):
+    kind, deal, sweep = type(spark.range(0)), type(spark.range(0)).repartitionByRange, packing._swept
+    rounds = []
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *order: deal(self, max(60, n), *order))
+    monkeypatch.setattr(packing, "RANGE_ROWS", 4096)
+    monkeypatch.setattr(packing, "_swept", lambda *a: rounds.append(a) or sweep(*a))
+    lengths = np.minimum(4095, np.random.default_rng(3).lognormal(5.4, 1.0, 4000).astype(int) + 1).tolist()
+    out = packing.place_all(spark.createDataFrame(list(enumerate(lengths)), "id long, size long")).collect()
+    fill = Counter()
+    for r in out:
+        fill[r.sequence] += lengths[r.id]
+    assert sorted(r.id for r in out) == list(range(4000)) and max(fill.values()) <= 4096
+    assert len(fill) <= -(-sum(lengths) // 4096) * 1.01 + 1
+    assert len(rounds) <= 5
+
+
 def test_query_on_odd_rows(spark):
     texts = [None, "", "Hello World's 42 it'll", "a\x1cb   c d", "é É <|endoftext|> ΣΣ", "x " * 9000, "two", "two", "İ ﬁ ½ 한국어 🙂🙂", "word " * 4095, "word " * 4096]
     rows = [(i if i != 6 else None, t) for i, t in enumerate(texts)] + [(2, "again")]
