@@ -81,6 +81,15 @@ def weights(begin: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted(drawn: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The same of items that carry their weights, a byte for each replicate."""
+    return np.frombuffer(b"".join(drawn), np.uint8).reshape(len(drawn), -1)[:, replicates]
+
+
+#: What makes an item's number or bytes (x0) its weights.
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def _runs(scores: np.ndarray) -> np.ndarray:
     """Where each run of equal scores begins."""
     return np.concatenate([[0], np.flatnonzero(np.diff(scores)) + 1])
@@ -89,7 +98,7 @@ def _runs(scores: np.ndarray) -> np.ndarray:
 _SUMS = "grp string, part int, kind int, s double, low double, t array<double>, f array<double>, pairs array<double>"
 
 
-def _range_sums(rows: DataFrame, n: int) -> DataFrame:
+def _range_sums(rows: DataFrame, n: int, weigh: Weigh = weights) -> DataFrame:
     """``rows(grp, s, y, x0, part)``, sorted, to what each range has for each replicate: the weights of its first and of its
     last score (kind 0), which other ranges may share, and the weights and ordered pairs of the scores between (kind 1)."""
     replicates = np.arange(n)
@@ -134,7 +143,7 @@ def _range_sums(rows: DataFrame, n: int) -> DataFrame:
                     at, tie = (groups[lo], parts[lo]), None
                 for i in range(lo, hi, BLOCK):
                     j = min(hi, i + BLOCK)
-                    w, fake = weights(x0[i:j], replicates), (y[i:j] == 1)[:, None]
+                    w, fake = weigh(x0[i:j], replicates), (y[i:j] == 1)[:, None]
                     begin = _runs(s[i:j])
                     t, f = (np.add.reduceat(w * side, begin, axis=0, dtype=np.int32) for side in (fake, ~fake))
                     if tie is not None and s[i] != tie:
@@ -212,7 +221,7 @@ METRICS = {"auc": Metric(_area), "ap": Metric(_precision), "eer": Metric(_equal_
 _CARRIED = ["before_t", "before_f", "all_t", "all_f"]
 
 
-def _of_ranges(rows: DataFrame, carried: DataFrame, metrics: dict[str, Metric]) -> DataFrame:
+def _of_ranges(rows: DataFrame, carried: DataFrame, metrics: dict[str, Metric], weigh: Weigh) -> DataFrame:
     """(grp, r, a number for each metric): ``rows`` of ranges, without their first and last score, under the replicates of
     ``carried(grp, part, r, before_t, before_f, all_t, all_f)``."""
     names = list(metrics)
@@ -226,7 +235,7 @@ def _of_ranges(rows: DataFrame, carried: DataFrame, metrics: dict[str, Metric])
         step = max(1, HELD // len(items))
         for lo in range(0, len(wanted), step):
             some = wanted.iloc[lo : lo + step]
-            w = weights(x0, some["r"].to_numpy())
+            w = weigh(x0, some["r"].to_numpy())
             dt, df = (np.add.reduceat(w * side, begin, axis=0, dtype=np.int64) for side in (fake, ~fake))
             bt, bf, at, af = (some[c].to_numpy(float) for c in _CARRIED)
             points = Points(s[begin][:, None], dt, df, bt + np.cumsum(dt, axis=0), bf + np.cumsum(df, axis=0), at, af)
@@ -254,42 +263,57 @@ def _of_scores(scores: DataFrame, metrics: dict[str, Metric]) -> DataFrame:
 
 # --- replicates ---------------------------------------------------------------------------------------------------
 def _segments(df: DataFrame, by: str, n: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows that count, in ranges, and for each replicate of each group the segments of its curve with what stands above
-    them: scores that end a range (kind 0), and the scores between (kind 1, from s exclusive down to low exclusive)."""
+    """The rows that count, in ranges, and the segments of their curves."""
     ok = df.where("status = 'ok' and score is not null")
     rows = ok.select(F.coalesce(F.col(by).cast("string"), F.lit("<null>")).alias("grp"), F.col("score").cast("double").alias("s"), roc.binary().alias("y"), start(key).alias("x0"))
     order = [F.col("grp"), F.col("s").desc(), F.col("x0")]  # equal scores may part: a score that all share is in all ranges
+    rows = settle(in_ranges(rows, *order).sortWithinPartitions(*order))
+    return rows, segments_of(rows, n)
+
+
+def in_ranges(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` by ranges of ``order``, whose number is ``part``."""
     ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
-    rows = settle(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    sums = settle(_range_sums(rows, n))
+    return rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
+
+
+def segments_of(rows: DataFrame, n: int, weigh: Weigh = weights) -> DataFrame:
+    """For each replicate of each group of ``rows(grp, s, y, x0, part)``, each range sorted in one partition, the segments of
+    its curve with what stands above them: scores that end a range (kind 0), and the scores between (kind 1, from s exclusive
+    down to low exclusive)."""
+    sums = settle(_range_sums(rows, n, weigh))
     each = sums.select("grp", "part", "kind", "s", "low", F.posexplode(F.arrays_zip("t", "f", "pairs")).alias("r", "v")).select("grp", "part", "kind", "s", "low", F.col("r").cast("long").alias("r"), "v.*")
     scores = each.where("kind = 0").groupBy("grp", "s", "r").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     scores = scores.withColumns({"pairs": F.col("t") * F.col("f") / 2, "part": F.lit(None).cast("int"), "kind": F.lit(0), "low": F.col("s")})
     each = scores.unionByName(each.where("kind = 1"))
     so_far, whole = Window.partitionBy("grp", "r").orderBy(F.col("s").desc(), "kind"), Window.partitionBy("grp", "r")
     each = each.withColumns({"before_t": F.sum("t").over(so_far) - F.col("t"), "before_f": F.sum("f").over(so_far) - F.col("f"), "all_t": F.sum("t").over(whole), "all_f": F.sum("f").over(whole)})
-    return rows, settle(each.where("all_t > 0 and all_f > 0"))
+    return settle(each.where("all_t > 0 and all_f > 0"))
 
 
-def _metrics_of(rows: DataFrame, segments: DataFrame, metrics: dict[str, Metric]) -> DataFrame:
+def _metrics_of(rows: DataFrame, segments: DataFrame, metrics: dict[str, Metric], weigh: Weigh = weights) -> DataFrame:
     """(grp, r, the metrics' numbers) over ``segments``, partial numbers merged."""
     between = segments.where("kind = 1")
     inside = between.select("grp", "part", F.col("s").alias("high"), "low").distinct()
-    inside = rows.join(inside, ["grp", "part"]).where("s < high and s > low").select("grp", "part", "s", "y", "x0")
-    parts = _of_ranges(inside, between.select("grp", "part", "r", *_CARRIED), metrics).unionByName(_of_scores(segments.where("kind = 0"), metrics))
+    inside = rows.join(F.broadcast(inside), ["grp", "part"]).where("s < high and s > low").select("grp", "part", "s", "y", "x0")
+    parts = _of_ranges(inside, between.select("grp", "part", "r", *_CARRIED), metrics, weigh).unionByName(_of_scores(segments.where("kind = 0"), metrics))
     merges = {"sum": F.sum, "max": F.max, "min": F.min}
     return parts.groupBy("grp", "r").agg(*(merges[m.merge](name).alias(name) for name, m in metrics.items()))
 
 
 def replicate_values(df: DataFrame, by: str, n: int = 1000, key: str = "item_id") -> DataFrame:
     """(grp, r, auc, eer) for each replicate r of each group that has both classes in it."""
-    rows, each = _segments(df, by, n, key)
+    return values_of(*_segments(df, by, n, key))
+
+
+def values_of(rows: DataFrame, each: DataFrame, weigh: Weigh = weights) -> DataFrame:
+    """The same of rows in ranges and the segments of their curves."""
     areas = each.groupBy("grp", "r").agg((F.sum(F.col("pairs") + F.col("f") * F.col("before_t")) / F.first(F.col("all_t") * F.col("all_f"))).alias("auc"))
     above = F.expr("1 - before_t / all_t - before_f / all_f > 0")
     below = F.expr("1 - (before_t + t) / all_t - (before_f + f) / all_f <= 0")
     # sums of fractions may miss 0 by a little, so a neighbour that all but crosses is looked at too
     near = F.expr("1 - before_t / all_t - before_f / all_f > -1e-9 and 1 - (before_t + t) / all_t - (before_f + f) / all_f <= 1e-9")
-    return areas.join(_metrics_of(rows, each.where((above & below) | near), {"eer": METRICS["eer"]}), ["grp", "r"], "left")
+    return areas.join(_metrics_of(rows, each.where((above & below) | near), {"eer": METRICS["eer"]}, weigh), ["grp", "r"], "left")
 
 
 def metric_values(df: DataFrame, by: str, metrics: dict[str, Metric], n: int = 1000, key: str = "item_id") -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources import tables as t
 from ..sources.tables import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-REPLICATES = 8
+REPLICATES = 1000
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
