@@ -64,16 +64,17 @@ def _between(low: Column, high: Column, part: Column) -> Column:
     return s + (((p - (s - (s - p))) + (other - (s - p))) + lost)
 
 
-def sampler_stats(samples: DataFrame, by: str = "session_id") -> DataFrame:
+def sampler_stats(samples: DataFrame, by: str = "session_id", metered: Column | None = None) -> DataFrame:
     """A row for each id: use, memory, power and temperature of its samples (ts, event_id, util, used_gb, watts, temp,
-    counter_mj). Energy is what the counter gained, in millijoules, where it was read at both ends, else the trapezoid area
-    under the power."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id")
+    counter_mj). Energy is what the counter gained, in millijoules, for ids that are ``metered`` (those whose counter was read
+    at both ends, if not given), else the trapezoid area under the power. Samples without a time come last and are no end."""
+    w = Window.partitionBy(by).orderBy(F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
     rows = _ranked(samples, "util", 0.95, by).withColumn("t", _micros(F.col("ts")) / 1e6)
     rows = rows.withColumn("area", (F.col("t") - F.lag("t").over(w)) * (F.col("watts") + F.lag("watts").over(w)) / 2)
-    at = F.struct("ts", "event_id")
+    at = F.when(F.col("ts").isNotNull(), F.struct("ts", "event_id"))
     gained = (F.max_by("counter_mj", at) - F.min_by("counter_mj", at)) / 3.6e6
     area = F.coalesce(F.sum("area"), F.lit(0.0)) / 3600
+    metered = gained.isNotNull() if metered is None else metered
     rounded = {
         "gpu_util_mean": (F.avg("util"), 1),
         "gpu_util_p95": (_between(F.max("low"), F.max("high"), F.max("part")), 1),
@@ -81,9 +82,9 @@ def sampler_stats(samples: DataFrame, by: str = "session_id") -> DataFrame:
         "power_mean_w": (F.avg("watts"), 1),
         "power_max_w": (F.max("watts"), 1),
         "temp_max_c": (F.max("temp"), 1),
-        "energy_wh": (F.coalesce(gained, area), 3),
+        "energy_wh": (F.when(metered, gained).otherwise(area), 3),
     }
-    source = F.when(gained.isNotNull(), "counter").otherwise("integrated")
+    source = F.when(metered, "counter").otherwise("integrated")
     # halves to even after scaling, as SQL's round_even does; bround would go by the last bit of what scaling makes a half
     columns = ((F.rint(c.cast("double") * 10.0**digits) / 10.0**digits).alias(name) for name, (c, digits) in rounded.items())
     return rows.groupBy(by).agg(F.count("*").alias("samples"), *columns, source.alias("energy_source"))

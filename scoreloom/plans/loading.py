@@ -69,7 +69,7 @@ def sampler_stats(spark: SparkSession, d: str) -> DataFrame:
     """Telemetry samples of users; even ones have an energy counter: the nearest millisecond, as SQL's epoch_ms gives it."""
     s = t.event_samples(spark, d).withColumns({"util": F.col("watts") % 100, "used_gb": F.col("watts") / 7, "temp": F.col("watts") % 90})
     s = s.withColumn("counter_mj", F.when(F.col("session_id") % 2 == 0, F.floor((F.unix_micros(F.col("ts").cast("timestamp")) + 500) / 1000).cast("double")))
-    return rounded(telemetry.sampler_stats(s))
+    return rounded(telemetry.sampler_stats(s, metered=F.col("session_id") % 2 == 0))
 
 
 def score_log(spark: SparkSession, d: str) -> DataFrame:
